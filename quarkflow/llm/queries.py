@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarkflow.llm import license_scan, warc
-from quarkflow.llm.common import table
+from quarkflow.llm import langid, license_scan, toxicity, warc
+from quarkflow.llm.common import fold_of, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +19,27 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.dedup_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
+def _held_out(folds: int, fold: int):
+    return F.coalesce(fold_of(F.col("doc_id"), folds) == fold, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = _held_out(4, 2)
+    model = langid.fit(docs.where(~held_out), "doc_id", "text", "lang")
+    return langid.identify(docs, "text", model, F.col("doc_id"), held_out.alias("held_out"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = _held_out(5, 0)
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), "doc_id", "text", "toxic")
+    return toxicity.score(docs, "text", model, F.col("doc_id"), held_out.alias("held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_warc_revisits)}
+    return {f.__name__: f for f in (op1_license_scan, op2_warc_revisits, op3_language_id, op4_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
