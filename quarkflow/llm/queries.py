@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarkflow.llm import langid, license_scan, toxicity, warc
+from quarkflow.llm import binpack, bpe, langid, license_scan, toxicity, warc
 from quarkflow.llm.common import fold_of, table
 
 
@@ -38,8 +38,25 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, "text", model, F.col("doc_id"), held_out.alias("held_out"))
 
 
+def _vocabulary(name: str) -> tuple[str, str]:
+    """(path of a public vocabulary file, the pattern that cuts words)."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
+    return bpe.roundtrip(table(spark, sf_dir, "documents"), "text", path, pattern, F.col("doc_id"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = _vocabulary("byte_bpe_50k.json")
+    return binpack.pack(binpack.tokenize(table(spark, sf_dir, "documents"), "text", path, pattern, F.col("doc_id")), "doc_id", "piece")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_warc_revisits, op3_language_id, op4_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_warc_revisits, op3_language_id, op4_toxicity, op8_byte_bpe, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
