@@ -34,7 +34,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = _held_out(5, 0)
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), "doc_id", "text", "toxic")
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
     return toxicity.score(docs, "text", model, F.col("doc_id"), held_out.alias("held_out"))
 
 

@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting draws at most max_examples labelled rows (half of either class if there are as many; a hash of id and text
+Fitting draws at most max_examples labelled rows (half of either class if there are as many; a hash of the id
 decides, so every labelled row may be drawn). Terms are lower-case letter runs; those whose presence depends on the
 label by a chi-square test (at a family-wise error level over all tested terms) span the vector space, weighted
 (1 + ln tf) * idf and scaled to length 1; a background term that every text has keeps a text with one weak term near
@@ -191,15 +191,18 @@ def build_model(texts: list[str], labels: list[int], ids: list[int], k: int = 15
     return model
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int = 3000, **options) -> ToxicityModel:
-    """Fit on at most max_examples rows of (id, text, label 0/1); null texts or labels are no examples."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int = 3000, **options) -> ToxicityModel:
+    """Fit on at most max_examples labelled rows: labels holds (id, label 0/1), docs (id, text). Null ids, texts or labels are no examples."""
     drawn = []
     for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy(F.xxhash64("i", "t"), "i", "t").limit(max_examples // 2)
-        drawn += [(r.i if r.i is not None else -1, r.t, r.y) for r in part.collect()]
-    drawn = list({(i, t): (i, t, y) for i, t, y in drawn}.values())
-    return build_model([d[1] for d in drawn], [d[2] for d in drawn], [d[0] for d in drawn], **options)
+        rows = labels.where((F.col(label_col) == y) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.lit(y).alias("y")).distinct()
+        drawn.append(rows.orderBy(F.xxhash64("i"), "i").limit(max_examples // 2))
+    chosen = drawn[0].unionByName(drawn[1])
+    # At most max_examples ids by the limits above, so they may be broadcast: no text is shuffled for the sample.
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
+    rows = texts.join(F.broadcast(chosen), "i").orderBy("y", "i", "t").limit(2 * max_examples).collect()  # ids may repeat in docs
+    rows = list({(r.i, r.t): r for r in rows}.values())
+    return build_model([r.t for r in rows], [r.y for r in rows], [r.i for r in rows], **options)
 
 
 def score(df: DataFrame, text_col: str, model: ToxicityModel, *keep: Column, evidence: int = 3) -> DataFrame:
