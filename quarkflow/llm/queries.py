@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarkflow.llm import binpack, bpe, cdc, langid, license_scan, superminhash, toxicity, warc
+from quarkflow.llm import binpack, bpe, cdc, langid, license_scan, suffix_repeats, superminhash, toxicity, warc
 from quarkflow.llm.common import fold_of, table
 
 
@@ -63,8 +63,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack(binpack.tokenize(table(spark, sf_dir, "documents"), "text", path, pattern, F.col("doc_id")), "doc_id", "piece")
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text").drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_warc_revisits, op3_language_id, op4_toxicity, op6_super_minhash, op7_document_fingerprints, op8_byte_bpe, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_warc_revisits, op3_language_id, op4_toxicity, op6_super_minhash, op7_document_fingerprints, op8_byte_bpe, op9_best_fit_packing, op10_suffix_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
