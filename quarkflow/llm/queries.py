@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarkflow.llm import binpack, bpe, cdc, langid, license_scan, suffix_repeats, superminhash, toxicity, warc
+from quarkflow.llm import binpack, bpe, cdc, langid, license_scan, nn_descent, suffix_repeats, superminhash, toxicity, warc
 from quarkflow.llm.common import fold_of, table
 
 
@@ -45,6 +45,10 @@ def _vocabulary(name: str) -> tuple[str, str]:
     return str(public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op6_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
 
@@ -68,7 +72,7 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_warc_revisits, op3_language_id, op4_toxicity, op6_super_minhash, op7_document_fingerprints, op8_byte_bpe, op9_best_fit_packing, op10_suffix_repeats)}
+    return {f.__name__: f for f in (op1_license_scan, op2_warc_revisits, op3_language_id, op4_toxicity, op5_nn_descent, op6_super_minhash, op7_document_fingerprints, op8_byte_bpe, op9_best_fit_packing, op10_suffix_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
