@@ -64,17 +64,18 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose column holds about max_bytes (one row at least)."""
-    sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > max_bytes:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += int(n) + 1
-    if start < batch.num_rows:
-        yield batch.slice(start)
+def with_text(df: DataFrame, text_col: str, keep: tuple[Column, ...]) -> tuple[DataFrame, list[str], str]:
+    """(frame for the workers, columns to hand on, the text's column): the text goes to Python once, kept or not."""
+    kept = df.select(*keep)
+    names = kept.columns
+    if dict(kept.dtypes).get(text_col) == "string":
+        return kept, names, text_col
+    return df.select(*keep, F.col(text_col).cast("string").alias("_text")), names, "_text"
+
+
+def schema_of(df: DataFrame, names: list[str], more: str) -> str:
+    """DDL of some of df's columns and more."""
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names] + [more])
 
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

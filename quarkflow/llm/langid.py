@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarkflow.llm.common import map_batches
+from quarkflow.llm.common import map_batches, schema_of, with_text
 
 #: A word: a run of letters.
 WORD = re.compile(r"[^\W\d_]+")
@@ -128,15 +128,14 @@ class Scorer:
 def identify(df: DataFrame, text_col: str, model: LanguageModel, *keep: Column) -> DataFrame:
     """keep, lang_pred and score for every row of df; only the text is read for the prediction."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_words
-    kept = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    names = [f.name for f in kept.schema.fields[:-1]]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["lang_pred string", "score double"])
+    kept, names, text_name = with_text(df, text_col, keep)
+    schema = schema_of(kept, names, "lang_pred string, score double")
 
     def make():
         scorer = Scorer(shared.value)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [scorer.predict(t.as_py()) for t in batch.column("_text")]
+            found = [scorer.predict(t.as_py()) for t in batch.column(text_name)]
             return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=[*names, "lang_pred", "score"])
 
         return work

@@ -38,7 +38,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, "text", model, F.col("doc_id"), held_out.alias("held_out"))
 
 
-def _vocabulary(name: str) -> tuple[str, str]:
+def vocabulary(name: str) -> tuple[str, str]:
     """(path of a public vocabulary file, the pattern that cuts words)."""
     import public_tokenizers
 
@@ -58,12 +58,12 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
+    path, pattern = vocabulary("byte_bpe_50k.tiktoken")
     return bpe.roundtrip(table(spark, sf_dir, "documents"), "text", path, pattern, F.col("doc_id"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = _vocabulary("byte_bpe_50k.json")
+    path, pattern = vocabulary("byte_bpe_50k.json")
     return binpack.pack(binpack.tokenize(table(spark, sf_dir, "documents"), "text", path, pattern, F.col("doc_id")), "doc_id", "piece")
 
 

@@ -29,10 +29,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarkflow.llm.common import map_batches, materialise, mix64, release
+from quarkflow.llm.common import map_batches, materialise, mix64, release, schema_of
 
 LENGTH, GRAM = 50, 16
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(5000))
@@ -457,36 +457,35 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (all by bytes) and kept_text (without the characters that lie wholly in removed bytes)."""
+def _outside(data: bytes, spans: list[tuple[int, int]]) -> Iterator[bytes]:
+    at = 0
+    for a, b in spans:
+        yield data[at:a]
+        at = b
+    yield data[at:]
+
+
+def remove_repeats(df: DataFrame, id_col: str, text_col: str, *keep: Column, **options) -> DataFrame:
+    """Per row: id, keep, n_bytes, n_removed, n_spans, kept_sha256 (all by bytes) and kept_text (without the characters that lie wholly in removed bytes)."""
     spark = df.sparkSession
-    spans = materialise(repeated_spans(df, id_col, text_col, **options), "spans")
+    spans = materialise(repeated_spans(df, id_col, text_col, **options), "spans").withColumnRenamed("doc", "_doc")
     release(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = docs.join(spans, docs["id"] == spans["doc"], "left").select("id", "text", "spans")
+    docs = df.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
+    names = docs.columns[:-1]
+    joined = docs.join(spans, docs[id_col] == spans["_doc"], "left").select(*names, "_text", "spans")
+    more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
-            for i, text, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "spans"))):
+            for text, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist()):
                 data = (text or "").encode()
                 gone = merged([(s["first"], s["end"]) for s in spans or ()], len(data))
-                kept, left, at = [], [], 0
-                for a, b in gone:
-                    kept.append(data[at:a])
-                    at = b
-                kept.append(data[at:])
-                at = 0
-                for a, b in whole_characters(data, gone):
-                    left.append(data[at:a])
-                    at = b
-                left.append(data[at:])
-                kept_bytes = b"".join(kept)
-                out.append((i, len(data), len(data) - len(kept_bytes), len(gone), hashlib.sha256(kept_bytes).hexdigest(), None if text is None else b"".join(left).decode()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=list(names))
+                kept, left = b"".join(_outside(data, gone)), b"".join(_outside(data, whole_characters(data, gone)))
+                out.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), None if text is None else left.decode()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=[*names, *(x.split()[0] for x in more.split(", "))])
 
         return work
 
-    return map_batches(joined, make, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
+    return map_batches(joined, make, schema_of(joined, names, more))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarkflow.llm.common import map_batches
+from quarkflow.llm.common import map_batches, schema_of, with_text
 
 TERM = re.compile(r"[^\W\d_]+")
 #: The term that every text has.
@@ -208,15 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 def score(df: DataFrame, text_col: str, model: ToxicityModel, *keep: Column, evidence: int = 3) -> DataFrame:
     """keep, score, predicted, evidence (example ids, nearest first) and evidence_cosines for every row of df."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
-    kept = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    names = [f.name for f in kept.schema.fields[:-1]]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["score double", "predicted int", "evidence array<bigint>", "evidence_cosines array<double>"])
+    kept, names, text_name = with_text(df, text_col, keep)
+    schema = schema_of(kept, names, "score double, predicted int, evidence array<bigint>, evidence_cosines array<double>")
 
     def make():
         model = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [model.score(t.as_py()) for t in batch.column("_text")]
+            found = [model.score(t.as_py()) for t in batch.column(text_name)]
             out = [
                 pa.array([x[0] for x in found], pa.float64()),
                 pa.array([int(x[0] >= 0.5) for x in found], pa.int32()),
