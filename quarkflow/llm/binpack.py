@@ -157,6 +157,7 @@ def pack(pieces: DataFrame, *order: str, length_col: str = "length", capacity: i
     """pieces with sequence_id and offset. order: columns that tell equal lengths apart. pieces is run once."""
     spark = pieces.sparkSession
     names = pieces.columns
+    pieces = materialise(pieces, "pieces")  # a range partitioning reads its input twice, to sample it and to deal it out
     ranked = materialise(
         pieces.repartitionByRange(F.col(length_col), *(F.col(c) for c in order)).sortWithinPartitions(length_col, *order).withColumn("_at", F.monotonically_increasing_id()), "pack"
     )
