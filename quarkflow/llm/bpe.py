@@ -2,9 +2,10 @@
 
 The encoding of every prefix of a word ends in exactly one token, so the prefixes form a tree: a prefix hangs under
 what is left when its last token is taken off. Reading a byte adds one node; a node stays open while some token of the
-vocabulary could still start there. The open nodes are the state of the transducer; the bytes since their deepest
-common ancestor and the token before it determine them, so these name a state. Bytes lead from state to state, and a
-token is put out as soon as all open nodes agree on it, which takes at most a few tokens' lengths of lookahead. States and steps are made when first met and kept in a bounded table
+vocabulary could still start there. The open nodes are the state of the transducer, named by the bytes since their
+deepest common ancestor and the last tokens on the way; whether a token may follow the one put out last is asked when
+it comes up. Bytes lead from state to state, and a token is put out as soon as all open nodes agree on it, which takes
+at most a few tokens' lengths of lookahead. States and steps are made when first met and kept in a bounded table
 (when it is full it is emptied: speed changes, results don't). Merges come in by a table of token pairs that may stand
 side by side, itself filled when first asked.
 
@@ -17,8 +18,11 @@ columns are ignored. Bytes that are not UTF-8 decode to U+FFFD per maximal inval
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,11 +43,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes words (byte strings) to ids."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 500_000, max_pairs: int = 400_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.tokens = {i: t for t, i in ranks.items()}
         #: Proper prefixes of tokens: a node may stay open while the bytes since it are one of these.
-        self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
+        prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
+        #: What a string is: 1 for such a prefix, plus 2 (id + 1) for a token.
+        self.known = {s: (s in prefixes) + 2 * (ranks.get(s, -1) + 1) for s in prefixes.union(ranks)}
         self.size = {i: len(t) for t, i in ranks.items()}
         self.bytes = [bytes([b]) for b in range(256)]
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -51,11 +57,13 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # A state: the token before its root, the bytes since the root, and for each place among these the last token
-        # of the encoding up to there. Token and bytes alone tell states apart: the rest follows from them.
-        self.numbers: dict[tuple[int, bytes], int] = {(-1, b""): 0}
+        # A state: the bytes since the root, and for each place among these the last token of the encoding up to there
+        # (-1 at the root, -2 at places that no open node hangs under). The root's own last token is the one put out
+        # last; it is no part of the state.
+        self.numbers: dict[tuple[bytes, tuple[int, ...]], int] = {(b"", (-1,)): 0}
         self.states: list[tuple[bytes, tuple[int, ...]]] = [(b"", (-1,))]
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # By state and byte: (next state, tokens put out, a token on trial or -1, and the same two if it fails).
+        self.steps: dict[int, tuple[int, tuple[int, ...], int, int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
 
     def merge(self, word: bytes, stop: int = 1) -> list[int]:
@@ -105,37 +113,58 @@ class Transducer:
             else:
                 before, right = right + 1, parts[0]
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make the step of a state by a byte: (next state, tokens put out)."""
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...], int, int, tuple[int, ...]]:
+        """Make the step of a state by a byte.
+
+        The new node's last token is the longest that ends here and may follow the last token of the place where it
+        starts. Whether one from the root may is only known with the token put out last: it is on trial.
+        """
         since, lasts = self.states[state]
         since += self.bytes[byte]
-        end = len(since)
-        ranks, prefixes = self.ranks, self.prefixes
-        # The new node: the longest token that ends here and may follow the last token of the place where it starts.
-        for at in range(end):
-            token = ranks.get(since[at:])
-            if token is not None and (lasts[at] < 0 or self.may_follow(lasts[at], token)):
-                break
-        else:
+        known = self.known.get
+        trial, token, open_ = -1, -1, []
+        for at in range(len(since)):
+            code = known(since[at:])
+            if code is not None:
+                if code & 1:
+                    open_.append(at)
+                if token < 0 and code > 1:
+                    may = (code >> 1) - 1
+                    if not at:
+                        trial = may
+                    elif self.may_follow(lasts[at], may):
+                        token = may
+        if token >= 0:
+            fails = self._settle(since, (*lasts, token), open_)
+            return (*fails, -1, *fails) if trial < 0 else (*self._settle(since, (*lasts, trial), open_), trial, *fails)
+        if trial < 0:
             raise ValueError("the ranks lack a byte or are not a merge table")
-        lasts += (token,)
-        # The root moves to the last place through which all open nodes hang: the tokens up to there are certain.
-        size, root = self.size, end
-        for at in range(end - 1, -1, -1):
-            if since[at:] in prefixes:
-                other = at
-                while root != other:
-                    if root > other:
-                        root -= size[lasts[root]]
-                    else:
-                        other -= size[lasts[other]]
-        out = self._path(lasts, root)
-        key = (lasts[root], since[root:])
+        return (*self._settle(since, (*lasts, trial), open_), -1, 0, ())
+
+    def _settle(self, since: bytes, lasts: tuple[int, ...], open_: list[int]) -> tuple[int, tuple[int, ...]]:
+        """(number of the state, tokens put out): the root moves to the last place through which all open nodes hang."""
+        size, end = self.size, len(since)
+        root = end
+        for other in open_:
+            while root != other:
+                if root > other:
+                    root -= size[lasts[root]]
+                else:
+                    other -= size[lasts[other]]
+            if not root:
+                break
+        alive = {root}
+        for at in (end, *open_):
+            while at not in alive:
+                alive.add(at)
+                at -= size[lasts[at]]
+        kept = tuple([-1] + [lasts[at] if at in alive else -2 for at in range(root + 1, end + 1)])
+        key = (since[root:], kept)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
-            self.states.append((key[1], lasts[root:]))
-        return number, out
+            self.states.append(key)
+        return number, self._path(lasts, root)
 
     def _path(self, lasts: tuple[int, ...], at: int) -> tuple[int, ...]:
         """The tokens from the root to a place."""
@@ -151,21 +180,26 @@ class Transducer:
             return [whole]
         if len(self.states) > self.max_states:
             self._reset()
-        state, out, steps = 0, [], self.steps
+        state, out, steps, last, pairs = 0, [], self.steps, -1, self.pairs
         for byte in word:
             step = steps.get(state << 8 | byte)
             if step is None:
                 step = steps[state << 8 | byte] = self._step(state, byte)
                 if len(self.states) > 2 * self.max_states:  # within one very long word
-                    since, lasts = self.states[step[0]]
+                    ahead = [self.states[step[0]], self.states[step[3]]]
                     self._reset()
-                    self.states.append((since, lasts))
-                    self.numbers[lasts[0], since] = 1
                     steps = self.steps
-                    step = (1, step[1])
-            state, put = step
+                    self.states += ahead
+                    self.numbers |= {key: i for i, key in enumerate(ahead, 1)}
+                    step = (1, step[1], step[2], 2, step[4])
+            state, put, trial, otherwise, put_otherwise = step
+            if trial >= 0 and last >= 0:
+                may = pairs.get((last, trial))
+                if not (self.may_follow(last, trial) if may is None else may):
+                    state, put = otherwise, put_otherwise
             if put:
                 out += put
+                last = put[-1]
         end = self.ends.get(state)
         if end is None:
             end = self.ends[state] = self._path(self.states[state][1], len(self.states[state][0]))
@@ -175,31 +209,34 @@ class Transducer:
 
 def pack(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
     """Texts to ids: the pattern cuts words, the transducer encodes them; short words' ids are kept in a bounded table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 200_000):
         self.fst, self.cut, self.max_words = Transducer(ranks), regex.compile(pattern).findall, max_words
         outer = self
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                ids = pack(outer.fst.encode(word.encode()))
+                ids = outer.older.get(word)
+                if ids is None:
+                    ids = pack(outer.fst.encode(word.encode()))
                 if len(word) <= 64:
                     self[word] = ids
                 return ids
 
-        self.words = Words()
+        #: Words of late, and those of the table before: what is used again moves on.
+        self.words, self.older, self.table = Words(), {}, Words
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if len(self.words) > self.max_words:
-            self.words.clear()
+            self.older, self.words = self.words, self.table()
         return b"".join(map(self.words.__getitem__, self.cut(text)))
 
     def encode(self, text: str | None) -> list[int]:
@@ -268,6 +305,8 @@ def coder(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder]:
     if (ranks_path, pattern) not in _made:
         ranks = load_ranks(ranks_path)
         _made[ranks_path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
+        gc.freeze()  # the tables hold no cycles; the collector need not walk them
+        gc.disable()
     return _made[ranks_path, pattern]
 
 
