@@ -7,9 +7,8 @@ when all its registers lie below the next step; with more elements than register
 Equal sets are one class and go on as one row, under the smallest id. Classes that agree in a band meet that band's
 smallest member, and each such pair is verified on the full sets of both texts; components of the verified links
 follow. A band in which several components are left still holds pairs that were not looked at: those across
-components are listed, dropped if the signatures rule the threshold out, and verified in the same way. So no
-linked pair that shares a band is left out, whatever the size of a bucket, and no bucket's pairs are listed once its
-members are joined.
+components are compared in tiles of bounded size, by signature and then by full sets, and only links come out. So no
+linked pair that shares a band is left out, whatever the size of a bucket, and pairs are not listed.
 
 Defined results: null and empty texts and texts without a word have no shingle and link with nothing (they are their
 own component); a text of fewer words than a shingle has one shingle, all its words. Rows with a null id link with
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarkflow.llm.common import map_batches, materialise, mix64, release
-from quarkflow.llm.components import components
+from quarkflow.llm.components import UnionFind, components
 
 REGISTERS, BANDS = 128, 16
 _ODD = (mix64(np.arange(100, 164, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
@@ -141,7 +140,9 @@ def sign(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose texts' sets have 100 * intersection >= percent * union."""
-    rows = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
+    # Sort-merge joins at every size: texts grow with the input.
+    sides = [texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")).hint("merge") for x in ("u", "v")]
+    rows = pairs.join(sides[0], "u").join(sides[1], "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[str, np.ndarray] = OrderedDict()
@@ -171,16 +172,79 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return rows.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def _agreeing(pairs: DataFrame, least: int) -> DataFrame:
-    """The pairs (u, v, sketch_u, sketch_v) whose sketches agree in at least so many registers."""
+def linked(a: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of sets have 100 * intersection >= percent * union with a."""
+    sizes = np.array([len(s) for s in sets])
+    out = np.zeros(len(sets), bool)
+    for i in np.flatnonzero((100 * np.minimum(sizes, len(a)) >= percent * np.maximum(sizes, len(a))) & (sizes > 0)):
+        both = np.count_nonzero(a[np.minimum(np.searchsorted(a, sets[i]), len(a) - 1)] == sets[i])
+        out[i] = 100 * both >= percent * (len(a) + sizes[i] - both)
+    return out
+
+
+def across(opened: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
+    """Links (u, v) between members of a band that lie in different components.
+
+    opened: (band, id, component, main, pivot, sketch, text); main is the pivot's component, whose pairs with the pivot are
+    known. The members outside main meet all members but the pivot in tiles of some `block` by `block`; sketches that
+    rule the threshold out (by five standard deviations) are passed over, the rest is compared on the full sets.
+    Tiles put out links alone, and no more than join the tile's members.
+    """
+    sizes = materialise(
+        opened.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rows"), F.ceil(F.count_if(F.col("component") != F.col("main")) / block).cast("int").alias("asks")), "tiles"
+    )
+    cut = opened.join(sizes, "band")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("id", "component", "main", "sketch", "text")
+    asks = cut.where("component <> main").select("band", own("asks").alias("ask"), every("rows").alias("row"), F.lit(True).alias("asking"), *columns)
+    seen = cut.where("id <> pivot").select("band", every("asks").alias("ask"), own("rows").alias("row"), F.lit(False).alias("asking"), *columns)
+    j = percent / 100
+    least = int(REGISTERS * (j - 5 * math.sqrt(j * (1 - j) / REGISTERS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [r for r in held if not r[0]]
+            if len(rows) == len(held) or not rows:
+                return
+            ids, own, main = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+            sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+            sets: list[np.ndarray | None] = [None] * len(rows)
+            joined = UnionFind()
+            us, vs = [], []
+            for _, i, c, _, sketch, text in (r for r in held if r[0]):
+                near = (own != c) & ((own == main) | (i < ids)) & (np.count_nonzero(sketches == np.frombuffer(sketch, np.uint8), axis=1) >= least)
+                if not near.any():
+                    continue
+                a = shingles(text, k)
+                for x in np.flatnonzero(near).tolist():
+                    if joined.find(c) == joined.find(int(own[x])):
+                        continue
+                    if sets[x] is None:
+                        sets[x] = shingles(rows[x][5], k)
+                    if linked(a, [sets[x]], percent)[0]:
+                        joined.union(c, int(own[x]))
+                        us.append(max(i, int(ids[x])))
+                        vs.append(min(i, int(ids[x])))
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_u", "sketch_v"))
-            near = pa.array(np.count_nonzero(a == b, axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(near), batch.column("v").filter(near)], names=["u", "v"])
+            for band, ask, row, *rest in zip(*(batch.column(c).to_pylist() for c in ("band", "ask", "row", "asking", *columns))):
+                if (band, ask, row) != now and held:
+                    yield from out()
+                    held = []
+                now = (band, ask, row)
+                held.append(tuple(rest))
+        if held:
+            yield from out()
 
-    return pairs.mapInArrow(run, "u long, v long")
+    parts = int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = asks.unionByName(seen).repartition(parts, "band", "ask", "row").sortWithinPartitions("band", "ask", "row")
+    return tiles.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 80) -> DataFrame:
@@ -196,27 +260,21 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, perce
     pairs = materialise(shared.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
     # Only texts of classes that share a band go on.
     wanted = shared.select("id").distinct()
-    near = materialise(texts.join(wanted, "id", "left_semi"), "near")
+    near = materialise(texts.join(wanted.hint("merge"), "id", "left_semi"), "near")
     release(spark)
     links = materialise(verify(pairs, near, k, percent), "links")
     joined = components(links)
     # Bands in which more than one component is left: pairs across components.
     where = materialise(shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "pivot"), "where")
     open_bands = materialise(where.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"), "open")
-    opened = where.join(open_bands, "band", "left_semi").join(classes.select("id", "sketch"), "id")
     main = where.where("id = pivot").select("band", F.col("component").alias("main"))
-    opened = materialise(opened.join(main, "band"), "opened")
-    out = opened.where("component <> main").select("band", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("sketch").alias("sketch_u"))
-    other = opened.where("id <> pivot").select("band", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("main"), F.col("sketch").alias("sketch_v"))
-    crossed = out.join(other, "band").where("cu <> cv and (cv = main or u < v)").select("u", "v", "sketch_u", "sketch_v")
-    j = percent / 100
-    least = int(REGISTERS * (j - 6 * math.sqrt(j * (1 - j) / REGISTERS)))  # six standard deviations below the threshold
-    more = materialise(_agreeing(crossed, least).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "more")
-    links = links.unionByName(materialise(verify(more, near, k, percent), "links"))
+    opened = where.join(open_bands, "band", "left_semi").join(main, "band").join(classes.select("id", "sketch"), "id")
+    opened = materialise(opened.join(near.hint("merge"), "id"), "opened")
+    links = links.unionByName(materialise(across(opened, k, percent).distinct(), "links"))
     release(spark)
     joined = components(links)
     named = materialise(classes.select("id", "digest").join(joined.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")), "named")
-    out = signed.join(named, "digest", "left").select(
+    out = signed.join(named.hint("merge"), "digest", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
