@@ -59,8 +59,7 @@ def enhanced_suffix_array(texts: list[bytes], starts: np.ndarray, owner: np.ndar
     left = sizes[owner] - starts
     width = -(-int(left.max()) // 8) * 8
     data = np.frombuffer(b"".join(texts) + bytes(width), np.uint8)
-    at = (base[owner] + starts)[:, None] + np.arange(width)
-    rows = data[at]
+    rows = np.lib.stride_tricks.sliding_window_view(data, width)[base[owner] + starts]
     rows[np.arange(width) >= left[:, None]] = 0
     words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
     order = np.lexsort((left, *words.T[::-1]))
@@ -252,7 +251,7 @@ def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def find_runs(docs: DataFrame, parts: int, hot: np.ndarray, flush: int = 1_500_000) -> DataFrame:
+def find_runs(docs: DataFrame, parts: int, hot: np.ndarray, flush: int = 600_000) -> DataFrame:
     """(doc, place, count, anchor, kind) of runs: kind 0 repeated as a whole, 1 to be compared with others of its anchor, 2 likewise with a hot anchor."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most hot_anchors()' limit
 
@@ -323,7 +322,8 @@ def find_runs(docs: DataFrame, parts: int, hot: np.ndarray, flush: int = 1_500_0
 def _contexts(refs: DataFrame, docs: DataFrame) -> DataFrame:
     """(anchor, kind, doc, place, count, span) with the bytes of each run's span."""
     by_doc = refs.groupBy("doc").agg(F.collect_list(F.struct("place", "count", "anchor", "kind")).alias("refs"))
-    joined = docs.join(by_doc, docs["id"] == by_doc["doc"]).select("doc", "text", "refs")
+    # A sort-merge join at every size: texts grow with the input.
+    joined = docs.join(by_doc.hint("merge"), docs["id"] == by_doc["doc"]).select("doc", "text", "refs")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -363,7 +363,7 @@ def repeats_among(docs: list[int], places: list[int], spans: list[bytes]) -> Ite
 
 _SPANS = "doc long, first long, end long"
 #: Bytes of spans that one suffix array takes; an anchor's spans are never parted.
-_ARRAY = 4 << 20
+_ARRAY = 1 << 20
 
 
 def _array_spans(contexts: DataFrame, parts: int) -> DataFrame:
@@ -472,7 +472,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, *keep: Column, **o
     release(spark)
     docs = df.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
     names = docs.columns[:-1]
-    joined = docs.join(spans, docs[id_col] == spans["_doc"], "left").select(*names, "_text", "spans")
+    joined = docs.join(spans.hint("merge"), docs[id_col] == spans["_doc"], "left").select(*names, "_text", "spans")
     more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
     def make():
