@@ -69,7 +69,7 @@ def model_of(counts: list[tuple[str, str, int]], max_n: int = 5) -> LanguageMode
         for size in range(1, max_n + 1):
             for i in range(len(padded) - size + 1):
                 grams.setdefault(padded[i : i + size], [0.0] * len(langs))[k] += n
-    table = np.array(list(words.values())).reshape(-1, len(langs))
+    table = np.array(list(words.values()), float).reshape(len(words), len(langs))
     totals = table.sum(axis=0) if len(table) else np.zeros(len(langs))
     logs = np.log((table + 0.5) / (totals + 0.5 * max(1, len(words)))) if len(langs) else table
     sums = [[0.0] * len(langs) for _ in range(max_n + 1)]

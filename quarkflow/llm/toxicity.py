@@ -102,7 +102,7 @@ def build_index(texts: list[str], labels: list[int], ids: list[int], error: floa
     tested = {t: d for t, d in df.items() if min_df <= d < n and 0 < pos < n}
     # The upper tail of chi-square with one degree of freedom is below 2 exp(-x / 2) / sqrt(2 pi x).
     odds = math.log(max(len(tested), 1) / error)
-    min_chi2 = 2 * odds - math.log(math.pi * odds)
+    min_chi2 = 2 * odds - math.log(math.pi * odds) if odds > 0.5 else 0.0
     for t, d in tested.items():
         a = df_pos[t]
         chi2 = n * (a * (n - d - pos + a) - (d - a) * (pos - a)) ** 2 / (d * (n - d) * pos * (n - pos))
