@@ -5,11 +5,11 @@ stack, which visits the interval tree bottom-up, and puts out every interval of
 differ in the byte before them: the maximal repeats, each with all its occurrences.
 
 To do this for a corpus, equal strings must meet in one task, and only those. Every string of `length` bytes holds one
-anchor: the 16 bytes of least hash in it (the leftmost of equals). Neighbouring strings share anchors, so a document is
-cut into runs of start places with one anchor, some 18 places each. A run travels as a few bytes: hash of the anchor,
+anchor: the GRAM bytes of least hash in it (the leftmost of equals). Neighbouring strings share anchors, so a document is
+cut into runs of start places with one anchor, some 14 places each. A run travels as a few bytes: hash of the anchor,
 hash of its whole span, document, place. Where anchor and span agree, all strings of the run do, and only the run of
 the smallest document stays in question; the others' spans are repeats as they stand. Runs of one anchor with different
-spans overlap in part: their spans (at most 84 bytes) are fetched from the texts and go through the suffix array, one
+spans overlap in part: their spans (at most 76 bytes) are fetched from the texts and go through the suffix array, one
 per task for all its anchors, and the repeat groups say which bytes are repeated. Anchors that very many spans share
 (found on a hash sample of documents) are dealt out by span instead, and their strings are compared by grouped minima
 of 128-bit digests, so that no task holds a group of unbounded size.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarkflow.llm.common import map_batches, materialise, mix64, release, schema_of
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(5000))
 _ODD = mix64(np.arange(6000, 6064, dtype=np.uint64)) | np.uint64(1)
 _POS = np.uint64((1 << 24) - 1)
@@ -152,6 +152,8 @@ def runs_of(pieces: list[tuple[int, int, bytes]]) -> Runs:
     for size in (1, 2, 4, 8):
         h = _grams(h, size)
     wide = _grams(h, 16)
+    if GRAM > 16:
+        h = _grams(h, GRAM - 16)
     key = h * _ODD[40]
     key ^= key >> np.uint64(32)
     key *= _ODD[41]
