@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarkflow.llm.common import shared_path
+from quarkflow.llm.common import materialise, shared_path
 
 MIN_REVISIT_BYTES = 1000
 CRLF = "\r\n"
@@ -43,12 +43,14 @@ def headers(df: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataF
 
 def resolve_revisits(heads: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Adds record_type, refers_to (id of the original) and refers_to_url to headers."""
-    originals = (
+    # Written before the join, so that both sides are exchanged and adaptive execution can split a hot digest.
+    originals = materialise(
         heads.where(F.col("payload_bytes") >= min_bytes)
         .groupBy("payload_digest", "payload_bytes")
         .agg(F.max(F.struct("rec_id", "url")).alias("_orig"), F.count(F.lit(1)).alias("_n"))
         .where((F.col("_n") > 1) & F.col("_orig.rec_id").isNotNull())
-        .select("payload_digest", "payload_bytes", F.col("_orig.rec_id").alias("_orig_id"), F.col("_orig.url").alias("_orig_url"))
+        .select("payload_digest", "payload_bytes", F.col("_orig.rec_id").alias("_orig_id"), F.col("_orig.url").alias("_orig_url")),
+        "originals",
     )
     revisit = F.col("_orig_id").isNotNull() & ~F.col("rec_id").eqNullSafe(F.col("_orig_id"))
     return heads.join(originals, ["payload_digest", "payload_bytes"], "left").select(
@@ -143,12 +145,13 @@ def resolve_payloads(records: DataFrame) -> DataFrame:
 
     A revisit whose original is missing keeps the digest of its own header and a null length.
     """
-    base = records.select(
+    base = materialise(records.select(
         _id_of(F.col("record_id")).alias("rec_id"), "warc_type", "target_uri", F.col("payload_bytes").alias("_bytes"), F.col("computed_digest").alias("_computed"),
         F.regexp_replace("payload_digest", "^sha1:", "").alias("_stated"), _id_of(F.col("refers_to_id")).alias("_refers"),
-    )
+    ), "headers")
     revisits = base.where(F.col("warc_type") == "revisit")
     named = base.where((F.col("warc_type") == "response") & (F.col("_bytes") > 0)).groupBy(F.col("rec_id").alias("_refers"), F.col("_computed").alias("_stated")).agg(F.max("_bytes").alias("_full"))
+    named = materialise(named.join(revisits.select("_refers", "_stated").distinct(), ["_refers", "_stated"], "left_semi"), "named")
     first = base.where(F.col("warc_type") != "revisit").select("rec_id", F.col("_bytes").alias("payload_bytes"), F.col("_computed").alias("payload_digest"), F.col("warc_type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     second = revisits.join(named, ["_refers", "_stated"], "left").select("rec_id", F.col("_full").alias("payload_bytes"), F.col("_stated").alias("payload_digest"), F.col("warc_type").alias("record_type"), F.col("_refers").alias("refers_to"))
     return first.unionByName(second)
