@@ -43,8 +43,14 @@ def gather(values: Column, positions: Column) -> Column:
 
 
 def vocabulary(df: DataFrame, array: str) -> list[int]:
-    """Sorted distinct values of an array column: a small code list, gathered from partial sets."""
-    return sorted(r[0] for r in df.select(F.explode(array).alias("v")).where("v is not null").distinct().collect())
+    """Sorted distinct values of an array column: a code list of at most MAX_CODES, gathered from partial sets."""
+    rows = df.select(F.explode(array).alias("v")).where("v is not null").distinct().limit(MAX_CODES + 1).collect()
+    if len(rows) > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} codes")
+    return sorted(r[0] for r in rows)
+
+
+MAX_CODES = 1000
 
 
 def one_hot(values: Column, codes: list[int], prefix: str = "pdg_") -> dict[str, Column]:

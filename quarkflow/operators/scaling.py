@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarkflow.functions.expr import INF, NAN, d, is_close, is_finite
+from quarkflow.operators.stats import exact_quantiles
 
 EPSILON = 1e-6
 
@@ -21,12 +22,11 @@ def long_values(df: DataFrame, features: dict[str, Column], *keep: str) -> DataF
 
 
 def percentile_scalers(values: DataFrame, lo: float = 0.16, hi: float = 0.84) -> DataFrame:
-    """(feature, kind, p16, p84) by linear interpolation over finite non-zero values; kind `uninformative` where there are none or both are close.
-
-    Exact percentiles count distinct values per feature, so partial aggregates keep one entry per distinct value.
-    """
+    """(feature, kind, p16, p84) by linear interpolation over finite non-zero values; kind `uninformative` where there are none or both are close."""
     x = F.when(is_finite(F.col("value")) & (F.col("value") != 0), F.col("value"))
-    found = values.groupBy("feature").agg(F.percentile(x, [lo, hi]).alias("p")).select("feature", F.get("p", F.lit(0)).alias("p16"), F.get("p", F.lit(1)).alias("p84"))
+    known = values.select("feature").distinct()
+    exact = exact_quantiles(values.withColumn("_v", x), "_v", (lo, hi), "feature")
+    found = known.join(exact, "feature", "left").select("feature", F.get("q", F.lit(0)).alias("p16"), F.get("q", F.lit(1)).alias("p84"))
     poor = F.col("p16").isNull() | is_close(F.col("p16"), F.col("p84"))
     return found.select("feature", F.when(poor, "uninformative").otherwise("scale").alias("kind"), F.when(~poor, F.col("p16")).alias("p16"), F.when(~poor, F.col("p84")).alias("p84"))
 
@@ -36,8 +36,8 @@ def scale(x: Column, p16: Column, p84: Column) -> Column:
 
 
 def scale_values(values: DataFrame, scalers: DataFrame) -> DataFrame:
-    """values with `scaled`: affine where the scaler informs, else the value itself. scalers has one row per feature (a bounded set), checked by its caller."""
-    joined = values.join(F.broadcast(scalers.limit(MAX_FEATURES)), "feature", "left")
+    """values with `scaled`: affine where the scaler informs, else the value itself."""
+    joined = values.join(small(scalers), "feature", "left")
     return joined.withColumn("scaled", F.when(F.col("kind") == "scale", scale(F.col("value"), F.col("p16"), F.col("p84"))).otherwise(F.col("value"))).drop("kind", "p16", "p84")
 
 
@@ -45,9 +45,17 @@ def scale_values(values: DataFrame, scalers: DataFrame) -> DataFrame:
 MAX_FEATURES = 10_000
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A table of one row per feature, to be broadcast; its size is checked first."""
+    rows = table.limit(MAX_FEATURES + 1).collect()
+    if len(rows) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features")
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
 def scaler_table(scalers: DataFrame) -> dict[str, tuple[str, float | None, float | None]]:
     """The scalers on the driver: one entry per feature."""
-    return {r.feature: (r.kind, r.p16, r.p84) for r in scalers.limit(MAX_FEATURES).collect()}
+    return {r.feature: (r.kind, r.p16, r.p84) for r in small(scalers).collect()}
 
 
 def apply_scalers(arrays: dict[str, Column], scalers: dict[str, tuple[str, float | None, float | None]]) -> dict[str, Column]:
@@ -81,6 +89,6 @@ def standardize(nodes: DataFrame, features: list[str], train: DataFrame) -> Data
 def exclude_zeros(values: DataFrame, zeros: DataFrame, rel: float = 1e-4) -> DataFrame:
     """Values that are no NaN and not close to their feature's image of zero."""
     v, z = F.col("value"), F.col("scaled_zero")
-    joined = values.join(F.broadcast(zeros.limit(MAX_FEATURES)), "feature", "left")
+    joined = values.join(small(zeros), "feature", "left")
     near = F.abs(v - z) <= d(rel) * F.greatest(F.abs(v), F.abs(z))
     return joined.where(~F.isnan(v) & (F.abs(v) <= d(INF)) & ~F.coalesce(near, F.lit(False))).drop("scaled_zero")

@@ -16,12 +16,57 @@ def not_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+_CELLS = 256
+
+
+def exact_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...], *keys: str) -> DataFrame:
+    """(keys, q: array) of the linear-interpolation quantiles of non-NULL values, one row per key with values; no task holds all values of a key.
+
+    Equal values are counted first. The distinct ones are cut into cells by approximate quantiles of their key; cells
+    are summed, ranks run inside a cell, and the two values beside each wanted rank are picked by a plain aggregate.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(column).cast("double").alias("_x")).where("_x is not null")
+    rows = rows if keys else rows.withColumn("_key0", F.lit(0))
+    names = names or ["_key0"]
+    counts = rows.groupBy(*names, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    per_key = counts.groupBy(*names).agg(F.percentile_approx("_x", [i / _CELLS for i in range(1, _CELLS)], 1000).alias("_cuts"), F.sum("_c").alias("_n"))
+    found = per_key.limit(MAX_KEYS + 1).collect()
+    if len(found) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} keys")
+    small = F.broadcast(df.sparkSession.createDataFrame(found, per_key.schema))  # its size is checked
+    on = [counts[n].eqNullSafe(small[n]) for n in names]
+    cells = counts.join(small, on).select(*(counts[n] for n in names), "_x", "_c", "_n", F.size(F.filter("_cuts", lambda q: q < F.col("_x"))).alias("_cell"))
+    before = Window.partitionBy(*names).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most _CELLS rows a key
+    sums = cells.groupBy(*names, "_cell").agg(F.sum("_c").alias("_s")).select(*names, "_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum("_c").over(Window.partitionBy(*names, "_cell").orderBy("_x"))
+    ranked = cells.withColumn("_upto", inside).alias("a").join(F.broadcast(sums).alias("b"), [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in [*names, "_cell"]])
+    ranked = ranked.select(*(F.col(f"a.{n}") for n in names), "_x", "_n", (F.col("_before") + F.col("_upto")).alias("_hi"), (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_lo"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("_x")))
+
+    out = []
+    for q in quantiles:
+        place = d(q) * (F.col("_n") - 1)
+        low, part = F.floor(place), place - F.floor(place)
+        out.append(at(low) * (1 - F.max(part)) + at(F.ceil(place)) * F.max(part))
+    picked = ranked.groupBy(*names).agg(F.array(*out).alias("q"))
+    return picked.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), "q")
+
+
+#: Keys of exact_quantiles() at most: their cuts are on the driver.
+MAX_KEYS = 10_000
+
+
 def describe(df: DataFrame, column: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), *keys: str) -> DataFrame:
     """count, mean, sample std, min, quantiles (linear) and max, by keys."""
     x = not_nan(F.col(column).cast("double"))
-    aggs = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min")]
-    aggs += [F.percentile(x, q).alias(f"p{q * 100:g}".replace(".", "_")) for q in quantiles]
-    return df.groupBy(*keys).agg(*aggs, F.max(x).alias("max"))
+    plain = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    found = exact_quantiles(df.withColumn("_v", x), "_v", quantiles, *keys)
+    rows = plain.alias("a").join(found.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] or F.lit(True), "left")
+    named = [F.get("q", F.lit(i)).alias(f"p{q * 100:g}".replace(".", "_")) for i, q in enumerate(quantiles)]
+    return rows.select(*(F.col(f"a.{k}") for k in keys), "n", "mean", "std", "min", *named, "max")
 
 
 def mean_std(df: DataFrame, columns: list[str], *keys: str, population: bool = False) -> DataFrame:

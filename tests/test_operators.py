@@ -201,3 +201,14 @@ def test_running_best_and_losses(spark):
     assert [r.improved for r in stats.running_best(df, "loss", "epoch", "run").orderBy("epoch").collect()] == [True, False, True]
     m = spark.createDataFrame([(1, 1.0, 3.0, True), (1, 0.0, 9.0, False), (2, 1.0, 1.0, False)], "k int, t double, o double, m boolean")
     assert {r.k: r.loss for r in stats.masked_mse(m, "k", "t", "o", "m").collect()} == {1: 4.0, 2: 0.0}
+
+
+def test_exact_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(0)
+    rows = [(str(k), float(x)) for k in range(3) for x in rng.normal(size=700 * k + 3).round(2)] + [(None, 4.0), ("0", None)]
+    got = {r.k: r.q for r in stats.exact_quantiles(spark.createDataFrame(rows, "k string, x double"), "x", (0.0, 0.16, 0.5, 0.84, 1.0), "k").collect()}
+    for k in ("0", "1", "2", None):
+        x = [v for key, v in rows if key == k and v is not None]
+        assert got[k] == pytest.approx(np.percentile(x, [0, 16, 50, 84, 100]))
+    flat = spark.createDataFrame([(2.0,)] * 50, "x double")
+    assert stats.exact_quantiles(flat, "x", (0.3,)).first().q == [2.0] and stats.exact_quantiles(flat.limit(0), "x", (0.3,)).count() == 0
