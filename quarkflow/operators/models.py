@@ -310,3 +310,23 @@ def network_scores(df: DataFrame, features: list[str], targets: list[str], model
             yield pdf[names].assign(score=((model.predict(x) - y) ** 2).mean(axis=1))
 
     return rows.mapInPandas(run, schema)
+
+
+def save_weights(model: Mlp | EdgeConvEncoder, path: str) -> None:
+    """Weights with the model's kind and shape, as a local .npz file of the driver."""
+    if isinstance(model, Mlp):
+        np.savez(path, kind="mlp", shape=np.array(model.sizes), **{f"{n}{i}": p for i, layer in enumerate(model.layers) for n, p in zip("wb", layer)})
+    else:
+        np.savez(path, kind="edgeconv", shape=np.array([model.features, model.width, model.smallest, model.k]), **{f"{n}.{i}": p for n, pair in model.weights.items() for i, p in enumerate(pair)})
+
+
+def load_weights(path: str, kind: type) -> Mlp | EdgeConvEncoder:
+    """A saved model; one of another kind than asked for is an error."""
+    with np.load(path) as f:
+        if str(f["kind"]) != {Mlp: "mlp", EdgeConvEncoder: "edgeconv"}[kind]:
+            raise TypeError(f"{path} holds a model of kind {f['kind']}")
+        shape = f["shape"].tolist()
+        if kind is Mlp:
+            return Mlp(tuple(shape), layers=[[f[f"w{i}"], f[f"b{i}"]] for i in range(len(shape) - 1)])
+        names = {k.rpartition(".")[0] for k in f.files if "." in k}
+        return EdgeConvEncoder(*shape, weights={n: (f[f"{n}.0"], f[f"{n}.1"]) for n in names})
