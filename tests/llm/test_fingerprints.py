@@ -43,7 +43,7 @@ def test_sizes_and_shift_resistance():
     rng = np.random.default_rng(0)
     data = bytes(rng.integers(97, 123, 50_000, dtype=np.uint8))
     sizes = np.diff([0, *cdc.chunk_ends(data)])
-    assert sizes[:-1].min() >= cdc.MIN and sizes.max() <= cdc.MAX and 40 < sizes.mean() < 130
+    assert sizes[:-1].min() >= cdc.MIN and sizes.max() <= cdc.MAX and 25 < sizes.mean() < 80
     shifted = b"inserted at the front " + data
     assert cdc.likeness(cdc.chunk_set(data), cdc.chunk_set(shifted)) > 0.99
     assert cdc.likeness(cdc.chunk_set(data), cdc.chunk_set(data[:25_000])) > 0.99  # contained
