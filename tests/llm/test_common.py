@@ -1,19 +1,19 @@
+from types import SimpleNamespace
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from quarkflow.llm import common
 
 
-def test_tables_go_to_the_shared_folder(spark, tmp_path):
-    own = common.shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        df = common.materialise(spark.range(5), "numbers")
-        assert df.inputFiles()[0].startswith(f"file://{tmp_path}/quarkflow-{spark.sparkContext.applicationId}/numbers-")
-        assert df.count() == 5
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert common.shared_dir(spark) == own
+def test_tables_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": f"{tmp_path}/"}.get(key, default)), sparkContext=spark.sparkContext)
+    where = common.shared_dir(session)
+    assert where == f"{tmp_path}/quarkflow-{spark.sparkContext.applicationId}"
+    assert common.shared_dir(spark) == common.shared_dir(spark) != where
+    monkeypatch.setattr(common, "shared_dir", lambda _: where)
+    df = common.materialise(spark.range(5), "numbers")
+    assert df.inputFiles()[0].startswith(f"file://{where}/numbers-") and df.count() == 5
 
 
 def test_folds_and_hashes(spark):
