@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,13 +54,14 @@ def fold_of(id_column: Column, folds: int) -> Column:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow where make() builds a worker's state once and its result maps one batch."""
+    """mapInArrow where make() builds a task's state once and its result maps a batch, _ROWS rows at a time: so many are Python objects at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, _ROWS):
+                if (out := work(batch.slice(at, _ROWS))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -85,7 +85,7 @@ def model_of(counts: list[tuple[str, str, int]], max_n: int = 5) -> LanguageMode
 class Scorer:
     """Predicts one text after another; unseen words' scores are kept in a bounded table."""
 
-    def __init__(self, model: LanguageModel, kept_words: int = 200_000):
+    def __init__(self, model: LanguageModel, kept_words: int = 100_000):
         self.m, self.kept_words = model, kept_words
         self.rows = model.word_logs.tolist()
         self.cache: dict[str, list[float]] = {}
