@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from quarkflow.llm.common import mix64
 
-MIN, NORMAL, MAX = 24, 64, 256
+MIN, NORMAL, MAX = 16, 40, 160
 #: Bits of the hash that must be zero before and after the normal size. The top bits depend on the whole window.
-STRICT, LOOSE = np.uint32(0xFE000000), np.uint32(0xF8000000)
+STRICT, LOOSE = np.uint32(0xFC000000), np.uint32(0xF0000000)
 #: A byte's random number.
 GEAR = (mix64(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_DIGITS, _SIZE_DIGITS = 12, 3
+_DIGITS, _SIZE_DIGITS = 12, 2
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
