@@ -16,7 +16,7 @@ def not_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-_CELLS = 256
+_CELLS = 64
 
 
 def exact_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...], *keys: str) -> DataFrame:
