@@ -122,6 +122,42 @@ def test_vectors_against_brute_force(spark):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_dense_groups_whose_lists_hold_only_their_own(spark):
+    rng = np.random.default_rng(5)
+    # In a group cosines are about .99, across the groups about .96: no list of 32 has room for the other group.
+    base = rng.standard_normal(64)
+    base /= np.linalg.norm(base)
+    turn = rng.standard_normal(64)
+    turn -= turn @ base * base
+    turn /= np.linalg.norm(turn)
+    angle = np.arccos(0.97) / 2
+    rows = []
+    for g in (-1, 1):
+        centre = np.cos(angle) * base + g * np.sin(angle) * turn
+        rows += [(len(rows) + i, (centre + 0.0125 * rng.standard_normal(64)).tolist()) for i in range(150)]
+    x = np.array([v for _, v in rows])
+    sims = nn_descent.cosines(x, x)
+    np.fill_diagonal(sims, 0)
+    assert (sims[:150, 150:] >= 0.95).mean() > 0.9 and (np.sort(sims[:150, :150], axis=1)[:, -32] > sims[:150, 150:].max(axis=1)).all()
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").collect()
+    assert {r.component_id for r in got} == {0}
+    assert {r.id: r.n_links for r in got} == dict(enumerate((sims >= 0.95).sum(axis=1).tolist()))
+    assert {r.audit_recall for r in got} == {1.0}
+
+
+def test_completion_by_shares_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((12, 16))[rng.integers(0, 12, 200)] + 0.2 * rng.standard_normal((200, 16))
+    vectors = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vec binary")
+    sims = nn_descent.cosines(x, x)
+    want = brute_components([(a, b) for a, b in zip(*np.nonzero(sims >= 0.95)) if a != b], range(200))
+    none = spark.createDataFrame([], "node long, component long")
+    for share_bytes, rows in ((1 << 20, 256), (16 * 8 * 30, 7)):
+        pairs = [(r.u, r.v) for r in nn_descent.complete(vectors, none, 0.95, share_bytes, rows).collect()]
+        assert brute_components(pairs, range(200)) == want
+    assert len(set(want.values())) < 200
+
+
 def test_vector_table(spark, data):
     rows = op5_nn_descent(spark, data).collect()
     assert len(rows) == spark.read.parquet(f"{data}/embeddings.parquet").count() and all(r.audit_recall >= 0.9 for r in rows)
