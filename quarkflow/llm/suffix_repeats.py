@@ -7,7 +7,7 @@ differ in the byte before them: the maximal repeats, each with all its occurrenc
 To do this for a corpus, equal strings must meet in one task, and only those. Every string of `length` bytes holds one
 anchor: the GRAM bytes of least hash in it (the leftmost of equals). Neighbouring strings share anchors, so a document is
 cut into runs of start places with one anchor, some 14 places each. A run travels as a few bytes: hash of the anchor,
-hash of its whole span, document, place. Where anchor and span agree, all strings of the run do, and only the run of
+64-bit hash of its whole span, document, place. Where anchor and span agree, all strings of the run do, and only the run of
 the smallest document stays in question; the others' spans are repeats as they stand. Runs of one anchor with different
 spans overlap in part: their spans (at most 76 bytes) are fetched from the texts and go through the suffix array, one
 per task for all its anchors, and the repeat groups say which bytes are repeated. Anchors that very many spans share
@@ -126,7 +126,7 @@ class Runs:
         (n,) = struct.unpack_from("<I", blob)
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8)
         out, at = [], 0
-        for kind in (np.uint64, np.uint32, np.int64, np.uint32, np.uint8):
+        for kind in (np.uint64, np.uint64, np.int64, np.uint32, np.uint8):
             width = np.dtype(kind).itemsize
             out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
             at += n * width
@@ -172,11 +172,11 @@ def runs_of(pieces: list[tuple[int, int, bytes]]) -> Runs:
     at = np.flatnonzero(begins)
     count = np.bincount(np.cumsum(begins)[inside], minlength=len(at) + 1)[1:]
     span = count + (LENGTH - 1)
-    hashed = mix64(wide[at] * _ODD[50] + wide[at + (span - 32) // 2] * _ODD[51] + wide[at + span - 32] * _ODD[52] + span.astype(np.uint64)) >> np.uint64(32)
+    hashed = mix64(wide[at] * _ODD[50] + wide[at + (span - 32) // 2] * _ODD[51] + wide[at + span - 32] * _ODD[52] + span.astype(np.uint64))
     piece = number[at]
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     ids, places = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64)
-    return Runs(h[where[at]], hashed.astype(np.uint32), ids[piece], at - first[piece] + places[piece], count)
+    return Runs(h[where[at]], hashed, ids[piece], at - first[piece] + places[piece], count)
 
 
 def pieces_of(doc: int, text: bytes) -> Iterator[tuple[int, int, bytes]]:

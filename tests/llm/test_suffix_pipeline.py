@@ -90,6 +90,16 @@ def test_removal_of_odd_rows(spark):
     assert texts[2] is None and texts[3] == "" and texts[5] == ""
 
 
+def test_different_spans_of_one_anchor_stay(spark):
+    # One anchor in both; the spans' hashes agree in 32 bits.
+    a = b"bmisqyfisoxsvlwxocusffdertkidscskuwzbouhvuxaaskaeqrqaomofglcaruotwkitqztkshl"
+    b = b"hcpzkrvmknqseqrptvxbesgiudkidscskuwzbouhvuxaaskaeqdqpnlxjhcduldxbtmlgvnndzyj"
+    runs = sr.runs_of([(1, 0, a), (2, 0, b)])
+    assert runs.anchor[0] == runs.anchor[1] and runs.count.tolist() == [27, 27]
+    rows = [(1, a.decode()), (2, b.decode())]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_texts_longer_than_a_part(spark, monkeypatch):
     monkeypatch.setattr(sr, "_PART", 300)
     text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(2000))
