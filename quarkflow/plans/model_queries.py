@@ -28,9 +28,11 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 @register()
 def latent_pca(spark, sf_dir):
+    """The first two principal components of the embeddings, over all their dimensions."""
     v = fx.table(spark, sf_dir, "embeddings")
-    wide = v.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)))
-    rows, _ = models.pca(wide, [f"x{i}" for i in range(8)])
+    size = v.agg(F.max(F.size("embedding"))).first()[0]
+    wide = v.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(size)))
+    rows, _ = models.pca(wide, [f"x{i}" for i in range(size)])
     return rows.select("vec_id", F.get("pc", F.lit(0)).alias("pc0"), F.get("pc", F.lit(1)).alias("pc1"))
 
 

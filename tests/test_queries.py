@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB, and the shape of the others."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from quarkflow.plans import model_queries  # noqa: F401  registers its queries
@@ -27,6 +28,15 @@ def test_runs(spark, data, name):
     assert queries()[name](spark, data).count() > 0
 
 
+def test_latent_pca_takes_all_dimensions(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    got = np.array([[r.pc0, r.pc1] for r in queries()["latent_pca"](spark, data).orderBy("vec_id").collect()])
+    want = (x - x.mean(axis=0)) @ axes[:2].T
+    assert np.allclose(np.abs(got - got.mean(axis=0)), np.abs(want), atol=1e-6)
+
+
 def test_edge_counts(spark, data):
     q = queries()
     sizes = [r.n for r in q["multiplicity"](spark, data).collect()]
