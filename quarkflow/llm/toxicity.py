@@ -200,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     chosen = drawn[0].unionByName(drawn[1])
     # At most max_examples ids by the limits above, so they may be broadcast: no text is shuffled for the sample.
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "i").orderBy("y", "i", "t").limit(2 * max_examples).collect()  # ids may repeat in docs
-    rows = list({(r.i, r.t): r for r in rows}.values())
+    # Ids may repeat in docs: each gives one example, its smallest text (and is toxic if any label says so).
+    rows = texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.max("y").alias("y"), F.min("t").alias("t")).orderBy("y", "i").collect()
     return build_model([r.t for r in rows], [r.y for r in rows], [r.i for r in rows], **options)
 
 

@@ -98,3 +98,12 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(empty(spark), "text", model, F.col("doc_id")).count() == 0
     none = toxicity.fit(empty(spark), labels, "doc_id", "text", "toxic")
     assert {r.score for r in toxicity.score(odd(spark), "text", none, F.col("doc_id")).collect()} == {0.0}
+
+
+def test_repeated_rows_leave_both_classes(spark):
+    rows = [(i, ("you idiot scum " if i % 2 else "a fine day ") + f"w{chr(97 + i % 5)} x") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, "doc_id", "text", "toxic", max_examples=60)
+    often = toxicity.fit(spark.createDataFrame(rows * 4 + [rows[0]] * 500, "doc_id long, text string"), labels, "doc_id", "text", "toxic", max_examples=60)
+    assert often.index.ids.tolist() == once.index.ids.tolist() and often.index.labels.sum() == 30
+    assert often.score("such an idiot") == once.score("such an idiot") and often.score("such an idiot")[0] > 0.5
