@@ -11,6 +11,9 @@ Repeated rows give repeated results; ids may be null; extra input columns are ig
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +72,12 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+#: (licence id, full text) of longer licences as published.
+_FULL = tuple((k, t) for k, t in json.loads((Path(__file__).parent / "licenses.json").read_text("utf-8")))
+
 #: (licence id, text or one-line notice) of licences as published. Fixed values.
 KNOWN = (
+    *_FULL,
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT),

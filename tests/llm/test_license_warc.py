@@ -19,6 +19,12 @@ def test_variants_of_a_license_have_one_digest(spark):
     assert got[0].text_digest == got[1].text_digest
 
 
+def test_full_texts_are_known(spark):
+    full = dict(license_scan._FULL)
+    got = scan(spark, full["Apache-2.0"], full["GPL-2.0"].upper(), full["GPL-3.0"].replace("\n", "\r\n"), full["LGPL-2.1"], full["MPL-2.0"], full["GPL-3.0"] + "More.")
+    assert [got[i].license_id for i in range(6)] == ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", None]
+
+
 def test_notices_in_lines(spark):
     got = scan(spark, "Some text.\nreleased under the MIT licence\nmore", "Licensed under CC-BY-NC 4.0!\nReleased under the MIT License.", "no licence here", None, "")
     assert [got[i].notices for i in range(5)] == ["MIT", "CC-BY-NC-4.0,MIT", None, None, None]
