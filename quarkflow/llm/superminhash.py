@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from quarkflow.llm.common import map_batches, materialise, mix64, release
 from quarkflow.llm.components import UnionFind, components
 
-REGISTERS, BANDS = 128, 16
+REGISTERS = 128
+#: A pair at the threshold may share no band with at most this probability.
+_MISS = 1e-6
 _ODD = (mix64(np.arange(100, 164, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 #: What step j adds to an element before it is mixed.
 _STEPS = mix64(np.arange(1000, 1000 + 65_536, dtype=np.uint64))
@@ -94,7 +96,15 @@ def superminhash(elements: np.ndarray, docs: np.ndarray, n_docs: int, m: int = R
     return h
 
 
-def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """The fewest bands that a pair of similarity percent / 100 shares none of with probability _MISS at most (single registers if none do)."""
+    for bands in (2, 4, 8, 16, 32, 64):
+        if (1 - (percent / 100) ** (REGISTERS // bands)) ** bands <= _MISS:
+            return bands
+    return REGISTERS
+
+
+def band_hashes(signatures: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit hash per document and band; the band's number is part of it."""
     bits = signatures.view(np.uint64)
     rows = signatures.shape[1] // bands
@@ -107,7 +117,7 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
-def sign(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def sign(df: DataFrame, id_col: str, text_col: str, k: int, n_bands: int) -> DataFrame:
     """(id, n_shingles, digest, bands, sketch) of every row; the last three are null without shingles."""
 
     def make():
@@ -124,7 +134,7 @@ def sign(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     to += 1
                 own = filled[at:to]
                 sig = superminhash(np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), [len(sets[i]) for i in own]), len(own))
-                hashed, low = band_hashes(sig).view(np.int64), (mix64(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+                hashed, low = band_hashes(sig, n_bands).view(np.int64), (mix64(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
                 for x, i in enumerate(own):
                     bands[i], sketch[i] = hashed[x], low[x].tobytes()
                 at = to
@@ -251,7 +261,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, perce
     """Per row: id, n_shingles, component_id, kept. Links: k-word shingle sets with 100 * intersection >= percent * union."""
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(sign(df, id_col, text_col, k), "signed")
+    signed = materialise(sign(df, id_col, text_col, k, bands_for(percent)), "signed")
     full = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     classes = materialise(full.groupBy("digest").agg(F.min(F.struct("id", "bands", "sketch")).alias("c")).select("digest", "c.*"), "classes")
     members = classes.select("id", F.explode("bands").alias("band"))

@@ -83,6 +83,20 @@ def test_signatures_estimate_similarity():
         assert (alone[0] == sig[0]).all()
 
 
+@pytest.mark.parametrize("k, percent", [(5, 80), (3, 85)])
+def test_isolated_pairs_at_the_threshold(spark, k, percent):
+    # A pair shares `both` shingles and each has `own` of its own: 100 * both = percent * (both + 2 * own). No other text is like them.
+    own = 10 if percent == 80 else 3
+    both = percent * 2 * own // (100 - percent)
+    assert 100 * both == percent * (both + 2 * own)
+    rows = []
+    for i in range(400):
+        common = [f"c{i}x{j}" for j in range(both + k - 1)]
+        rows += [(2 * i + s, " ".join(common + [f"o{i}s{s}x{j}" for j in range(own)])) for s in (0, 1)]
+    got = superminhash.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", k=k, percent=percent).collect()
+    assert {r.id: r.component_id for r in got} == {i: i - i % 2 for i in range(800)}
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = superminhash.near_duplicates(odd(spark), "doc_id", "text").collect()
     assert len(rows) == 11
