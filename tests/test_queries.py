@@ -1,5 +1,10 @@
 """Every query with SQL against DuckDB, and the shape of the others."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import numpy as np
 import pytest
@@ -48,3 +53,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_stands_without_the_training_data_operators(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    shutil.copytree(f"{root}/quarkflow", tmp_path / "quarkflow", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    code = "import __spark_entry__ as e, bench; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n == 'pipeline' or n.startswith('op')]"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
