@@ -7,8 +7,9 @@ the set of (chunk digest, chunk length); two fingerprints are compared by the le
 part of the shorter one: containment.
 
 Defined results: a null text is the empty text; its fingerprint is empty. Two empty fingerprints have likeness 1, an
-empty and another one 0. next_document(): rows of equal id follow each other in the order of their texts, rows with
-a null id come first and share one task. Extra columns are ignored.
+empty and another one 0. next_document(): rows of equal id follow each other in the order of a hash of their texts
+(then of the texts), rows with a null id come first in the same order. As many rows come out as went in. Extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ MIN, NORMAL, MAX = 16, 40, 160
 STRICT, LOOSE = np.uint32(0xFC000000), np.uint32(0xF0000000)
 #: A byte's random number.
 GEAR = (mix64(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_DIGITS, _SIZE_DIGITS = 12, 2
+_DIGITS, _SIZE_DIGITS = 20, 2
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -93,39 +94,59 @@ def likeness(a: dict[str, int], b: dict[str, int]) -> float:
     return shared / min(sum(a.values()), sum(b.values()))
 
 
-def next_document(df: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> DataFrame:
-    """Rows (_part, _copy, id, text) dealt and sorted so that a part's rows follow each other by id and end with a copy of the row after them (the first row of all after the last).
+def _borders(docs: DataFrame, parts: int, draw: int) -> list[tuple[int | None, int]]:
+    """Keys (id, hash) that occur, in order, the smallest of all first; each begins a part. The driver holds about draw * parts keys."""
+    about = docs.agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("ids"), F.min("id").alias("lo")).first()
+    if not about.n:
+        return []
+    first = docs.where(F.col("id").isNull() if about.ids < about.n else F.col("id") == about.lo).agg(F.min("h").alias("h")).first().h
+    start = (None if about.ids < about.n else about.lo, first)
+    if parts < 2:
+        return [start]
+    rows = docs.sample(min(1.0, draw * parts / about.n), seed=17).select("id", "h").collect()
+    keys = sorted(((r.id, r.h) for r in rows), key=_in_order)
+    step = max(1, -(-len(keys) // parts))
+    return sorted({start, *keys[step::step]}, key=_in_order)
 
-    Parts are ranges between quantiles of the ids, each starting at an id that occurs, so the row to copy is known
-    without another pass; the driver holds one number per part.
+
+def _in_order(key: tuple[int | None, int]) -> tuple[bool, int, int]:
+    return key[0] is not None, key[0] or 0, key[1]
+
+
+def next_document(df: DataFrame, id_col: str, text_col: str, parts: int | None = None, draw: int = 50) -> DataFrame:
+    """Rows (_part, _copy, id, text) dealt and sorted so that a part's rows follow each other by (id, hash of the text, text) and end with a copy of the row after them (the first row of all after the last).
+
+    Parts begin at keys (id, hash) that occur in the table, drawn from a row sample, so the row to copy is the least
+    text of the next part's first key: one text per part is fetched for it, by a join with the borders. Equal ids
+    and null ids are parted by their texts; only rows equal in id and text stay together.
     """
     spark = df.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = docs.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100_000).alias("q"), F.min("id").alias("lo"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
-    bounds = np.array(sorted(set(found.q or ()) - {found.lo}) if not found.nulls else sorted({found.lo, *(found.q or ())} - {None}), np.int64)
-
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right")).astype(np.int32))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    borders = _borders(docs, parts, draw)
+    nulls = sum(i is None for i, _ in borders)
+    ids = np.array([i for i, _ in borders if i is not None], np.int64)
+    hashes = np.array([h for _, h in borders], np.int64)
 
     @F.pandas_udf("int")
-    def copy_to(ids: pd.Series) -> pd.Series:
-        """The part that this row ends, or -1."""
-        at = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "left")
-        bound = np.zeros(len(at), bool)
-        if len(bounds):
-            bound = bounds[np.minimum(at, len(bounds) - 1)] == ids.fillna(0).to_numpy(np.int64)
-        first = ids.isna().to_numpy() if found.nulls else (ids == found.lo).to_numpy()
-        return pd.Series(np.where(first, len(bounds), np.where(bound & ~ids.isna(), at, -1)).astype(np.int32))
-
-    dealt = docs.withColumn("_own", part_of("id")).withColumn("_end", copy_to("id"))
-    both = F.array(F.struct(F.col("_own").alias("_part"), F.lit(False).alias("_copy")), F.struct(F.col("_end").alias("_part"), F.lit(True).alias("_copy")))
-    return (
-        dealt.select(F.inline(F.filter(both, lambda x: x["_part"] >= 0)), "id", "text")
-        .repartition(parts, "_part")
-        .sortWithinPartitions("_part", "_copy", "id", "text")
-    )
+    def part_of(known: pd.Series, number: pd.Series, h: pd.Series) -> pd.Series:
+        """The last border at or before a row's key."""
+        number, h = number.to_numpy(np.int64), h.to_numpy(np.int64)
+        low = np.where(known, nulls + np.searchsorted(ids, number, "left"), 0)
+        high = np.where(known, nulls + np.searchsorted(ids, number, "right"), nulls)
+        out = high.copy()
+        for a, b in {(int(x), int(y)) for x, y in zip(low[low < high], high[low < high])}:  # borders of the row's own id
+            here = (low == a) & (high == b)
+            out[here] = a + np.searchsorted(hashes[a:b], h[here], "right")
+        return pd.Series((out - 1).astype(np.int32))
+
+    own = part_of(F.col("id").isNotNull(), F.coalesce("id", F.lit(0)), F.col("h"))
+    dealt = docs.select(own.alias("_part"), F.lit(False).alias("_copy"), "id", "h", "text")
+    # A row per part: its first one, as the last of the part before.
+    begins = spark.createDataFrame([((k - 1) % len(borders), i, h) for k, (i, h) in enumerate(borders)], "_part int, i long, b long")
+    copies = docs.join(F.broadcast(begins), docs["id"].eqNullSafe(begins["i"]) & (docs["h"] == begins["b"])).groupBy("_part", "id", "h").agg(F.min("text").alias("text"))
+    ends = copies.select("_part", F.lit(True).alias("_copy"), "id", "h", "text")
+    return dealt.unionByName(ends).repartition(parts, "_part").sortWithinPartitions("_part", "_copy", "id", "h", "text")
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,6 +162,8 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part, copy, i, text in zip(*(batch.column(c) for c in ("_part", "_copy", "id", "text"))):
                 part, copy, i, text = part.as_py(), copy.as_py(), i.as_py(), text.as_py()
                 ended = held is None or held[0] != part
+                if ended and held is not None:
+                    raise ValueError(f"part {held[0]} ends without the document after it")
                 chunks = chunk_set(text.encode()) if not copy or not ended else None
                 if not ended:
                     _, own_id, own, own_chunks = held
@@ -151,5 +174,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 held = None if copy else (part, i, text, chunks)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        if held is not None:
+            raise ValueError(f"part {held[0]} ends without the document after it")
 
     return next_document(df, id_col, text_col).mapInArrow(run, schema)

@@ -1,8 +1,10 @@
 import hashlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarkflow.llm import cdc
 from quarkflow.llm.queries import op7_document_fingerprints
@@ -74,8 +76,31 @@ def test_documents_against_brute_force(spark, data):
     assert found(op7_document_fingerprints(spark, data)) == expected(rows)
 
 
+def in_order(df):
+    hashed = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    return [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text or ""))]
+
+
+@pytest.mark.parametrize("ids", ["large", "nulls among large", "all equal", "all null", "repeated rows"])
+def test_no_row_is_lost(spark, ids):
+    rng = np.random.default_rng(4)
+    large = rng.integers(-(2**62), 2**62, 2000).tolist()
+    number = {"large": large, "nulls among large": [None if n % 3 == 0 else x for n, x in enumerate(large)], "all equal": [2**62 + 1] * 2000, "all null": [None] * 2000, "repeated rows": [large[n % 5] for n in range(2000)]}[ids]
+    rows = [(i, f"text {n % 5 if ids == 'repeated rows' else n} " * 9) for n, i in enumerate(number)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = found(cdc.fingerprints(df, "doc_id", "text"))
+    assert len(got) == 2000 and got == expected(in_order(df))
+
+
+def test_a_part_without_its_end_is_an_error(spark, monkeypatch):
+    whole = cdc.next_document
+    monkeypatch.setattr(cdc, "next_document", lambda *a: whole(*a).where("not _copy"))
+    with pytest.raises(Exception, match="ends without the document after it"):
+        cdc.fingerprints(odd(spark), "doc_id", "text").collect()
+
+
 def test_odd_rows(spark):
-    rows = sorted(((r.doc_id, r.text) for r in odd(spark).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = in_order(odd(spark))
     assert found(cdc.fingerprints(odd(spark), "doc_id", "text")) == expected(rows)
     assert cdc.fingerprints(empty(spark), "doc_id", "text").count() == 0
 
