@@ -306,7 +306,6 @@ def coder(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder]:
         ranks = load_ranks(ranks_path)
         _made[ranks_path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
         gc.freeze()  # the tables hold no cycles; the collector need not walk them
-        gc.disable()
     return _made[ranks_path, pattern]
 
 

@@ -75,16 +75,14 @@ def test_roundtrip_of_documents(spark, data):
 
 
 def library():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def test_fast_encoder_gives_the_librarys_ids(spark, data):
-    texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()] + ["<|endoftext|> a", "", "é日🙂", "a" * 3000]
+    texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()] + ["hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  \n b<|endoftext", "", "é日🙂", "a" * 3000]
     own = binpack.fast_encoder(JSON, P.PATTERN)
     for text, e in zip(texts, library().encode_batch(texts, add_special_tokens=False)):
-        assert own.encode_ordinary(text) == e.ids
+        assert own.encode(text, allowed_special="all") == e.ids
 
 
 def check_pieces(rows, texts, capacity=2048):
@@ -120,6 +118,13 @@ def test_packs_documents_close_to_the_bound(spark, data):
     assert bins <= -(-sum(r.length for r in rows) // 2048) + 2
 
 
+def test_packs_texts_that_hold_the_added_token(spark):
+    texts = [(1, "hello <|endoftext|> x"), (2, "<|endoftext|>" * 3000), (3, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert binpack.fast_encoder(JSON, P.PATTERN).encode(texts[0][1], allowed_special="all") == [31373, 220, 50256, 2124]
+    check_pieces(binpack.pack(binpack.tokenize(df, "text", JSON, P.PATTERN, F.col("doc_id")), "doc_id", "piece").collect(), texts)
+
+
 def test_packs_odd_rows_and_assembles(spark):
     df = odd(spark)
     packed = binpack.pack(binpack.tokenize(df, "text", JSON, P.PATTERN, F.col("doc_id"), F.col("id"), with_ids=True), "doc_id", "piece")
