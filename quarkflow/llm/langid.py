@@ -1,10 +1,10 @@
 """Language identification by words first, then shorter and shorter character n-grams.
 
-Fitting: labelled rows are thinned by a hash of id and text to about max_docs documents (a documented bound; every
-row may be drawn), their words are counted per language by Spark, and the max_words most frequent (word, language)
-counts make the model. A word in the model scores by its log frequency in each language; an unseen word is read from
-left to right, at each place by the longest n-gram of the model's words that starts there, from max_n characters
-down to one. A text's score is the sum over all its words.
+Fitting: labelled rows are thinned by a hash of id and text to about max_docs documents (a documented bound on the
+labelled rows; every row may be drawn), and all their words are counted per language. A word is a run of letters, by one
+function for fitting and prediction. A word of the draw scores by its log frequency in each language; an unseen word is
+read from left to right, at each place by the longest n-gram of the draw's words that starts there, from max_n
+characters down to one. A text's score is the sum over all its words. No word or n-gram of the draw is left out.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Ties go to the language that sorts
 first. With no labelled row every text is `und`. Extra columns are ignored; repeated rows are scored alike.
@@ -22,103 +22,143 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarkflow.llm.common import map_batches, schema_of, with_text
+from quarkflow.llm.common import map_batches, mix64, schema_of, with_text
 
-#: A word: a run of letters.
-WORD = re.compile(r"[^\W\d_]+")
+#: A run of letters and other numbers than digits; what is no letter is taken out afterwards.
+_RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> Counter[str]:
+    """Lower-case words of a text, its longest runs of letters, with their numbers."""
+    counts = Counter(_RUN.findall(text.lower()))
+    for mixed in [w for w in counts if not w.isalpha()]:  # signs such as one half stand in runs, too
+        n = counts.pop(mixed)
+        for w in "".join([c if c.isalpha() else " " for c in mixed]).split():
+            counts[w] += n
+    return counts
+
+
 @dataclass
 class LanguageModel:
-    """langs in order; words and grams map to a row of log probabilities by language."""
+    """langs in order; words and grams map to rows of log probabilities by language."""
 
     langs: list[str]
     words: dict[str, int]
     word_logs: np.ndarray
-    grams: dict[str, tuple[float, ...]]
+    grams: dict[str, int]
+    gram_logs: np.ndarray
     max_n: int
 
 
 def word_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, word, n) over labelled rows; the counting is Spark's, with partial sums before the shuffle."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\p{L}+)"), F.lit(1)))
-    return labelled.select(F.col(lang_col).alias("lang"), words.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    """(lang, word, n) over labelled rows, with partial sums before the shuffle."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            found: dict[str, Counter[str]] = {}
+            for lang, text in zip(batch.column("lang"), batch.column("text")):
+                found.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
+            columns = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+            if not columns:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns), (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+        return work
+
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(rows, make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int = 20_000, max_words: int = 80_000, max_n: int = 5) -> LanguageModel:
+def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int = 8_000, max_n: int = 5) -> LanguageModel:
     """Fit on about max_docs labelled rows of df (null text or language is no label)."""
     labelled = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
     total = labelled.count()
     if total > max_docs:
         labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) < int(max_docs / total * (1 << 30)))
-    rows = word_counts(labelled, text_col, lang_col).orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
-    return model_of([(r.lang, r.word, r.n) for r in rows], max_n)
+    rows = word_counts(labelled, text_col, lang_col).orderBy("word", "lang").toArrow()
+    return model_of(list(zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")))), max_n)
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log shares of rows within each column."""
+    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(counts)))) if counts.size else counts
 
 
 def model_of(counts: list[tuple[str, str, int]], max_n: int = 5) -> LanguageModel:
     """The model of (lang, word, n) triples."""
     langs = sorted({c[0] for c in counts})
     at = {x: i for i, x in enumerate(langs)}
-    words: dict[str, list[float]] = {}
-    grams: dict[str, list[float]] = {}
-    for lang, word, n in counts:
-        k = at[lang]
-        words.setdefault(word, [0.0] * len(langs))[k] += n
-        padded = f"<{word}>"
-        for size in range(1, max_n + 1):
-            for i in range(len(padded) - size + 1):
-                grams.setdefault(padded[i : i + size], [0.0] * len(langs))[k] += n
-    table = np.array(list(words.values()), float).reshape(len(words), len(langs))
-    totals = table.sum(axis=0) if len(table) else np.zeros(len(langs))
-    logs = np.log((table + 0.5) / (totals + 0.5 * max(1, len(words)))) if len(langs) else table
-    sums = [[0.0] * len(langs) for _ in range(max_n + 1)]
-    kinds = [0] * (max_n + 1)
-    for g, v in grams.items():
-        kinds[len(g)] += 1
-        for k, n in enumerate(v):
-            sums[len(g)][k] += n
-    kept = {g: tuple(math.log((n + 0.5) / (sums[len(g)][k] + 0.5 * kinds[len(g)])) for k, n in enumerate(v)) for g, v in grams.items() if len(g) == 1 or sum(v) >= 3}
-    return LanguageModel(langs, {w: i for i, w in enumerate(words)}, logs, kept, max_n)
+    words: dict[str, int] = {}
+    where = [words.setdefault(word, len(words)) for _, word, _ in counts]
+    table = np.zeros((len(words), len(langs)))
+    np.add.at(table, (np.array(where, np.int64), np.array([at[c[0]] for c in counts], np.int64)), np.array([c[2] for c in counts], float))
+    # All words in one string, each between its marks: the n-grams of one size are its windows inside words.
+    joined = "".join([f"<{w}>" for w in words])
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    letters = mix64(np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64))
+    grams: dict[str, int] = {}
+    logs = [np.zeros((0, len(langs)))]
+    window = letters
+    for size in range(1, max_n + 1):
+        if size > 1:
+            window = mix64(window[:-1] * np.uint64(3)) + letters[size - 1 :]
+        if not len(window):
+            break
+        inside = np.flatnonzero(owner[: len(window)] == owner[size - 1 :])
+        _, first, number = np.unique(window[inside], return_index=True, return_inverse=True)
+        if not len(first):
+            continue
+        logs.append(_logs(np.stack([np.bincount(number, table[owner[inside], k], len(first)) for k in range(len(langs))], axis=1)))
+        for i in inside[first].tolist():
+            grams[joined[i : i + size]] = len(grams)
+    return LanguageModel(langs, words, _logs(table), grams, np.concatenate(logs), max_n)
 
 
 class Scorer:
     """Predicts one text after another; unseen words' scores are kept in a bounded table."""
 
-    def __init__(self, model: LanguageModel, kept_words: int = 100_000):
+    def __init__(self, model: LanguageModel, kept_words: int = 50_000):
         self.m, self.kept_words = model, kept_words
-        self.rows = model.word_logs.tolist()
-        self.cache: dict[str, list[float]] = {}
-        self.known = {w: self.rows[i] for w, i in model.words.items()}
+        self.rows = np.concatenate([model.word_logs.reshape(len(model.words), len(model.langs)), np.zeros((kept_words, len(model.langs)))])
+        self.unseen: dict[str, int] = {}
 
     def backoff(self, word: str) -> list[float]:
         """An unseen word's score: the mean over its places of the longest known n-gram that starts there."""
         padded = f"<{word}>"
-        total, places = [0.0] * len(self.m.langs), 0
+        found, grams = [], self.m.grams
         for i in range(len(padded) - 1):
             for size in range(min(self.m.max_n, len(padded) - i), 0, -1):
-                if (v := self.m.grams.get(padded[i : i + size])) is not None:
-                    for k, x in enumerate(v):
-                        total[k] += x
-                    places += 1
+                if (g := grams.get(padded[i : i + size])) is not None:
+                    found.append(g)
                     break
-        return [x / places for x in total] if places else total
+        return self.m.gram_logs[found].mean(axis=0).tolist() if found else [0.0] * len(self.m.langs)
 
-    def word(self, word: str) -> list[float]:
-        if (v := self.known.get(word)) is None and (v := self.cache.get(word)) is None:
-            if len(self.cache) >= self.kept_words:
-                self.cache.clear()
-            v = self.cache[word] = self.backoff(word)
-        return v
+    def row(self, word: str) -> int:
+        """The place of a word that is not in the model among the scores."""
+        if (i := self.unseen.get(word)) is None:
+            i = self.unseen[word] = len(self.m.words) + len(self.unseen)
+            self.rows[i] = self.backoff(word)
+        return i
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.m.langs:
             return UNKNOWN, 0.0
-        counts = Counter(WORD.findall(text.lower()))
+        counts = words_of(text)
         if not counts:
             return UNKNOWN, 0.0
+        logs, words = np.zeros(len(self.m.langs)), list(counts)
         n = np.fromiter(counts.values(), float, len(counts))
-        logs = n @ np.array([self.word(w) for w in counts])
+        for at in range(0, len(words), self.kept_words):  # one step but for texts of very many words
+            some = words[at : at + self.kept_words]
+            places = list(map(self.m.words.get, some))
+            new = [i for i, p in enumerate(places) if p is None]
+            if len(self.unseen) + len(new) > self.kept_words:
+                self.unseen.clear()
+            for i in new:
+                places[i] = self.row(some[i])
+            logs += n[at : at + len(some)] @ self.rows[places]
         best = int(np.argmax(logs))  # the first of equals: langs are sorted
         # Words of a text depend on each other: the posterior is that of the square root of their number.
         p = np.exp((logs - logs[best]) / math.sqrt(n.sum()))
@@ -127,7 +167,7 @@ class Scorer:
 
 def identify(df: DataFrame, text_col: str, model: LanguageModel, *keep: Column) -> DataFrame:
     """keep, lang_pred and score for every row of df; only the text is read for the prediction."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_words
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_docs
     kept, names, text_name = with_text(df, text_col, keep)
     schema = schema_of(kept, names, "lang_pred string, score double")
 

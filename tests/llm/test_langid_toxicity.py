@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quarkflow.llm import langid, toxicity
@@ -31,6 +32,60 @@ def test_words_come_before_grams_and_backoff_shortens():
     assert 0.5 <= s.predict("xyzzy")[1] <= 1
 
 
+def brute_language(counts, text, max_n=5):
+    """(lang, score) from (lang, word, n) by the definition, with exact n-grams and no tables."""
+    langs = sorted({c[0] for c in counts})
+    tally = {}
+    for lang, word, n in counts:
+        padded = f"<{word}>"
+        for kind, key in [("word", word)] + [(size, padded[i : i + size]) for size in range(1, max_n + 1) for i in range(len(padded) - size + 1)]:
+            tally.setdefault(kind, {}).setdefault(key, Counter())[lang] += n
+
+    def log(kind, key, lang):
+        return math.log((tally[kind][key][lang] + 0.5) / (sum(c[lang] for c in tally[kind].values()) + 0.5 * len(tally[kind])))
+
+    words = Counter(regex.findall(r"\p{L}+", text.lower()))
+    if not words:
+        return "und", 0.0
+    logs = dict.fromkeys(langs, 0.0)
+    for word, n in words.items():
+        for lang in langs:
+            if word in tally["word"]:
+                logs[lang] += n * log("word", word, lang)
+                continue
+            padded = f"<{word}>"
+            longest = [next((s for s in range(max_n, 0, -1) if i + s <= len(padded) and padded[i : i + s] in tally[s]), 0) for i in range(len(padded) - 1)]
+            found = [log(s, padded[i : i + s], lang) for i, s in enumerate(longest) if s]
+            logs[lang] += n * (sum(found) / len(found) if found else 0.0)
+    best = max(langs, key=lambda x: logs[x])
+    return best, 1 / sum(math.exp((logs[x] - logs[best]) / math.sqrt(sum(words.values()))) for x in langs)
+
+
+def test_language_against_brute_force(spark):
+    rows = [(i, t, x) for i, (t, x) in enumerate([("the house and the garden", "en"), ("das haus und der garten", "de"), ("la maison et le jardin", "fr"), ("the ½cup is naïve²", "en"), ("straße und fluß", "de")] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, "doc_id", "text", "lang")
+    counts = [(x, w, n) for x, c in ((x, Counter(regex.findall(r"\p{L}+", t.lower()))) for _, t, x in rows) for w, n in c.items()]
+    texts = ["houses in gardens", "hausgarten", "jardins", "½ ² Ⅷ", "a½b", "qqq", "THE Haus la", "zzz the", "", "12 !"]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    for r in langid.identify(asked, "text", model, F.col("i")).collect():
+        lang, score = brute_language(counts, texts[r.i])
+        assert (r.lang_pred, round(r.score, 9)) == (lang, round(score, 9)), texts[r.i]
+
+
+def test_every_word_of_the_draw_counts(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(docs, "doc_id", "text", "lang")
+    assert set(model.words) == {w for r in docs.where("lang is not null").collect() for w in regex.findall(r"\p{L}+", (r.text or "").lower())}
+
+
+@pytest.mark.parametrize("kept", [1, 3, 1000])
+def test_small_tables_of_unseen_words_change_nothing(kept):
+    m = langid.model_of([("en", "the", 5), ("de", "das", 5), ("de", "haus", 5)])
+    text = "hauses the theme dasein thesis das aus"
+    assert langid.Scorer(m, kept).predict(text) == pytest.approx(langid.Scorer(m).predict(text))
+
+
 def test_language_of_odd_rows(spark):
     model = langid.fit(odd(spark), "doc_id", "text", "lang")
     rows = langid.identify(odd(spark), "text", model, F.col("doc_id"), F.col("part"), F.col("id")).collect()
