@@ -100,38 +100,81 @@ def test_a_bounded_draw_may_take_any_row(spark):
     assert langid.fit(df, "doc_id", "text", "lang", max_docs=100).langs == ["de"]
 
 
-def brute_nearest(index, at, w, k, skip=-1):
-    sims = np.zeros(len(index.labels))
-    for t, x in zip(at, w):
-        for b in range(index.block_max.shape[1]):
-            for p in range(index.starts[t, b], index.starts[t, b + 1]):
-                sims[b * index.block + index.post_doc[p]] += x * index.post_weight[p]
-    sims = np.round(sims, 12)
-    if skip >= 0:
-        sims[skip] = 0
-    order = np.lexsort((np.arange(len(sims)), -sims))
-    return [i for i in order if sims[i] > 0][:k], sims
+def brute_vectors(texts, labels, floor=0.02, half=30.0):
+    """Unit vectors by term of every text and a function for others, by the definition."""
+    counted = [Counter(w for w in regex.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    n, pos = len(texts), sum(labels)
+    weight = {}
+    for t in {t for c in counted for t in c}:
+        d, a = sum(t in c for c in counted), sum(t in c and y for c, y in zip(counted, labels))
+        table = d * (n - d) * pos * (n - pos)
+        chi2 = n * (a * (n - pos - d + a) - (d - a) * (pos - a)) ** 2 / table if table else 0.0
+        weight[t] = (math.log((1 + n) / (1 + d)) + 1) * (floor + (1 - floor) * chi2 / (chi2 + half))
+
+    def vector(text):
+        v = {t: (1 + math.log(m)) * weight[t] for t, m in Counter(regex.findall(r"[^\W\d_]+", text.lower())).items() if t in weight}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    return [vector(t) for t in texts], vector
+
+
+def labelled_texts(n=150):
+    rng = np.random.default_rng(1)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    labels = [int(rng.random() < 0.4) for _ in range(n)]
+    return [" ".join(rng.choice(words[:30] if y else words[20:], 12)) for y in labels], labels
 
 
 @pytest.mark.parametrize("block", [3, 16, 64])
 def test_block_max_search_is_exact(block):
-    rng = np.random.default_rng(1)
-    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
-    texts, labels = [], []
-    for i in range(150):
-        y = int(rng.random() < 0.4)
-        pool = words[:30] if y else words[20:]
-        texts.append(" ".join(rng.choice(pool, 12)))
-        labels.append(y)
-    index = toxicity.build_index(texts, labels, list(range(150)), error=100.0, min_df=2, block=block)
-    assert len(index.terms) > 10
-    for t in texts[:40] + ["", "none of these", "waa waa wab"]:
-        at, w = index.vector(Counter(toxicity.TERM.findall(t)))
-        docs, sims = index.nearest(at, w, 7)
-        want, all_sims = brute_nearest(index, at, w, 7)
-        assert docs.tolist() == want and np.allclose(sims, np.minimum(all_sims[want], 1))
-    opened = index.opened
-    assert opened > 0
+    texts, labels = labelled_texts()
+    index = toxicity.build_index(texts, labels, list(range(150)), block=block)
+    vectors, vector = brute_vectors(texts, labels)
+    vectors = [vectors[i] for i in index.ids]
+    assert set(index.terms) == {t for v in vectors for t in v}
+    for text in texts[:40] + ["", "none of these", "waa waa wab"]:
+        docs, sims = index.nearest(*index.vector(Counter(toxicity.TERM.findall(text))), 7)
+        own = vector(text)
+        want = np.array([sum(x * v.get(t, 0.0) for t, x in own.items()) for v in vectors])
+        order = [i for i in np.lexsort((np.arange(len(want)), -np.round(want, 10))) if want[i] > 1e-12][:7]
+        assert np.allclose(sims, want[order], atol=1e-9) and np.allclose(want[docs], want[order], atol=1e-9)
+    assert 0 < index.opened
+
+
+def brute_scores(texts, labels, ids, totals, asked, k=15, power=2.0, prior_weight=0.25):
+    """Calibrated scores of asked texts by the definition: all cosines, all votes, rates by the max-min formula of monotone fits."""
+    vectors, vector = brute_vectors(texts, labels)
+    share = [totals[y] / sum(totals) / (labels.count(y) / len(labels)) for y in (0, 1)]
+    prior = totals[1] / sum(totals)
+
+    def raw(v, skip=None):
+        near = sorted(((round(sum(x * o.get(t, 0.0) for t, x in v.items()), 12), y) for j, (o, y) in enumerate(zip(vectors, labels)) if j != skip), key=lambda r: -r[0])[:k]
+        weights = [(s**power * share[y], y) for s, y in near if s > 0]
+        return (sum(w * y for w, y in weights) + prior_weight * prior) / (sum(w for w, _ in weights) + prior_weight)
+
+    points = sorted((raw(v, j), labels[j]) for j, v in enumerate(vectors))
+    x, y, w = np.array([p[0] for p in points]), np.array([p[1] for p in points], float), np.array([share[p[1]] for p in points])
+    rate = [max(min(np.average(y[a : b + 1], weights=w[a : b + 1]) for b in range(i, len(y))) for a in range(i + 1)) for i in range(len(y))]
+    pools = [np.flatnonzero(np.isclose(rate, r, atol=1e-12)) for r in sorted({round(r, 11) for r in rate})]
+    steps = [np.average(x[p], weights=w[p]) for p in pools]
+    values = [(y[p] @ w[p] + 0.5 * prior) / (w[p].sum() + 0.5) for p in pools]
+    return [float(np.interp(raw(vector(t)), [0.0, *steps, 1.0], [values[0], *values, values[-1]])) for t in asked]
+
+
+def test_scores_against_brute_force(spark):
+    # Words of random weights in texts of their own: no two cosines are equal, so no tie decides.
+    rng = np.random.default_rng(3)
+    labels = [int(i % 3 == 0) for i in range(60)]
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    texts = [" ".join(np.repeat(c := rng.choice(words[:25] if y else words[15:], 6, replace=False), rng.integers(1, 9, 6))) for y in labels]
+    ids = list(range(60))
+    model = toxicity.build_model(texts, labels, ids, (900, 100))
+    asked = [" ".join(rng.choice(words, 9)) for _ in range(20)] + ["", "nothing known"]
+    assert [model.score(t)[0] for t in asked] == pytest.approx(brute_scores(texts, labels, ids, (900, 100), asked), abs=1e-6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted = toxicity.fit(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    assert [fitted.score(t)[0] for t in asked] == pytest.approx(brute_scores(texts, labels, ids, (40, 20), asked), abs=1e-6)
 
 
 def test_held_out_toxicity(spark, data):
@@ -156,9 +199,16 @@ def test_toxicity_of_odd_rows(spark):
 
 
 def test_repeated_rows_leave_both_classes(spark):
-    rows = [(i, ("you idiot scum " if i % 2 else "a fine day ") + f"w{chr(97 + i % 5)} x") for i in range(60)]
+    rows = [(i, ("you idiot scum " if i % 2 else "a fine day ") + f"w{chr(97 + i % 5)} x{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(60)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     once = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, "doc_id", "text", "toxic", max_examples=60)
     often = toxicity.fit(spark.createDataFrame(rows * 4 + [rows[0]] * 500, "doc_id long, text string"), labels, "doc_id", "text", "toxic", max_examples=60)
     assert often.index.ids.tolist() == once.index.ids.tolist() and often.index.labels.sum() == 30
-    assert often.score("such an idiot") == once.score("such an idiot") and often.score("such an idiot")[0] > 0.5
+    assert often.score("such an idiot")[1:] == once.score("such an idiot")[1:]
+
+
+def test_a_text_of_many_labelled_rows_is_one_example(spark):
+    rows = [(i, "you idiot scum" if i < 300 else f"plain w{chr(97 + i % 26)} x{chr(97 + i // 26 % 26)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 300)) for i in range(400)], "doc_id long, toxic int"), "doc_id", "text", "toxic", max_examples=20)
+    assert model.index.labels.tolist() == [0] * 10 + [1] and model.prior == pytest.approx(0.75)
