@@ -70,7 +70,7 @@ class BlockMaxIndex:
         # Sums run over the terms in order here and below, and each part of a bound is at least that of a cosine.
         bound = np.bincount(blocks, query * self.cell_max[cells], -(-n // self.block))
         order = np.argsort(-bound, kind="stable")
-        best, sims, size, begin = np.zeros(0, np.int64), np.zeros(0), 4, 0
+        best, sims, size, begin = np.zeros(0, np.int64), np.zeros(0), 16, 0
         while begin < len(order):
             floor = sims[-1] if len(sims) >= k else 0.0
             ask = order[begin : begin + size]
