@@ -159,17 +159,38 @@ def test_dense_groups_whose_lists_hold_only_their_own(spark):
     assert {r.audit_recall for r in got} == {1.0}
 
 
-def test_completion_by_shares_of_any_size(spark):
+def test_cells_near_each_other_are_found_in_shares_of_any_size(spark):
     rng = np.random.default_rng(6)
-    x = rng.standard_normal((12, 16))[rng.integers(0, 12, 200)] + 0.2 * rng.standard_normal((200, 16))
-    vectors = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vec binary")
-    sims = nn_descent.cosines(x, x)
-    want = brute_components([(a, b) for a, b in zip(*np.nonzero(sims >= 0.95)) if a != b], range(200))
-    none = spark.createDataFrame([], "node long, component long")
+    x = rng.standard_normal((12, 16))[rng.integers(0, 12, 200)] + 0.3 * rng.standard_normal((200, 16))
+    radii = rng.random(200) * 0.3
+    heads = spark.createDataFrame([(i, i // 2, float(radii[i]), v.tobytes()) for i, v in enumerate(x)], "hub long, component long, radius double, vec binary")
+    angles = np.arccos(np.clip(nn_descent.cosines(x, x), -1, 1))
+    want = {(a, b) for a in range(200) for b in range(a) if angles[a, b] <= radii[a] + radii[b] + 0.3 and a // 2 != b // 2}
     for share_bytes, rows in ((1 << 20, 256), (16 * 8 * 30, 7)):
-        pairs = [(r.u, r.v) for r in nn_descent.complete(vectors, none, 0.95, share_bytes, rows).collect()]
-        assert brute_components(pairs, range(200)) == want
-    assert len(set(want.values())) < 200
+        assert {(r.b, r.a) for r in nn_descent.near_cells(heads, 0.3, share_bytes, rows).collect()} == want
+    assert want
+
+
+@pytest.mark.parametrize("block", [4, 30, 512])
+def test_links_are_counted_in_blocks_of_any_size(spark, block):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(16)
+    # A dense kernel, where blocks are certain, and a wide surrounding.
+    x = np.concatenate([centre + 0.02 * rng.standard_normal((60, 16)), centre + 0.4 * rng.standard_normal((140, 16))])
+    n = rng.integers(1, 4, 200)
+    vectors = spark.createDataFrame([(i, v.tobytes(), int(m)) for i, (v, m) in enumerate(zip(x, n))], "id long, vec binary, n long")
+    named = spark.createDataFrame([(i, 0) for i in range(1, 200)], "node long, component long")
+    near = nn_descent.cosines(x, x) >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r.id: r.links for r in nn_descent.count_links(vectors, named, 0.95, block).collect()}
+    assert [got.get(i, 0) for i in range(200)] == (near @ n).tolist()
+
+
+def test_vectors_of_odd_kinds(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [1.0, 0.02]), (8, [1e200, 1e200]), (9, [1e-200, 1.1e-200]), (10, [3.0, 3.0]), (11, [1.0, 0.0, 0.0]), (12, [1.0, 0.001, 0.0]), (13, [5e-324, 0.0]), (14, [])]
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    want = {(5, 3, 5), (5, 0, 5), (6, 3, 5), (7, 3, 5), (8, 2, 8), (9, 2, 8), (10, 2, 8), (11, 1, 11), (12, 1, 11), (13, 3, 5), (14, 0, 14)}
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == want and len(got) == len(rows)
 
 
 def test_vector_table(spark, data):
