@@ -1,9 +1,13 @@
 """Licence scan by canonical digest: DataFrame functions only, no Python on the executors.
 
-A text is brought to a canonical form (lower case; copyright lines removed; equivalent spellings made one; every
-run of punctuation and white space a single space) and hashed with SHA-256. Known licences go through the same
-expression, and the two digests are hash-joined. The same lookup is made for every line of a text, so that a
-one-line notice inside a longer document is found as well.
+A text is brought to a canonical form (lower case; copyright notices removed; every run of punctuation and white
+space, comment marks among them, a single space; equivalent spellings made one) and hashed with SHA-256. Known
+licences go through the same expression, and the two digests are hash-joined. The form does not depend on where lines
+break or on marks before them. A copyright notice is a line whose first word is copyright and which goes on with a
+sign and a name or with a year, or one that begins with the sign and a year; some published notices inside
+paragraphs, and "all rights reserved", go as phrases.
+The digests of the lines of a text are joined likewise, so that a one-line notice inside a longer document is found
+as well.
 
 Defined results: a null text counts as empty; its digest is that of the empty string and it matches nothing.
 Repeated rows give repeated results; ids may be null; extra input columns are ignored (only the id and the text are read).
@@ -17,27 +21,34 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: At most so many known texts: they travel inside the plan.
-MAX_KNOWN = 1000
+#: Up to so many known texts their digests are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 10_000
 
-#: Equivalent spellings, applied in this order to lower-case text. Fixed values.
+#: Equivalent spellings, applied in this order to lower-case words with single spaces between them. Fixed values.
 SPELLINGS = (
     ("licence", "license"),
-    ("sub-license", "sublicense"),
     ("sub license", "sublicense"),
-    ("non-commercial", "noncommercial"),
+    ("non commercial", "noncommercial"),
+    ("non infringement", "noninfringement"),
     ("organisation", "organization"),
     ("authorisation", "authorization"),
     ("favour", "favor"),
-    ("http://", "https://"),
-    ("&", " and "),
-    ("cc-by", "cc by"),
     ("creative commons", "cc"),
     ("merchantibility", "merchantability"),
 )
 
+#: White space and comment marks at the start of a line (but not a copyright sign).
+LINE_START = r"(^|\n)[^\p{L}\p{N}\n©(]+"
+
+_YEAR = r"(?:(?:19|20)[0-9]{2}|19[xy]{2}|year|yyyy)\b"
+_MARKS = r"[^\p{L}\p{N}\n]*"
+#: Notices that published texts have inside a paragraph, wherever lines break. Fixed values.
+COPYRIGHT_PHRASE = (
+    r"copyright[ \t\n]+(?:\(c\)|©)[ \t\n]+(?:[0-9][0-9, \t\n-]*free[ \t\n]+software[ \t\n]+foundation,?[ \t\n]+inc\b|<?(?:year|19[xy]{2})>?[ \t\n]+<?name[ \t\n]+of[ \t\n]+author>?|year[ \t\n]+your[ \t\n]+name)"
+    r"|\ball[ \t\n]+rights[ \t\n]+reserved\b"
+)
 #: A line that starts so is a copyright line.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = rf"(^|\n){_MARKS}(?:copyright[ \t]*(?:\(c\)|©)[ \t,<\[]*[\p{{L}}\p{{N}}][^\n]*|copyright{_MARKS}{_YEAR}[^\n]*|©[^\n]*|\(c\){_MARKS}{_YEAR}[^\n]*)"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -72,6 +83,21 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
 #: (licence id, full text) of longer licences as published.
 _FULL = tuple((k, t) for k, t in json.loads((Path(__file__).parent / "licenses.json").read_text("utf-8")))
 
@@ -90,6 +116,10 @@ KNOWN = (
     ("0BSD", _0BSD),
     ("Zlib", _ZLIB),
     ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", "The Unlicense\n\n" + _UNLICENSE),
+    ("BSL-1.0", _BSL),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BSL),
     ("Apache-2.0", _APACHE),
     ("MIT", "MIT License"),
     ("MIT", "Released under the MIT License."),
@@ -113,46 +143,42 @@ KNOWN = (
 def canonical_lines(text: Column) -> Column:
     """Canonical text with its line breaks kept."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    out = F.regexp_replace(out, LINE_START, "$1")
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_PHRASE, "\n"), COPYRIGHT_LINE, "$1")
+    return F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _spelled(words: Column) -> Column:
     for spelled, common in SPELLINGS:
-        out = F.replace(out, F.lit(spelled), F.lit(common))
-    return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+        words = F.replace(words, F.lit(spelled), F.lit(common))
+    return F.regexp_replace(words, r"\bhttp\b", "https")
 
 
 def _whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    return _spelled(F.trim(F.regexp_replace(lines, "[ \n]+", " ")))
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license_id) of the known texts, one row per digest (the first id in order wins a clash)."""
+    """(digest, license_id) of the known texts, one row per digest (the first id in order wins a clash); empty texts are not known."""
     known = list(known)
-    if len(known) > MAX_KNOWN:
-        raise ValueError(f"at most {MAX_KNOWN} known licence texts, not {len(known)}")
     rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("known_text")) for k, t in known)) if known else F.from_json(F.lit("[]"), "array<struct<license_id:string,known_text:string>>")
-    return (
-        spark.range(1)
-        .select(F.inline(rows))
-        .select(F.sha2(_whole(canonical_lines(F.col("known_text"))), 256).alias("digest"), "license_id")
-        .groupBy("digest")
-        .agg(F.min("license_id").alias("license_id"))
-    )
+    texts = spark.range(1).select(F.inline(rows)).select(_whole(canonical_lines(F.col("known_text"))).alias("whole"), "license_id").where("whole <> ''")
+    table = texts.groupBy(F.sha2("whole", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return F.broadcast(table) if len(known) <= MAX_BROADCAST else table
 
 
 def license_scan(df: DataFrame, id_col: str, text_col: str, known=KNOWN) -> DataFrame:
     """One row per input row: id, text_digest, license_id of the entire text, notices (sorted ids of lines that are a known text, comma-separated, or null)."""
     spark = df.sparkSession
-    # The known set is at most MAX_KNOWN rows by the check above, so it may be broadcast and sit in the plan as a map.
-    found = [(r.digest, r.license_id) for r in known_digests(spark, known).collect()]
-    lookup = F.create_map(*(F.lit(v) for pair in found for v in pair)) if found else F.from_json(F.lit("{}"), "map<string,string>")
-    texts = df.select(F.col(id_col).alias("_id"), canonical_lines(F.col(text_col)).alias("_lines"))
-    longest = max((len(t) for _, t in known), default=0) * 2
-    lines = F.array_distinct(F.filter(F.transform(F.split("_lines", "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= longest)))
-    notices = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: lookup[F.sha2(x, 256)]), lambda x: x.isNotNull())))
-    scanned = texts.select("_id", F.sha2(_whole(F.col("_lines")), 256).alias("text_digest"), notices.alias("_notices"))
-    table = known_digests(spark, known).select(F.col("digest").alias("text_digest"), "license_id")
-    return scanned.join(F.broadcast(table), "text_digest", "left").select(
-        F.col("_id").alias(id_col), "text_digest", "license_id", F.when(F.size("_notices") > 0, F.array_join("_notices", ",")).alias("notices")
-    )
+    table = known_digests(spark, known)
+    texts = df.select(F.col(id_col).alias("_id"), canonical_lines(F.col(text_col)).alias("_lines")).withColumn("_key", F.xxhash64("_lines"))
+    scanned = texts.select("_id", "_key", F.sha2(_whole(F.col("_lines")), 256).alias("text_digest")).join(table.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
+    lines = texts.select("_id", "_key", F.explode(F.array_distinct(F.split("_lines", "\n"))).alias("_line")).where("trim(_line) <> ''")
+    found = lines.select("_id", "_key", F.sha2(_spelled(F.trim("_line")), 256).alias("digest")).join(table, "digest")
+    # By id and text: rows that repeat both have the same notices.
+    notices = found.groupBy("_id", "_key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    on = scanned["_id"].eqNullSafe(notices["_id"]) & (scanned["_key"] == notices["_key"])
+    return scanned.join(notices, on, "left").select(scanned["_id"].alias(id_col), "text_digest", "license_id", "notices")
 
 
 def _sql_text(s: str) -> str:
@@ -163,19 +189,24 @@ def oracle_sql(known=KNOWN) -> str:
     """DuckDB's form of license_scan over documents."""
 
     def lines(x: str) -> str:
-        out = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g'), {_sql_text(COPYRIGHT_LINE)}, '\\1', 'g')"
-        for spelled, common in SPELLINGS:
-            out = f"replace({out}, {_sql_text(spelled)}, {_sql_text(common)})"
-        return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+        out = f"regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g')"
+        out = f"regexp_replace({out}, {_sql_text(LINE_START)}, '\\1', 'g')"
+        out = f"regexp_replace(regexp_replace({out}, {_sql_text(COPYRIGHT_PHRASE)}, chr(10), 'g'), {_sql_text(COPYRIGHT_LINE)}, '\\1', 'g')"
+        return f"regexp_replace(replace({out}, '&', ' and '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+
+    def spelled(x: str) -> str:
+        for a, b in SPELLINGS:
+            x = f"replace({x}, {_sql_text(a)}, {_sql_text(b)})"
+        return f"regexp_replace({x}, '\\bhttp\\b', 'https', 'g')"
 
     def whole(x: str) -> str:
-        return f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
+        return spelled(f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))")
 
     values = ", ".join(f"({_sql_text(k)}, {_sql_text(t)})" for k, t in known)
     return f"""
-    WITH known AS (SELECT sha256({whole(lines("t"))}) AS digest, min(k) AS license_id FROM (VALUES {values}) v(k, t) GROUP BY 1),
+    WITH known AS (SELECT sha256(w) AS digest, min(k) AS license_id FROM (SELECT {whole(lines("t"))} AS w, k FROM (VALUES {values}) v(k, t)) WHERE w <> '' GROUP BY 1),
     d AS (SELECT doc_id, {lines("text")} AS lines FROM documents),
-    l AS (SELECT DISTINCT doc_id, sha256(trim(line)) AS digest FROM (SELECT doc_id, unnest(string_split(lines, chr(10))) AS line FROM d)),
+    l AS (SELECT DISTINCT doc_id, sha256({spelled("trim(line)")}) AS digest FROM (SELECT doc_id, unnest(string_split(lines, chr(10))) AS line FROM d) WHERE trim(line) <> ''),
     n AS (SELECT doc_id, string_agg(license_id, ',' ORDER BY license_id) AS notices
           FROM (SELECT DISTINCT doc_id, license_id FROM l JOIN known USING (digest)) GROUP BY doc_id)
     SELECT d.doc_id, sha256({whole("d.lines")}) AS text_digest, k.license_id, n.notices

@@ -1,4 +1,6 @@
 import hashlib
+import re
+import textwrap
 
 import pytest
 
@@ -35,8 +37,36 @@ def test_scan_odd_rows_and_limits(spark):
     assert license_scan.license_scan(odd(spark), "doc_id", "text").count() == 11
     assert license_scan.license_scan(empty(spark), "doc_id", "text").count() == 0
     assert scan(spark, "Released under the MIT License.", known=[])[0].license_id is None
-    with pytest.raises(ValueError):
-        scan(spark, "x", known=[("a", str(i)) for i in range(license_scan.MAX_KNOWN + 1)])
+
+
+def test_many_known_texts_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "MAX_BROADCAST", 10)
+    got = scan(spark, "Known text 17\nno other", "known text 17", known=[(f"L{i}", f"known text {i}") for i in range(40)])
+    assert [(got[i].license_id, got[i].notices) for i in (0, 1)] == [(None, "L17"), ("L17", "L17")]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "    "])
+def test_known_texts_match_however_they_are_wrapped_and_commented(spark, mark):
+    texts, want = [], []
+    for name, text in license_scan.KNOWN:
+        if len(text) > 150:
+            for width in (60, 65, 72, 79, 80, 100):
+                paragraphs = [textwrap.fill(p.strip(), width) for p in re.split(r"\n[ \t]*\n", text.strip())]
+                texts.append("\n".join(mark + line for line in "\n\n".join(["Copyright (c) 2020-2021, Some One <a@b.c>", *paragraphs]).split("\n")))
+                want.append(name)
+    got = scan(spark, *texts)
+    assert [(i, want[i]) for i in range(len(texts)) if got[i].license_id != want[i]] == []
+
+
+def test_prose_about_copyright_stays(spark):
+    got = scan(spark, "Copyright is a right of authors.", "is a right of authors.", "Copyright 2001 A. Author\nProse.", "Prose.", "# (C) 1999 B\n/* Copyright © C */ Prose.", "")
+    assert got[0].text_digest != got[5].text_digest != got[2].text_digest == got[3].text_digest and got[4].text_digest == got[5].text_digest
+
+
+def test_repeated_rows_and_ids_keep_their_own_notices(spark):
+    rows = [(1, "Released under the MIT License.\nx"), (1, "Released under the MIT License.\nx"), (1, "nothing"), (None, "Released under the MIT License.\ny"), (None, "z")]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((repr(r.doc_id), repr(r.notices)) for r in got) == [("1", "'MIT'"), ("1", "'MIT'"), ("1", "None"), ("None", "'MIT'"), ("None", "None")]
 
 
 def test_scan_runs_no_python(spark):
