@@ -7,16 +7,16 @@ differ in the byte before them: the maximal repeats, each with all its occurrenc
 To do this for a corpus, equal strings must meet in one task, and only those. Every string of `length` bytes holds one
 anchor: the GRAM bytes of least hash in it (the leftmost of equals). Neighbouring strings share anchors, so a document is
 cut into runs of start places with one anchor, some 14 places each. A run travels as a few bytes: hash of the anchor,
-64-bit hash of its whole span, document, place. Where anchor and span agree, all strings of the run do, and only the run of
-the smallest document stays in question; the others' spans are repeats as they stand. Runs of one anchor with different
+80-bit hash of its whole span, document, place. Where the hashes of anchor and span agree (128 bits in all), the runs are
+one string, and only that of the smallest document stays in question; the others' spans are repeats as they stand. Runs of one anchor with different
 spans overlap in part: their spans (at most 76 bytes) are fetched from the texts and go through the suffix array, one
 per task for all its anchors, and the repeat groups say which bytes are repeated. Anchors that very many spans share
 (found on a hash sample of documents) are dealt out by span instead, and their strings are compared by grouped minima
 of 128-bit digests, so that no task holds a group of unbounded size.
 
 Defined results: a null text is empty; texts under `length` bytes lose nothing. Rows with a null id are left alone and
-are no earlier document of others. Rows that repeat an id should repeat the text: what is found in either is
-removed from both, as far as it reaches. Extra columns are ignored. An empty table gives an empty result.
+are no earlier document of others. Rows that repeat an id are no earlier document of each other; each loses what
+its own text shares with smaller ids. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarkflow.llm.common import map_batches, materialise, mix64, release, schema_of
 
@@ -99,25 +100,26 @@ def repeat_groups(order: np.ndarray, lcp: np.ndarray, before: np.ndarray, least:
 
 @dataclass
 class Runs:
-    """Runs of start places with one anchor: hashes of anchor and span, document, first place, number of places."""
+    """Runs of start places with one anchor: hashes of anchor (48 bits) and span (64 and 16 more), document, first place, number of places."""
 
     anchor: np.ndarray
     span: np.ndarray
+    more: np.ndarray
     doc: np.ndarray
     start: np.ndarray
     count: np.ndarray
 
     def take(self, at: np.ndarray) -> Runs:
-        return Runs(self.anchor[at], self.span[at], self.doc[at], self.start[at], self.count[at])
+        return Runs(self.anchor[at], self.span[at], self.more[at], self.doc[at], self.start[at], self.count[at])
 
     @staticmethod
     def join(parts: list[Runs]) -> Runs:
-        return Runs(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("anchor", "span", "doc", "start", "count")))
+        return Runs(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("anchor", "span", "more", "doc", "start", "count")))
 
     def pack(self) -> bytes:
         """Columns byte by byte, compressed."""
         step = np.diff(self.anchor, prepend=np.uint64(0))
-        columns = [step, self.span, self.doc, self.start.astype(np.uint32), self.count.astype(np.uint8)]
+        columns = [step, self.span, self.more, self.doc, self.start.astype(np.uint32), self.count.astype(np.uint8)]
         raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
         return struct.pack("<I", len(step)) + zstandard.ZstdCompressor(level=1).compress(raw)
 
@@ -126,11 +128,11 @@ class Runs:
         (n,) = struct.unpack_from("<I", blob)
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8)
         out, at = [], 0
-        for kind in (np.uint64, np.uint64, np.int64, np.uint32, np.uint8):
+        for kind in (np.uint64, np.uint64, np.uint16, np.int64, np.uint32, np.uint8):
             width = np.dtype(kind).itemsize
             out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
             at += n * width
-        return Runs(np.cumsum(out[0], dtype=np.uint64), out[1], out[2], out[3].astype(np.int64), out[4].astype(np.int64))
+        return Runs(np.cumsum(out[0], dtype=np.uint64), *out[1:4], out[4].astype(np.int64), out[5].astype(np.int64))
 
 
 def _grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -172,11 +174,12 @@ def runs_of(pieces: list[tuple[int, int, bytes]]) -> Runs:
     at = np.flatnonzero(begins)
     count = np.bincount(np.cumsum(begins)[inside], minlength=len(at) + 1)[1:]
     span = count + (LENGTH - 1)
-    hashed = mix64(wide[at] * _ODD[50] + wide[at + (span - 32) // 2] * _ODD[51] + wide[at + span - 32] * _ODD[52] + span.astype(np.uint64))
+    ends = wide[at], wide[at + (span - 32) // 2], wide[at + span - 32]  # three strings of 32 bytes cover a span
+    hashed, more = (mix64(ends[0] * _ODD[x] + ends[1] * _ODD[x + 1] + ends[2] * _ODD[x + 2] + span.astype(np.uint64)) for x in (50, 55))
     piece = number[at]
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     ids, places = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64)
-    return Runs(h[where[at]], hashed, ids[piece], at - first[piece] + places[piece], count)
+    return Runs(h[where[at]] & ~np.uint64(0xFFFF), hashed, (more >> np.uint64(48)).astype(np.uint16), ids[piece], at - first[piece] + places[piece], count)
 
 
 def pieces_of(doc: int, text: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -204,13 +207,13 @@ def _batch_runs(batch: pa.RecordBatch) -> Iterator[Runs]:
 
 def _classes(r: Runs) -> tuple[Runs, np.ndarray, np.ndarray]:
     """(runs sorted by anchor, span and document; number of each run's class; first place of each class)."""
-    r = r.take(np.lexsort((r.doc, r.span, r.anchor)))
+    r = r.take(np.lexsort((r.doc, r.more, r.span, r.anchor)))
     new = np.ones(len(r.anchor), bool)
-    new[1:] = (r.anchor[1:] != r.anchor[:-1]) | (r.span[1:] != r.span[:-1])
+    new[1:] = (r.anchor[1:] != r.anchor[:-1]) | (r.span[1:] != r.span[:-1]) | (r.more[1:] != r.more[:-1])
     return r, np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def _ahead(r: Runs) -> tuple[Runs, Runs]:
+def _ahead(r: Runs, shift: int) -> tuple[Runs, Runs]:
     """(runs with a smaller document of the same class among r, the others, by anchor)."""
     r = r.take(np.argsort(r.anchor, kind="stable"))
     same = r.anchor[1:] == r.anchor[:-1]
@@ -218,7 +221,7 @@ def _ahead(r: Runs) -> tuple[Runs, Runs]:
     twice[1:] |= same
     twice[:-1] |= same
     some, number, first = _classes(r.take(twice))
-    later = some.doc > some.doc[first][number]
+    later = some.doc >> shift > some.doc[first][number] >> shift
     rest = Runs.join([r.take(~twice), some.take(~later)])
     return some.take(later), rest.take(np.argsort(rest.anchor, kind="stable"))
 
@@ -253,7 +256,7 @@ def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def find_runs(docs: DataFrame, parts: int, hot: np.ndarray, flush: int = 600_000) -> DataFrame:
+def find_runs(docs: DataFrame, parts: int, hot: np.ndarray, shift: int = 0, flush: int = 600_000) -> DataFrame:
     """(doc, place, count, anchor, kind) of runs: kind 0 repeated as a whole, 1 to be compared with others of its anchor, 2 likewise with a hot anchor."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most hot_anchors()' limit
 
@@ -262,7 +265,7 @@ def find_runs(docs: DataFrame, parts: int, hot: np.ndarray, flush: int = 600_000
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            later, rest = _ahead(Runs.join(held))
+            later, rest = _ahead(Runs.join(held), shift)
             key = rest.anchor.copy()
             warm = _is_in(key, shared.value)
             key[warm] = mix64(key[warm] + rest.span[warm])  # by span too
@@ -293,7 +296,7 @@ def find_runs(docs: DataFrame, parts: int, hot: np.ndarray, flush: int = 600_000
 
         def out() -> Iterator[pa.RecordBatch]:
             r, number, first = _classes(Runs.join(held))
-            later = r.doc > r.doc[first][number]
+            later = r.doc >> shift > r.doc[first][number] >> shift
             yield _found(r.take(later), _SPAN)
             # Classes of one anchor with different smallest documents: their smallest members are compared.
             heads = r.take(first)
@@ -301,7 +304,7 @@ def find_runs(docs: DataFrame, parts: int, hot: np.ndarray, flush: int = 600_000
             lo, hi = np.minimum.reduceat(heads.doc, starts), np.maximum.reduceat(heads.doc, starts)
             sizes = np.diff(np.append(starts, len(first)))
             warm = _is_in(r.anchor, shared.value)
-            ask = ~later & (warm | np.repeat(lo != hi, sizes)[number])
+            ask = ~later & (warm | np.repeat(lo >> shift != hi >> shift, sizes)[number])
             yield _found(r.take(ask), np.where(warm[ask], _HOT, _REF).astype(np.int32))
 
         for batch in batches:
@@ -346,7 +349,7 @@ def _contexts(refs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_batches(joined, make, "anchor long, kind int, doc long, place long, count int, span binary")
 
 
-def repeats_among(docs: list[int], places: list[int], spans: list[bytes]) -> Iterator[tuple[int, int, int]]:
+def repeats_among(docs: list[int], places: list[int], spans: list[bytes], shift: int = 0) -> Iterator[tuple[int, int, int]]:
     """(document, first byte, end) of what spans share with spans of smaller documents, by repeat groups."""
     counts = np.array([len(s) - LENGTH + 1 for s in spans], np.int64)
     owner = np.repeat(np.arange(len(spans)), counts)
@@ -357,7 +360,7 @@ def repeats_among(docs: list[int], places: list[int], spans: list[bytes]) -> Ite
     before = np.where(starts > 0, data[base[owner] + np.maximum(starts, 1) - 1].astype(np.int64), -1)
     doc, place = np.array(docs, np.int64)[owner], np.array(places, np.int64)[owner] + starts
     for size, occurrences in repeat_groups(order, lcp, before, LENGTH):
-        own = doc[occurrences]
+        own = doc[occurrences] >> shift
         least = own.min()
         for i in occurrences[own > least].tolist():
             yield int(doc[i]), int(place[i]), int(place[i]) + size
@@ -368,7 +371,7 @@ _SPANS = "doc long, first long, end long"
 _ARRAY = 1 << 20
 
 
-def _array_spans(contexts: DataFrame, parts: int) -> DataFrame:
+def _array_spans(contexts: DataFrame, parts: int, shift: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int] = []
         places: list[int] = []
@@ -376,7 +379,7 @@ def _array_spans(contexts: DataFrame, parts: int) -> DataFrame:
         size, last = 0, None
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = list(repeats_among(docs, places, spans))
+            found = list(repeats_among(docs, places, spans, shift))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["doc", "first", "end"])
 
@@ -396,7 +399,7 @@ def _array_spans(contexts: DataFrame, parts: int) -> DataFrame:
     return contexts.select("anchor", "doc", "place", "span").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(run, _SPANS)
 
 
-def _hot_spans(contexts: DataFrame) -> DataFrame:
+def _hot_spans(contexts: DataFrame, shift: int) -> DataFrame:
     """The same for hot anchors: strings of LENGTH bytes meet by digest, through grouped minima."""
 
     def make():
@@ -411,24 +414,24 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
         return work
 
     strings = map_batches(contexts, make, "digest binary, doc long, first long")
-    least = materialise(strings.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("digest", "least"), "least")
-    return strings.join(least, "digest").where("doc > least").select("doc", "first", (F.col("first") + LENGTH).alias("end"))
+    least = materialise(strings.groupBy("digest").agg(F.shiftright(F.min("doc"), shift).alias("least"), F.shiftright(F.max("doc"), shift).alias("most")).where("least < most").select("digest", "least"), "least")
+    return strings.join(least, "digest").where(F.shiftright("doc", shift) > F.col("least")).select("doc", "first", (F.col("first") + LENGTH).alias("end"))
 
 
-def repeated_spans(df: DataFrame, id_col: str, text_col: str, sample: int = 64, hot: int = 20_000) -> DataFrame:
-    """(doc, spans array of (first, end)): bytes of each document that lie in a LENGTH-byte string which also starts in a document of smaller id."""
+def repeated_spans(df: DataFrame, id_col: str, text_col: str, sample: int = 64, hot: int = 20_000, shift: int = 0) -> DataFrame:
+    """(doc, spans array of (first, end)): bytes of each document that lie in a LENGTH-byte string which also starts in a document of smaller id. Of ids, the last `shift` bits don't make one smaller."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = hot_anchors(docs, sample, hot)
-    found = materialise(find_runs(docs, parts, table), "runs")
+    found = materialise(find_runs(docs, parts, table, shift), "runs")
     release(spark)
     contexts = materialise(_contexts(found.where(F.col("kind") > _SPAN), docs), "contexts")
     release(spark)
     spans = found.where(F.col("kind") == _SPAN).select("doc", F.col("place").alias("first"), (F.col("place") + F.col("count") + (LENGTH - 1)).alias("end"))
-    spans = spans.unionByName(materialise(_array_spans(contexts.where(F.col("kind") == _REF), max(1, parts // 4)), "array"))
+    spans = spans.unionByName(materialise(_array_spans(contexts.where(F.col("kind") == _REF), max(1, parts // 4), shift), "array"))
     if len(table):
-        spans = spans.unionByName(materialise(_hot_spans(contexts.where(F.col("kind") == _HOT)), "hot"))
+        spans = spans.unionByName(materialise(_hot_spans(contexts.where(F.col("kind") == _HOT), shift), "hot"))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
@@ -467,14 +470,42 @@ def _outside(data: bytes, spans: list[tuple[int, int]]) -> Iterator[bytes]:
     yield data[at:]
 
 
+def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(docs with _key, shift): a number for each id and text, whose order without the last `shift` bits is that of the ids.
+
+    Where no id has two texts it is the id. Otherwise ids are ranked (by a range partitioning and sums of its parts) and
+    the texts of an id numbered, which takes a shuffle of the texts.
+    """
+    spark = docs.sparkSession
+    hashed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h"))
+    pairs = hashed.groupBy("_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"))
+    if pairs.where("lo <> hi").isEmpty():
+        return docs.withColumn("_key", F.col(id_col)), 0
+    ranked = materialise(pairs.select("_id").repartitionByRange("_id").sortWithinPartitions("_id").withColumn("_n", F.monotonically_increasing_id()), "ranked")
+    base, bases = 0, []
+    for p, n in sorted((r.p, r.n) for r in ranked.groupBy(F.shiftright("_n", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):  # one row per part
+        bases.append((p, base))
+        base += n
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(bases, "p long, base long")), F.shiftright("_n", 33) == F.col("p"))
+    ranked = ranked.select("_id", (F.col("base") + F.col("_n").bitwiseAND((1 << 33) - 1)).alias("_rank"))
+    several = hashed.join(pairs.where("lo <> hi").select("_id"), "_id", "left_semi").distinct()
+    several = several.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_h")) - 1)
+    several = materialise(several, "several")
+    shift = int(several.agg(F.max("_nth")).first()[0]).bit_length()
+    if base << shift >= 1 << 62:
+        raise ValueError("more ids and texts of one id than keys can tell apart")
+    keyed = docs.withColumn("_id", F.col(id_col)).withColumn("_h", F.xxhash64(F.coalesce(text_col, F.lit("")))).join(ranked, "_id", "left").join(several, ["_id", "_h"], "left")
+    return keyed.select(*docs.columns, (F.shiftleft("_rank", shift) + F.coalesce("_nth", F.lit(0))).alias("_key")), shift
+
+
 def remove_repeats(df: DataFrame, id_col: str, text_col: str, *keep: Column, **options) -> DataFrame:
     """Per row: id, keep, n_bytes, n_removed, n_spans, kept_sha256 (all by bytes) and kept_text (without the characters that lie wholly in removed bytes)."""
+    docs, shift = with_keys(df.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).cast("string").alias("_text")), id_col, "_text")
     spark = df.sparkSession
-    spans = materialise(repeated_spans(df, id_col, text_col, **options), "spans").withColumnRenamed("doc", "_doc")
+    spans = materialise(repeated_spans(docs, "_key", "_text", shift=shift, **options), "spans").withColumnRenamed("doc", "_doc")
     release(spark)
-    docs = df.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
-    names = docs.columns[:-1]
-    joined = docs.join(spans.hint("merge"), docs[id_col] == spans["_doc"], "left").select(*names, "_text", "spans")
+    names = docs.columns[:-2]
+    joined = docs.join(spans.hint("merge"), docs["_key"] == spans["_doc"], "left").select(*names, "_text", "spans")
     more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
     def make():

@@ -100,6 +100,25 @@ def test_different_spans_of_one_anchor_stay(spark):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+@pytest.mark.parametrize("large", [0, 2**62])
+def test_rows_that_repeat_an_id_with_other_texts(spark, large):
+    random.seed(9)
+    pool = ["".join(random.choice("ab cd") for _ in range(70)) for _ in range(8)]
+    rows = [(large + (random.randint(0, 30) - 15) ** 3, "".join(random.choices(pool, k=random.randint(1, 4)))) for _ in range(120)] + [(None, pool[0]), (large - 4000, pool[1] + pool[2]), (large - 4000, None)]
+    for options in ({}, {"sample": 1, "hot": 2}):
+        assert removed(spark.createDataFrame(rows, "doc_id long, text string"), **options) == brute(rows)
+
+
+def test_equal_anchors_of_very_many_texts_are_told_apart():
+    # 200,000 different spans of one anchor: no two agree in all bits, and texts that agree do.
+    rng = np.random.default_rng(2)
+    anchor = b"dkidscskuwzbouhvuxaaskae"
+    texts = [bytes(rng.integers(97, 123, 26, dtype=np.uint8)) + anchor for _ in range(200_000)]
+    r = sr.runs_of([(i, 0, t) for i, t in enumerate([*texts, texts[0]])])
+    keys = set(zip(r.anchor.tolist(), r.span.tolist(), r.more.tolist()))
+    assert len(keys) == len(set(texts)) and len(sr._classes(r)[2]) == len(keys)
+
+
 def test_texts_longer_than_a_part(spark, monkeypatch):
     monkeypatch.setattr(sr, "_PART", 300)
     text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(2000))
