@@ -401,3 +401,15 @@ def near_duplicates(
         F.col("row_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("row_id").isNotNull(), F.coalesce("component_id", "row_id")).alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(found))
+
+
+#: DuckDB's form for embeddings: all pairs. The audit finds all links where the components are right.
+ORACLE = """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+    r AS (SELECT x AS node, x AS seen FROM l UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.seen),
+    c AS (SELECT node, min(seen) AS m FROM r GROUP BY node),
+    n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+    SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.m, e.vec_id) AS component_id, coalesce(c.m, e.vec_id) = e.vec_id AS kept, CAST(1 AS DOUBLE) AS audit_recall
+    FROM embeddings e LEFT JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.x = e.vec_id"""

@@ -76,4 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql(), "op2_warc_revisits": warc.ORACLE, "op6_super_minhash": superminhash.ORACLE}
+    return {
+        "op1_license_scan": license_scan.oracle_sql(),
+        "op2_warc_revisits": warc.ORACLE,
+        "op5_nn_descent": nn_descent.ORACLE,
+        "op6_super_minhash": superminhash.ORACLE,
+        "op10_suffix_repeats": suffix_repeats.ORACLE,
+    }

@@ -522,3 +522,20 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, *keep: Column, **o
         return work
 
     return map_batches(joined, make, schema_of(joined, names, more))
+
+
+#: DuckDB's form for documents: all strings of 50 bytes.
+ORACLE = """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+    s AS (SELECT doc_id, unnest(range(0, octet_length(h) - 49)) AS p, unnest(list_transform(range(0, octet_length(h) - 49), lambda i: array_slice(h, i + 1, i + 50))) AS t FROM d),
+    f AS (SELECT t, min(doc_id) AS least FROM s GROUP BY t),
+    c AS (SELECT doc_id, p FROM s JOIN f USING (t) WHERE least < doc_id),
+    g AS (SELECT doc_id, p, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+          FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM c)),
+    r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, run),
+    n AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM r GROUP BY doc_id),
+    k AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+          UNION ALL SELECT d.doc_id, coalesce(max(r.b), 0), max(octet_length(d.h)) FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id),
+    t AS (SELECT k.doc_id, string_agg(hex(array_slice(d.h, a + 1, b)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+    SELECT d.doc_id, CAST(octet_length(d.h) AS BIGINT) AS n_bytes, CAST(coalesce(n.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t.kept, ''))) AS kept_sha256
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
