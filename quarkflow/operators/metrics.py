@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BUCKETS = 256
+from quarkflow.operators.cells import before_cells, with_cell
 
 
 def _score_counts(scores: DataFrame, score: str, label: str) -> DataFrame:
@@ -17,16 +17,11 @@ def _score_counts(scores: DataFrame, score: str, label: str) -> DataFrame:
 def _cumulated(scores: DataFrame, score: str, label: str) -> DataFrame:
     """(s, p, n, tp, fp): positives and negatives at and above each score.
 
-    Scores are cut into buckets by value quantiles; sums of buckets come first, then running sums inside them, so no
-    task holds all scores.
+    Scores are cut into range cells; sums of cells come first, then running sums inside them, so no task holds all
+    scores.
     """
-    counts = _score_counts(scores, score, label)
-    cuts = counts.agg(F.percentile_approx("s", [i / _BUCKETS for i in range(1, _BUCKETS)], 1000).alias("q")).first()
-    cuts = sorted(set((cuts.q if cuts else None) or ()))
-    bucket: Column = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < F.col("s"))) if cuts else F.lit(0)
-    counts = counts.withColumn("_b", bucket)
-    over = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most _BUCKETS rows
-    base = counts.groupBy("_b").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")).select("_b", F.coalesce(F.sum("_p").over(over), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_fp"))
+    counts = with_cell(_score_counts(scores, score, label), "s", "_b")
+    base = before_cells(counts.groupBy("_b").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")), {"_p": "_tp", "_n": "_fp"}, cell="_b", descending=True)
     inside = Window.partitionBy("_b").orderBy(F.desc("s"))
     out = counts.withColumn("_ip", F.sum("p").over(inside)).withColumn("_in", F.sum("n").over(inside)).join(F.broadcast(base), "_b")
     return out.select("s", "p", "n", (F.col("_ip") + F.col("_tp")).alias("tp"), (F.col("_in") + F.col("_fp")).alias("fp"))

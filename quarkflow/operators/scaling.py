@@ -24,9 +24,7 @@ def long_values(df: DataFrame, features: dict[str, Column], *keep: str) -> DataF
 def percentile_scalers(values: DataFrame, lo: float = 0.16, hi: float = 0.84) -> DataFrame:
     """(feature, kind, p16, p84) by linear interpolation over finite non-zero values; kind `uninformative` where there are none or both are close."""
     x = F.when(is_finite(F.col("value")) & (F.col("value") != 0), F.col("value"))
-    known = values.select("feature").distinct()
-    exact = exact_quantiles(values.withColumn("_v", x), "_v", (lo, hi), "feature")
-    found = known.join(exact, "feature", "left").select("feature", F.get("q", F.lit(0)).alias("p16"), F.get("q", F.lit(1)).alias("p84"))
+    found = exact_quantiles(values.withColumn("_v", x), "_v", (lo, hi), "feature").select("feature", F.get("q", F.lit(0)).alias("p16"), F.get("q", F.lit(1)).alias("p84"))
     poor = F.col("p16").isNull() | is_close(F.col("p16"), F.col("p84"))
     return found.select("feature", F.when(poor, "uninformative").otherwise("scale").alias("kind"), F.when(~poor, F.col("p16")).alias("p16"), F.when(~poor, F.col("p84")).alias("p84"))
 

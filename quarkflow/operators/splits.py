@@ -13,25 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_CELLS = 512
+from quarkflow.operators.cells import before_cells, with_cell
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "rn") -> DataFrame:
-    """df with rn (from 1) in the total order of the order columns, whose first one should be a number.
+    """df with rn (from 1) in the total order of the order columns.
 
-    Rows are cut into cells by quantiles of the first column; a cell's rank is the sum of the cells before it plus the
-    rank inside it. The driver sees one number per cell.
+    Rows are cut into range cells of the first column; a row's rank is the sum of the cells before its own plus its rank
+    inside it. Rows that share the first column's value share a cell.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    rows = df.withColumn("_k", order[0].cast("double"))
-    found = rows.agg(F.percentile_approx("_k", [i / _CELLS for i in range(1, _CELLS)], 5000).alias("q")).first()
-    cuts = sorted(set((found.q if found else None) or ()))
-    cell = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < F.col("_k"))), F.lit(0)) if cuts else F.lit(0)
-    rows = rows.withColumn("_cell", F.when(F.col("_k").isNull(), -1).otherwise(cell))
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most _CELLS rows
-    base = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = with_cell(df, order[0])
+    base = before_cells(rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")), {"_n": "_before"})
     inside = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
-    return rows.withColumn("_i", inside).join(F.broadcast(base), "_cell").withColumn(name, F.col("_i") + F.col("_before")).drop("_k", "_cell", "_i", "_before")
+    return rows.withColumn("_i", inside).join(F.broadcast(base), "_cell").withColumn(name, F.col("_i") + F.col("_before")).drop("_cell", "_i", "_before")
 
 
 def with_total(df: DataFrame, name: str = "total", where: Column | None = None) -> DataFrame:
@@ -51,13 +46,14 @@ def test_size(n: Column, fraction: float) -> Column:
 
 
 def three_way_split(df: DataFrame, order: str, val: float = 0.1, test: float = 0.1) -> DataFrame:
-    """df with split: train, then val, then test in the order given; at least 3 rows, else one row each for val and test as far as they go."""
+    """df with split: train, then val, then test in the order given; fewer than 3 rows are an error."""
+    few = F.raise_error(F.lit("a three-way split needs 3 rows"))
     rows = with_total(numbered(df, order))
     n = F.col("total")
     n_test, n_val = test_size(n, test), test_size(n, val)
     too_many = n - n_test - n_val < 1
     n_test, n_val = F.when(too_many, 1).otherwise(n_test), F.when(too_many, 1).otherwise(n_val)
-    split = F.when(F.col("rn") <= n - n_val - n_test, "train").when(F.col("rn") <= n - n_test, "val").otherwise("test")
+    split = F.when(n < 3, few).when(F.col("rn") <= n - n_val - n_test, "train").when(F.col("rn") <= n - n_test, "val").otherwise("test")
     return rows.withColumn("split", split).drop("rn", "total")
 
 

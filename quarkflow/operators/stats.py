@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations_with_replacement
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarkflow.functions.expr import INF, d
+from quarkflow.operators.cells import with_cell
 
 
 def not_nan(x: Column) -> Column:
@@ -16,47 +21,83 @@ def not_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-_CELLS = 64
+#: Keys of exact_quantiles() at most (their bands are on the driver), values of a band that one task ranks, and the
+#: accuracy of approximate quantiles: their rank is wrong by a share of 1 / _ACCURACY at most.
+MAX_KEYS, MAX_BAND, _ACCURACY, _GRID = 10_000, 4_000_000, 2000, 200
 
 
 def exact_quantiles(df: DataFrame, column: str, quantiles: tuple[float, ...], *keys: str) -> DataFrame:
-    """(keys, q: array) of the linear-interpolation quantiles of non-NULL values, one row per key with values; no task holds all values of a key.
+    """(keys, q: array) of the linear-interpolation quantiles of values that are neither NULL nor NaN, one row per key; q is NULL for keys without values.
 
-    Equal values are counted first. The distinct ones are cut into cells by approximate quantiles of their key; cells
-    are summed, ranks run inside a cell, and the two values beside each wanted rank are picked by a plain aggregate.
+    Approximate quantiles give a band of values around each wanted rank. While a band may hold more than MAX_BAND values it
+    is narrowed by quantiles inside it; then the values below a band are counted, those inside counted by value, and the ranks
+    picked: a scan for the first bands and one for the ranks, and no task that holds a key's values. Runs at once;
+    what is returned is one row per key.
     """
+    spark = df.sparkSession
     names = [f"_key{i}" for i in range(len(keys))]
-    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(column).cast("double").alias("_x")).where("_x is not null")
-    rows = rows if keys else rows.withColumn("_key0", F.lit(0))
-    names = names or ["_key0"]
-    counts = rows.groupBy(*names, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    per_key = counts.groupBy(*names).agg(F.percentile_approx("_x", [i / _CELLS for i in range(1, _CELLS)], 1000).alias("_cuts"), F.sum("_c").alias("_n"))
-    found = per_key.limit(MAX_KEYS + 1).collect()
+    x = not_nan(F.col(column).cast("double")).alias("_x")
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), x)
+    near = sorted({min(1.0, max(0.0, q + e)) for q in quantiles for e in (-2 / _ACCURACY, 2 / _ACCURACY)})
+    first = rows.groupBy(*names).agg(F.count("_x").alias("n"), F.percentile_approx("_x", near, _ACCURACY).alias("a")).limit(MAX_KEYS + 1)
+    kinds = [first.schema[n] for n in names]
+    found = first.collect()
     if len(found) > MAX_KEYS:
         raise ValueError(f"more than {MAX_KEYS} keys")
-    small = F.broadcast(df.sparkSession.createDataFrame(found, per_key.schema))  # its size is checked
-    on = [counts[n].eqNullSafe(small[n]) for n in names]
-    cells = counts.join(small, on).select(*(counts[n] for n in names), "_x", "_c", "_n", F.size(F.filter("_cuts", lambda q: q < F.col("_x"))).alias("_cell"))
-    before = Window.partitionBy(*names).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most _CELLS rows a key
-    sums = cells.groupBy(*names, "_cell").agg(F.sum("_c").alias("_s")).select(*names, "_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    inside = F.sum("_c").over(Window.partitionBy(*names, "_cell").orderBy("_x"))
-    ranked = cells.withColumn("_upto", inside).alias("a").join(F.broadcast(sums).alias("b"), [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in [*names, "_cell"]])
-    ranked = ranked.select(*(F.col(f"a.{n}") for n in names), "_x", "_n", (F.col("_before") + F.col("_upto")).alias("_hi"), (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_lo"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("_x")))
-
+    found = [r for r in found if names or r.n]
+
+    # (key number, quantile number): the band, ends included, and an upper bound of its values. A key of few values is one band.
+    bands: dict[tuple[int, int], tuple[float, float, float]] = {}
+    ranks: dict[tuple[int, int], tuple[int, int, float]] = {}
+    for i, r in enumerate(found):
+        for j, q in enumerate(quantiles if r.n else ()):
+            place = q * (r.n - 1)
+            ranks[i, j] = math.floor(place), math.ceil(place), place - math.floor(place)
+            low, high = (near.index(min(1.0, max(0.0, q + e))) for e in (-2 / _ACCURACY, 2 / _ACCURACY))
+            whole = r.n <= 4 * _ACCURACY
+            bands[i, j] = (-INF, INF, r.n) if whole else (r.a[low] if near[low] > 0 else -INF, r.a[high] if near[high] < 1 else INF, 8 * r.n / _ACCURACY)
+
+    def beside(chosen: list[tuple[int, int]]) -> DataFrame:
+        """(_i, _j, _lo, _hi, _x) of the rows at and below the top of each chosen band."""
+        table = [(*(found[i][n] for n in names), i, j, *bands[i, j][:2]) for i, j in chosen]
+        schema = T.StructType([*kinds, *(T.StructField(n, t()) for n, t in (("_i", T.IntegerType), ("_j", T.IntegerType), ("_lo", T.DoubleType), ("_hi", T.DoubleType)))])
+        by_key = spark.createDataFrame(table, schema).groupBy(*names).agg(F.collect_list(F.struct("_i", "_j", "_lo", "_hi")).alias("_bands"))
+        if names:
+            met = rows.alias("r").join(F.broadcast(by_key.alias("b")), reduce(and_, (F.col(f"r.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names)))  # its size is checked
+        else:
+            met = rows.crossJoin(F.broadcast(by_key))  # one row
+        return met.where("_x is not null").select("_x", F.inline("_bands")).where("_x <= _hi")
+
+    wide = lambda: [b for b, (lo, hi, n) in bands.items() if n > MAX_BAND and lo < hi]
+    while chosen := wide():
+        inside = F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))
+        grid = beside(chosen).groupBy("_i", "_j").agg(F.count_if(F.col("_x") < F.col("_lo")).alias("below"), F.count(inside).alias("n"), F.percentile_approx(inside, [g / _GRID for g in range(1, _GRID)], _ACCURACY).alias("a"))
+        for r in grid.collect():
+            lo, hi, _ = bands[r._i, r._j]
+            a, b = ((rank - r.below) / r.n for rank in ranks[r._i, r._j][:2])
+            low, high = math.floor((a - 2 / _ACCURACY) * _GRID), math.ceil((b + 2 / _ACCURACY) * _GRID)
+            new = r.a[low - 1] if low >= 1 else lo, r.a[high - 1] if high < _GRID else hi
+            # A band that stays as it is holds few different values; they are counted by value.
+            bands[r._i, r._j] = (*new, 0.0 if new == (lo, hi) else (high - low + 2) * r.n / _GRID)
+
+    counts = beside(list(bands)).groupBy("_i", "_j", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_i", "_j").orderBy(F.col("_v").asc_nulls_first()))
+    ranked = counts.withColumn("_upto", upto).join(F.broadcast(spark.createDataFrame([(i, j, *r[:2]) for (i, j), r in ranks.items()], "_i int, _j int, _first long, _last long")), ["_i", "_j"])
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_c") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.col("_v")))
+    picked = {(r._i, r._j): (r.a, r.b) for r in ranked.groupBy("_i", "_j").agg(at("_first").alias("a"), at("_last").alias("b")).collect()} if bands else {}
     out = []
-    for q in quantiles:
-        place = d(q) * (F.col("_n") - 1)
-        low, part = F.floor(place), place - F.floor(place)
-        out.append(at(low) * (1 - F.max(part)) + at(F.ceil(place)) * F.max(part))
-    picked = ranked.groupBy(*names).agg(F.array(*out).alias("q"))
-    return picked.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), "q")
-
-
-#: Keys of exact_quantiles() at most: their cuts are on the driver.
-MAX_KEYS = 10_000
+    for i, r in enumerate(found):
+        values = None
+        if r.n:
+            values = []
+            for j in range(len(quantiles)):
+                (a, b), part = picked[i, j], ranks[i, j][2]
+                if a is None or b is None:
+                    raise RuntimeError("a wanted rank lies outside its band")
+                values.append(a * (1 - part) + b * part if part else a)
+        out.append((*(r[n] for n in names), values))
+    schema = T.StructType([*(T.StructField(k, f.dataType) for k, f in zip(keys, kinds)), T.StructField("q", T.ArrayType(T.DoubleType()))])
+    return spark.createDataFrame(out, schema)
 
 
 def describe(df: DataFrame, column: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), *keys: str) -> DataFrame:
@@ -69,11 +110,6 @@ def describe(df: DataFrame, column: str, quantiles: tuple[float, ...] = (0.25, 0
     return rows.select(*(F.col(f"a.{k}") for k in keys), "n", "mean", "std", "min", *named, "max")
 
 
-def mean_std(df: DataFrame, columns: list[str], *keys: str, population: bool = False) -> DataFrame:
-    f = F.stddev_pop if population else F.stddev_samp
-    return df.groupBy(*keys).agg(*(a for c in columns for a in (F.avg(c).alias(f"mean_{c}"), f(c).alias(f"std_{c}"))))
-
-
 def jet_summary(particles: DataFrame, key: str = "jet_id") -> DataFrame:
     """Mean and population std of pt, stds of eta and phi, mean significances per jet."""
     return particles.groupBy(key).agg(
@@ -123,19 +159,24 @@ def masked_mse(rows: DataFrame, key: str, target: str, output: str, mask: str) -
     return rows.groupBy(key).agg((F.sum(F.when(F.col(mask), square).otherwise(d(0.0))) / F.greatest(F.count_if(F.col(mask)), F.lit(1))).alias("loss"))
 
 
-def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
-    return df.agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("mean"))
-
-
 def cross_entropy(df: DataFrame, label: str, score: str, tiny: float = 1e-12) -> DataFrame:
     p = F.greatest(d(tiny), F.least(d(1 - tiny), F.col(score)))
     return df.agg((-F.avg(F.col(label) * F.ln(p) + (1 - F.col(label)) * F.ln(1 - p))).alias("bce"))
 
 
 def running_best(df: DataFrame, value: str, order: str, *keys: str, smallest: bool = True) -> DataFrame:
-    """df with `best` (the best value so far) and `improved` (whether this row set it)."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    """df with `best` (the best value so far) and `improved` (whether this row set it), by keys in the order of a column that tells a key's rows apart.
+
+    Range cells of the order column carry the best of the cells before, so no task holds a key's rows.
+    """
     f = F.min if smallest else F.max
-    before = f(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    better = before.isNull() | ((F.col(value) < before) if smallest else (F.col(value) > before))
-    return df.withColumn("best", f(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("improved", better)
+    rows = with_cell(df, order)
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # one row per key and cell
+    carried = rows.groupBy(*keys, "_cell").agg(f(value).alias("_b")).select(*keys, "_cell", f("_b").over(before).alias("_carried"))
+    w = Window.partitionBy(*keys, "_cell").orderBy(order)
+    inside = rows.withColumn("_before", f(value).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    out = inside.alias("a").join(carried.alias("b"), reduce(and_, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "_cell"))))
+    best = F.least if smallest else F.greatest
+    out = out.withColumn("_before", best("_before", "_carried"))
+    better = F.col("_before").isNull() | ((F.col(value) < F.col("_before")) if smallest else (F.col(value) > F.col("_before")))
+    return out.select(*(F.col(f"a.{c}") for c in df.columns), best("_before", f"a.{value}").alias("best"), better.alias("improved"))

@@ -194,11 +194,11 @@ def flagship(spark, sf_dir):
     return rounded(scaled.groupBy("jet_id").agg(F.count(F.lit(1)).alias("n"), F.avg("scaled").alias("mean_scaled")), "mean_scaled")
 
 
-@register(f"""{fx.WITH_PARTS}, s AS (SELECT avg(pt) AS m, stddev_samp(pt) AS s FROM parts WHERE label = 0) SELECT label, count(*) AS n, round(avg((pt - m) / s), 6) AS mean, round(stddev_pop((pt - m) / s), 6) AS std FROM parts, s GROUP BY label""")
+@register(f"""{fx.WITH_PARTS}, s AS (SELECT avg(pt) AS m, stddev_samp(pt) AS s FROM parts WHERE label = 0) SELECT label, count(*) AS n, round(avg((pt - m) / s), 6) + 0e0 AS mean, round(stddev_pop((pt - m) / s), 6) AS std FROM parts, s GROUP BY label""")
 def standardize(spark, sf_dir):
     rows = fx.particles(spark, sf_dir).select("label", "pt")
     out = scaling.standardize(rows, ["pt"], rows.where("label = 0"))
-    return rounded(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("pt").alias("mean"), F.stddev_pop("pt").alias("std")), "mean", "std")
+    return rounded(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("pt").alias("mean"), F.stddev_pop("pt").alias("std")), "mean", "std").withColumn("mean", F.col("mean") + d(0.0))
 
 
 @register(f"{fx.WITH_PARTS} SELECT jet_id, idx, pt FROM parts WHERE label = 1")
@@ -410,9 +410,9 @@ def binary_cross_entropy(spark, sf_dir):
     return rounded(stats.cross_entropy(rows, "label", "score"), "bce")
 
 
-@register(f"{fx.WITH_JETS}, e AS (SELECT label, jet_id, fj_pt, min(fj_pt) OVER (PARTITION BY label ORDER BY jet_id) AS best, min(fj_pt) OVER (PARTITION BY label ORDER BY jet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM jets WHERE event < 50) SELECT label, jet_id, best, b IS NULL OR fj_pt < b AS improved FROM e")
+@register(f"{fx.WITH_JETS}, e AS (SELECT label, jet_id, fj_pt, min(fj_pt) OVER (PARTITION BY label ORDER BY jet_id) AS best, min(fj_pt) OVER (PARTITION BY label ORDER BY jet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM jets) SELECT label, jet_id, best, b IS NULL OR fj_pt < b AS improved FROM e")
 def running_best(spark, sf_dir):
-    rows = fx.jets(spark, sf_dir).where("event < 50").select("label", "jet_id", "fj_pt")
+    rows = fx.jets(spark, sf_dir).select("label", "jet_id", "fj_pt")
     return stats.running_best(rows, "fj_pt", "jet_id", "label").drop("fj_pt")
 
 

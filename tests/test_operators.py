@@ -212,3 +212,43 @@ def test_exact_quantiles_against_numpy(spark):
         assert got[k] == pytest.approx(np.percentile(x, [0, 16, 50, 84, 100]))
     flat = spark.createDataFrame([(2.0,)] * 50, "x double")
     assert stats.exact_quantiles(flat, "x", (0.3,)).first().q == [2.0] and stats.exact_quantiles(flat.limit(0), "x", (0.3,)).count() == 0
+
+
+def test_exact_quantiles_narrow_their_bands(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MAX_BAND", 20)
+    rng = np.random.default_rng(1)
+    values = {"a": rng.normal(size=30_000), "b": np.concatenate([np.full(20_000, 3.0), rng.normal(size=10_000)]), "c": np.array([5.0]), "d": np.concatenate([rng.normal(size=9_000), [np.inf, -np.inf]])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("e", None), ("e", float("nan"))], "k string, x double")
+    got = {r.k: r.q for r in stats.exact_quantiles(df, "x", (0.0, 0.16, 0.5, 0.84), "k").collect()}
+    assert got.pop("e") is None
+    for k, q in got.items():
+        x = np.sort(values[k])
+        want = np.quantile(x[np.isfinite(x)], [0, 0.16, 0.5, 0.84])
+        assert q == pytest.approx(want if k != "d" else [-np.inf, *np.quantile(x, [0.16, 0.5, 0.84])])
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "double", "timestamp"])
+def test_numbers_follow_the_order_of_any_column(spark, kind):
+    df = spark.range(500).select(F.when(F.col("id") % 50 == 0, None).otherwise(F.col("id") * 7919 % 503).alias("v"), "id")
+    df = df.select(F.lpad(F.col("v").cast("string"), 3, "0").alias("v") if kind == "string" else F.timestamp_seconds("v").alias("v") if kind == "timestamp" else (F.col("v") + 2**60).cast(kind).alias("v") if kind == "bigint" else F.col("v").cast(kind).alias("v"), "id")
+    got = [(r.v is not None, r.v, r.id) for r in splits.numbered(df, "v", "id").orderBy("rn").collect()]
+    assert got == sorted(got, key=lambda r: (r[0], r[1] if r[0] else 0, r[2])) and len(got) == 500
+    assert [r.rn for r in splits.numbered(df, "v", "id").orderBy("rn").collect()] == list(range(1, 501))
+
+
+def test_running_best_by_cells(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if k == 2 else k, i, float(v)) for k in range(3) for i, v in enumerate(rng.integers(0, 1000, 300))]
+    for smallest in (True, False):
+        got = {(r.k, r.i): (r.best, r.improved) for r in stats.running_best(spark.createDataFrame(rows, "k int, i int, v double").repartition(5), "v", "i", "k", smallest=smallest).collect()}
+        for k in (0, 1, None):
+            best = None
+            for _, i, v in [r for r in rows if r[0] == k]:
+                better = best is None or (v < best if smallest else v > best)
+                best = v if better else best
+                assert got[k, i] == (best, better)
+
+
+def test_a_three_way_split_needs_three_rows(spark):
+    with pytest.raises(Exception, match="needs 3 rows"):
+        splits.three_way_split(spark.range(2), "id").collect()
