@@ -40,11 +40,6 @@ def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Co
     return F.abs(a - b) <= d(atol) + d(rtol) * F.abs(b)
 
 
-def is_near(a: Column, b: Column, rel: float = 1e-4) -> Column:
-    """Symmetric relative closeness without an absolute tolerance."""
-    return F.abs(a - b) <= d(rel) * F.greatest(F.abs(a), F.abs(b))
-
-
 def log_or_inf(x: Column) -> Column:
     """ln x; -inf at 0, NaN below."""
     return F.when(x > 0, F.ln(x)).when(x == 0, d(-INF)).when(x.isNotNull(), d(NAN))

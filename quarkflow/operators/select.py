@@ -66,12 +66,6 @@ def leading(jets: Column) -> Column:
     return F.get(F.filter(jets, lambda j: j["pt"] == best), F.lit(0))
 
 
-def lead_rows(jets: DataFrame, event: str, pt: str, order: str) -> DataFrame:
-    """The row of largest pt per event, the first by order of equals."""
-    w = Window.partitionBy(event).orderBy(F.desc(pt), order)
-    return jets.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
 def veto_rows(jets: DataFrame, leptons: DataFrame, event: str, dr_min: float = LEPTON_DR_MIN, pt_min: float = LEPTON_PT_MIN) -> DataFrame:
     """jets (fj_eta, fj_phi) without a lepton (pt, eta, phi) of the same event within dr_min: an anti join on the event and the distance."""
     near = leptons.where(F.col("pt") > d(pt_min)).select(F.col(event).alias("_event"), F.col("eta").alias("_eta"), F.col("phi").alias("_phi"))
