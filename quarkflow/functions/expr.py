@@ -83,3 +83,8 @@ def stem(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     return F.coalesce(F.regexp_extract(path, r"(\.[^./]*)$", 1), F.lit(""))
+
+
+def safe_name(feature: str) -> str:
+    """A feature's name as part of a file name."""
+    return feature.replace("/", "_")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +76,15 @@ def valid_rows(df: DataFrame, length_of: str, features: list[str]) -> DataFrame:
     return df.where(ok)
 
 
+def checked_rows(df: DataFrame, length_of: str, features: list[str]) -> DataFrame:
+    """df, or an error when a row is read whose feature arrays are not as long as length_of: every row is checked, in the scan that uses it. Absent columns are an error at once."""
+    missing = [c for c in features if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing features: {', '.join(missing)}")
+    bad = [F.when(F.size(c).eqNullSafe(F.size(length_of)), F.lit(True)).otherwise(F.raise_error(F.lit(f"{c} is not as long as {length_of}")).cast("boolean")) for c in features]
+    return df.where(F.lit(True) if not bad else reduce(and_, bad))
+
+
 def feature_list(text: str) -> list[str]:
     """Names of a comma list, trimmed; an empty list is an error."""
     out = [x.strip() for x in text.split(",") if x.strip()]
@@ -82,11 +94,21 @@ def feature_list(text: str) -> list[str]:
 
 
 def stacked(arrays: list[str]) -> Column:
-    """array<array<float>>: row i holds element i of every array."""
+    """array<array<float>>: row i holds element i of every array; shorter arrays give NULLs, or an error of node_stack."""
     return F.transform(F.arrays_zip(*arrays), lambda z: F.array(*(z[a].cast("float") for a in arrays)))
 
 
+def node_stack(df: DataFrame, arrays: list[str], name: str = "x") -> DataFrame:
+    """df with the arrays stacked; an absent column or arrays of several lengths are an error."""
+    return checked_rows(df, arrays[0], arrays).withColumn(name, stacked(arrays))
+
+
+def within_capacity(values: Column, size: int) -> Column:
+    """True, as a condition on rows; an array of more than size elements is an error. For use before padded, which cuts such arrays."""
+    return F.when(F.size(values) > size, F.raise_error(F.concat(F.size(values).cast("string"), F.lit(f" elements for {size} slots"))).cast("boolean")).isNull()
+
+
 def padded(values: Column, size: int, fill: float = 0.0) -> tuple[Column, Column]:
-    """(array of exactly size elements, 0/1 mask of the true ones); longer arrays are an error of the caller's check."""
+    """(array of exactly size elements, 0/1 mask of the true ones); longer arrays are cut, or an error of within_capacity."""
     n = F.least(F.size(values), F.lit(size))
     return F.slice(F.concat(values, F.array_repeat(F.lit(fill), size)), 1, size), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(size) - n))

@@ -7,6 +7,8 @@ neighbour's number. Groups of fewer than two nodes have no graph. Edges: (jet_id
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -126,3 +128,23 @@ def edge_messages(edges: DataFrame, nodes: DataFrame, features: list[str]) -> Da
 def edge_max(messages: DataFrame, columns: list[str]) -> DataFrame:
     """The largest message of each column over a centre's edges."""
     return messages.groupBy("jet_id", "center").agg(*(F.max(c).alias(f"max_{c}") for c in columns))
+
+
+def top_k_pool(nodes: DataFrame, edges: DataFrame, features: list[str], weights: list[float], ratio: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each group's ceil(ratio * n) nodes of largest projection on weights, the smaller number of equals.
+
+    Nodes: (jet_id, idx, features, score), features times the score, the tanh of the projection. Edges keep both ends.
+    NULL and non-finite features count as 0.
+    """
+    norm = math.sqrt(sum(w * w for w in weights))
+    if not norm or len(weights) != len(features):
+        raise ValueError("one weight per feature, not all zero")
+    clean = {f: zero_unless_finite(F.col(f)) for f in features}
+    along = sum((clean[f] * d(w) for f, w in zip(features, weights)), d(0.0)) / d(norm)
+    group = Window.partitionBy("jet_id")
+    ranked = nodes.select("jet_id", "idx", *(c.alias(f) for f, c in clean.items()), along.alias("_s"))
+    ranked = ranked.withColumn("_r", F.row_number().over(group.orderBy(F.desc("_s"), "idx"))).withColumn("_n", F.count(F.lit(1)).over(group))
+    kept = ranked.where(F.col("_r") <= F.ceil(d(ratio) * F.col("_n"))).withColumn("score", F.tanh("_s"))
+    for end in ("center", "neighbor"):
+        edges = edges.join(kept.select("jet_id", F.col("idx").alias(end)), ["jet_id", end], "left_semi")
+    return kept.select("jet_id", "idx", *((F.col(f) * F.col("score")).alias(f) for f in features), "score"), edges

@@ -159,6 +159,17 @@ def masked_mse(rows: DataFrame, key: str, target: str, output: str, mask: str) -
     return rows.groupBy(key).agg((F.sum(F.when(F.col(mask), square).otherwise(d(0.0))) / F.greatest(F.count_if(F.col(mask)), F.lit(1))).alias("loss"))
 
 
+def index_loss(rows: DataFrame, pairs: list[tuple[str, str]], valid: str, *keys: str) -> DataFrame:
+    """(keys, loss): squared error of slot i against token i, averaged over a token's (target, output) pairs and the valid tokens.
+
+    By keys a key without a valid token has loss 0; without keys, no valid token gives NULL.
+    """
+    token = sum(((F.col(t) - F.col(o)) * (F.col(t) - F.col(o)) for t, o in pairs), d(0.0)) / d(len(pairs))
+    n = F.count_if(F.col(valid))
+    total = F.sum(F.when(F.col(valid), token).otherwise(d(0.0)))
+    return rows.groupBy(*keys).agg((total / F.greatest(n, F.lit(1)) if keys else F.try_divide(total, n)).alias("loss"))
+
+
 def cross_entropy(df: DataFrame, label: str, score: str, tiny: float = 1e-12) -> DataFrame:
     p = F.greatest(d(tiny), F.least(d(1 - tiny), F.col(score)))
     return df.agg((-F.avg(F.col(label) * F.ln(p) + (1 - F.col(label)) * F.ln(1 - p))).alias("bce"))

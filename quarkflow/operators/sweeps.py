@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarkflow.functions.expr import d
 from quarkflow.operators.metrics import roc_auc
 from quarkflow.operators.splits import sweep_grid
 
@@ -32,6 +36,41 @@ def best_run(spark: SparkSession, scores_by_run: dict[int, DataFrame]) -> tuple[
     return found[0][1], -found[0][0]
 
 
+def best_epoch(epochs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, epoch, auc, loss) of the epoch kept last: a larger auc, or one as good as equal (a hundred thousandth) with a smaller loss.
+
+    Epochs are taken in their order, as being nearly equal is not transitive; a group holds the epochs of a run. Rows
+    whose auc is NULL or NaN are passed over, a NULL loss never wins; a run without others has no row.
+    """
+    rows = epochs.where(F.col("auc").isNotNull() & ~F.isnan("auc"))
+    row = F.struct(F.col("epoch").cast("long").alias("epoch"), F.col("auc").cast("double").alias("auc"), F.coalesce(F.col("loss").cast("double"), d(math.nan)).alias("loss"))
+
+    def later(best: Column, x: Column) -> Column:
+        near = F.abs(x["auc"] - best["auc"]) <= d(1e-8) + d(1e-5) * F.abs(best["auc"])
+        return F.when((x["auc"] > best["auc"]) | (near & (x["loss"] < best["loss"])), x).otherwise(best)
+
+    ordered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_e")).where(F.size("_e") > 0)
+    return ordered.select(*keys, F.aggregate("_e", F.col("_e")[0], later).alias("_b")).select(*keys, "_b.*")
+
+
+def at_setting(runs: DataFrame, **settings) -> DataFrame:
+    """The runs whose parameters equal the settings (None: NULL)."""
+    return runs.where(reduce(and_, (F.col(k).eqNullSafe(F.lit(v)) for k, v in settings.items()), F.lit(True)))
+
+
+def with_auc(runs: DataFrame, auc: str = "auc") -> DataFrame:
+    """The runs whose auc is neither NULL nor NaN."""
+    return runs.where(F.col(auc).isNotNull() & ~F.isnan(auc))
+
+
+def repeat_mean(rows: DataFrame, evaluate: Callable[[DataFrame], DataFrame], repeats: int, value: str, *keys: str) -> DataFrame:
+    """(keys, value): the mean over `repeats` evaluations of every row, which evaluate sees as copies told apart by `repeat`."""
+    if repeats < 1:
+        raise ValueError("at least one repeat")
+    copies = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    return evaluate(copies).groupBy(*keys).agg(F.avg(value).alias(value))
+
+
 def match_names(raw: DataFrame, processed: DataFrame, raw_name: str, processed_name: str) -> DataFrame:
     """Pairs whose processed name holds the raw name: processed names are cut into substrings of the raw names' lengths, which makes it an equi-join."""
     sizes = [r[0] for r in raw.select(F.length(raw_name)).distinct().limit(1001).collect()]

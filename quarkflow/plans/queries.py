@@ -271,6 +271,23 @@ def undirected_edges(spark, sf_dir):
     return graphs.undirected(graphs.build(_nodes(spark, sf_dir), "eta_phi", _K))
 
 
+_POOL = f"SELECT jet_id, idx, s, row_number() OVER (PARTITION BY jet_id ORDER BY s DESC, idx) AS r, count(*) OVER (PARTITION BY jet_id) AS n FROM (SELECT *, (0e0 + pt * 1e0 + eta * 5e-1) / sqrt(125e-2) AS s FROM parts)"
+
+
+@register(f"{fx.WITH_PARTS} SELECT jet_id, idx, round(tanh(s), 6) AS score FROM ({_POOL}) WHERE r <= ceil(5e-1 * n)")
+def top_k_nodes(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    kept, _ = graphs.top_k_pool(nodes, graphs.fully_connected(nodes), ["pt", "eta"], [1.0, 0.5])
+    return rounded(kept.select("jet_id", "idx", "score"), "score")
+
+
+@register(f"{fx.WITH_PARTS}, p AS ({_POOL}), k AS (SELECT * FROM p WHERE r <= ceil(5e-1 * n)), e AS ({_edges_sql(_D2, False, _K)}) SELECT e.* FROM e JOIN k a ON e.jet_id = a.jet_id AND e.center = a.idx JOIN k b ON e.jet_id = b.jet_id AND e.neighbor = b.idx")
+def top_k_edges(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    _, edges = graphs.top_k_pool(nodes, graphs.build(nodes, "eta_phi", _K), ["pt", "eta"], [1.0, 0.5])
+    return edges.select(*_EDGE)
+
+
 @register(f"{fx.WITH_PARTS} SELECT jet_id, max(pt) AS max_pt, max(eta) AS max_eta FROM parts GROUP BY jet_id")
 def global_pool(spark, sf_dir):
     return graphs.pooled(_nodes(spark, sf_dir), ["pt", "eta"])

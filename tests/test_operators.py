@@ -252,3 +252,36 @@ def test_running_best_by_cells(spark):
 def test_a_three_way_split_needs_three_rows(spark):
     with pytest.raises(Exception, match="needs 3 rows"):
         splits.three_way_split(spark.range(2), "id").collect()
+
+
+def test_arrays_of_several_lengths_are_errors(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), ([1.0], [3.0, 4.0])], "a array<double>, b array<double>")
+    with pytest.raises(Exception, match="not as long"):
+        features.checked_rows(df, "a", ["b"]).collect()
+    with pytest.raises(ValueError):
+        features.checked_rows(df, "a", ["z"])
+    assert features.checked_rows(df.limit(1), "a", ["b"]).count() == 1
+    with pytest.raises(Exception, match="not as long"):
+        features.node_stack(df, ["a", "b"]).collect()
+    assert features.node_stack(df.limit(1), ["a", "b"]).first().x == [[1.0, 3.0], [2.0, 4.0]]
+    with pytest.raises(Exception, match="2 elements for 1 slots"):
+        df.where(features.within_capacity(F.col("b"), 1)).collect()
+    assert df.where(features.within_capacity(F.col("b"), 2)).count() == 2
+
+
+def test_top_k_pool(spark):
+    nodes = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (1, 2, 3.0), (2, 0, math.nan)], "jet_id int, idx int, x double")
+    edges = spark.createDataFrame([(1, 1, 2), (1, 0, 1), (1, 2, 0)], "jet_id int, center int, neighbor int")
+    kept, between = graphs.top_k_pool(nodes, edges, ["x"], [2.0])
+    t = math.tanh(3.0)
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, 1, pytest.approx(3 * t), pytest.approx(t)), (1, 2, pytest.approx(3 * t), pytest.approx(t)), (2, 0, 0.0, 0.0)]
+    assert [(r.center, r.neighbor) for r in between.collect()] == [(1, 2)]
+    with pytest.raises(ValueError):
+        graphs.top_k_pool(nodes, edges, ["x"], [0.0])
+
+
+def test_index_loss(spark):
+    rows = spark.createDataFrame([(1, 1.0, 3.0, True), (1, 0.0, 9.0, False), (2, 1.0, 1.0, False), (3, 2.0, 1.0, True)], "e int, t double, o double, ok boolean")
+    assert sorted(tuple(r) for r in stats.index_loss(rows, [("t", "o")], "ok", "e").collect()) == [(1, 4.0), (2, 0.0), (3, 1.0)]
+    assert stats.index_loss(rows, [("t", "o")], "ok").first().loss == 2.5
+    assert stats.index_loss(rows.where("not ok"), [("t", "o")], "ok").first().loss is None

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quarkflow import cli, config
+from quarkflow.functions.expr import safe_name
 from quarkflow.operators import models, sweeps
 from quarkflow.plans import workflow
 
@@ -79,3 +80,20 @@ def test_settings_and_weights(tmp_path):
         assert np.allclose(apply(models.load_weights(path, type(model))), apply(model))
     with pytest.raises(TypeError):
         models.load_weights(str(tmp_path / "Mlp.npz"), models.EdgeConvEncoder)
+
+
+def test_best_epochs_slices_and_repeats(spark):
+    rows = [(0, 0, 0.8, 1.0), (0, 1, 0.8, 0.5), (0, 2, 0.7, 0.1), (0, 3, None, 0.0), (0, 4, 0.8, None), (1, 0, float("nan"), 0.0)]
+    epochs = spark.createDataFrame(rows, "run int, epoch int, auc double, loss double")
+    assert [tuple(r) for r in sweeps.best_epoch(epochs, "run").collect()] == [(0, 1, 0.8, 0.5)]
+    assert sweeps.best_epoch(epochs.where("run = 0")).first().epoch == 1 and sweeps.best_epoch(epochs.limit(0)).count() == 0
+    assert sorted(r.epoch for r in sweeps.at_setting(epochs, run=0, auc=None).collect()) == [3]
+    assert sweeps.with_auc(epochs).count() == 4
+    scored = sweeps.repeat_mean(epochs.where("run = 0"), lambda df: df.withColumn("x", df.repeat + df.epoch), 3, "x", "epoch")
+    assert sorted(tuple(r) for r in scored.collect()) == [(i, i + 1.0) for i in range(5)]
+    with pytest.raises(ValueError):
+        sweeps.repeat_mean(epochs, lambda df: df, 0, "auc")
+
+
+def test_safe_name():
+    assert safe_name("a/b") == "a_b"
