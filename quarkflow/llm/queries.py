@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarkflow.llm import binpack, bpe, cdc, langid, license_scan, line_dedup, nn_descent, resampling, suffix_repeats, superminhash, toxicity, warc
+from quarkflow.llm import binpack, bpe, cdc, langid, lexical_search, license_scan, line_dedup, nn_descent, resampling, suffix_repeats, superminhash, toxicity, warc
 from quarkflow.llm.common import fold_of, table
 
 
@@ -79,11 +79,15 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # fmt: off
     every = (
         op1_license_scan, op2_warc_revisits, op3_language_id, op4_toxicity, op5_nn_descent, op6_super_minhash, op7_document_fingerprints, op8_byte_bpe, op9_best_fit_packing,
-        op10_suffix_repeats, op11_importance_resampling, op12_line_dedup,
+        op10_suffix_repeats, op11_importance_resampling, op12_line_dedup, op13_lexical_search,
     )
     # fmt: on
     return {f.__name__: f for f in every}
@@ -98,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_suffix_repeats": suffix_repeats.ORACLE,
         "op11_importance_resampling": resampling.ORACLE,
         "op12_line_dedup": line_dedup.ORACLE,
+        "op13_lexical_search": lexical_search.ORACLE,
     }
