@@ -16,14 +16,16 @@ itself; ids may be null; extra columns are ignored. An empty table packs to no s
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarkflow.llm import bpe
 from quarkflow.llm.common import map_batches, materialise
 
 CAPACITY = 2048
@@ -61,6 +63,29 @@ def fast_encoder(json_path: str, pattern: str):
     return _encoders[json_path, pattern]
 
 
+def file_ids(json_path: str, pattern: str) -> Callable[[str], np.ndarray]:
+    """text -> ids (uint32) of a byte-level tokenizer file.
+
+    The fast encoder's matcher gives up on runs of some hundred thousand white spaces. Such a text is cut at the added
+    tokens and by the pattern with a matcher that needs no stack, and goes through the transducer of bpe.Encoder.
+    """
+    fast = fast_encoder(json_path, pattern)
+    slow: list[bpe.Encoder] = []
+
+    def ids(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
+        except ValueError:
+            if not slow:
+                slow.append(bpe.Encoder(fast._mergeable_ranks, pattern))
+        added = {t: fast.encode_single_token(t) for t in fast.special_tokens_set}
+        between = re.split("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")", text) if added else [text]
+        parts = [np.array([added[x]], "<u4") if i % 2 else np.frombuffer(slow[0].encode_bytes(x), "<u4") for i, x in enumerate(between)]
+        return np.concatenate(parts)
+
+    return ids
+
+
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: all full but the first."""
     first = n % capacity or capacity
@@ -74,12 +99,12 @@ def tokenize(df: DataFrame, text_col: str, json_path: str, pattern: str, *keep:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [_PIECE] + ["ids array<int>"] * with_ids)
 
     def make():
-        encoder = fast_encoder(json_path, pattern)
+        encode = file_ids(json_path, pattern)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("_text")):
-                tokens = np.append(encoder.encode_to_numpy(text.as_py() or "", allowed_special="all").astype("<u4"), np.uint32(end_id))
+                tokens = np.append(encode(text.as_py() or ""), np.uint32(end_id))
                 for k, (at, n) in enumerate(cuts(len(tokens), capacity)):
                     row.append(i)
                     piece.append(k)

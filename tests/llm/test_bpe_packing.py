@@ -167,3 +167,32 @@ def test_cuts_put_the_short_piece_first():
     assert binpack.cuts(4096) == [(0, 2048), (2048, 2048)] and binpack.cuts(1) == [(0, 1)]
     with pytest.raises(ValueError):
         binpack.plan_bins({3000: 1})
+
+
+#: Runs on which a backtracking matcher runs out of stack.
+WHITE = {
+    "spaces": "x" + " " * 5_000_000 + "y",
+    "newlines": "\n" * 5_000_000,
+    "tabs": "\t" * 5_000_000 + "end",
+    "mixed": " \n\t " * 1_250_000 + "z<|endoftext|> w",
+    "several": ("word " * 10 + " " * 1_000_000) * 2 + "<|endoftext|>" + "\r" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", WHITE)
+def test_long_white_space_has_the_librarys_ids(name):
+    text = WHITE[name]
+    with pytest.raises(ValueError):
+        binpack.fast_encoder(JSON, P.PATTERN).encode(text, allowed_special="all")
+    assert binpack.file_ids(JSON, P.PATTERN)(text).tolist() == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space_packs(spark):
+    """A row of a million spaces among others: all its pieces are there, in place."""
+    docs = spark.createDataFrame([(1, "x" + " " * 1_000_000 + "y"), (2, "a few words"), (3, None)], "doc_id long, text string")
+    rows = binpack.pack(binpack.tokenize(docs, "text", JSON, P.PATTERN, F.col("doc_id")), "doc_id", "piece").collect()
+    want = Tokenizer.from_file(JSON).encode("x" + " " * 1_000_000 + "y", add_special_tokens=False).ids + [0]
+    mine = sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.piece)
+    assert sum(r.length for r in mine) == len(want)
+    for r in mine:
+        assert zlib.crc32(np.array(want[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
