@@ -7,15 +7,18 @@ is a neighbour of are compared with each other, and each keeps the best. A list
 its size is doubled for the next round. Links (cosine >= threshold) are joined
 to components, and inside a component all vectors are counted against each other in blocks, which completes lists
 that a bounded size cut off and emits no pairs. Blocks hold vectors of like angle to the component's first vector: by the
-triangle inequality some pairs of blocks can hold no link and some hold links only, and neither are compared. An audit
-compares a bounded hash sample of vectors with all by brute force; while the share of its true links that the graph
-holds is too low, projections of another seed and further rounds follow, and a result below it is an error.
+triangle inequality some pairs of blocks can hold no link and some hold links only, and neither are compared. There are as many
+tables as two lone vectors at the threshold need to share a block of one of them but for one time in ten thousand; so
+their number grows with the table. An audit compares a bounded hash sample of vectors with all by brute force, half of it
+from vectors without a known link, and estimates the share of linked vectors that have all of their links: by vector, so
+that a dense group can't hide lone pairs. While it is too low, projections of another seed and further rounds follow. If
+that doesn't help, the completion below takes in all vectors and is exact.
 
 Lists of a bounded size can lose every link between two dense groups. Such a link has full lists of links at both ends
 (any other list has room for it), so a completion looks at saturated vectors alone: each goes to the cell of a hub, a
 vector of its list, and hubs of different components are compared in blocks; only cells that, by the triangle
 inequality, may hold linked vectors are compared vector by vector. Vectors that are not saturated rely on their lists,
-whose recall the audit states.
+whose recall the audit states (audit_recall), unless the completion took in all.
 
 Defined results: vectors that are null, of length zero, or with null or non-finite components link with nothing (own
 component); vectors of different dimensions have no link. Rows with a null id likewise, with component null and kept
@@ -24,6 +27,7 @@ true. Rows that repeat an id count as vectors of their own that share a componen
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,29 +189,50 @@ def refine(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return rows.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(run, _PAIR)
 
 
-def audit(vectors: DataFrame, named: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the true links of a hash sample of at most `queries` vectors whose ends are in one component. 1 if they have none."""
+def tables_for(vectors: int, threshold: float, block: int = 256, missed: float = 1e-4) -> int:
+    """Projection tables in which two lone vectors at the threshold share a block, but for a share `missed` of such pairs: blocks take as many signs as halve the vectors to their size."""
+    signs = max(0.0, math.log2(max(vectors, 1) / block))
+    together = (1 - math.acos(threshold) / math.pi) ** signs
+    return 1 if together > 1 - missed else math.ceil(math.log(missed) / math.log(1 - together))
+
+
+def audit(vectors: DataFrame, lists: DataFrame, named: DataFrame, threshold: float, queries: int) -> float:
+    """Of the vectors with a true link, the share whose true links are all inside their component, estimated from at most `queries` vectors. 1 if none has a link.
+
+    Vectors without a link in their list and others are drawn from apart, by hash, and count as many as they stand for.
+    """
     spark = vectors.sparkSession
-    drawn = vectors.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(queries).select("id", "vec").collect()
+    known = lists.where(F.col("sim") >= threshold).select(F.col("u").alias("id")).distinct().withColumn("known", F.lit(1))
+    strata = materialise(vectors.select("id", "vec").join(known, "id", "left").withColumn("known", F.coalesce("known", F.lit(0))), "strata")
+    sizes = {r.known: r.n for r in strata.groupBy("known").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn, share = [], {}
+    for kind, n in sizes.items():
+        rows = strata.where(F.col("known") == kind).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(queries // 2).select("id", "vec").collect()
+        drawn += [(r.id, bytes(r.vec), n / len(rows)) for r in rows]
     if not drawn:
         return 1.0
-    ids = np.array([r.id for r in drawn])
-    shared = spark.sparkContext.broadcast({x.shape[1]: (ids[at], x) for at, x in _by_dimension([bytes(r.vec) for r in drawn])})
+    ids, share = np.array([d[0] for d in drawn]), {d[0]: d[2] for d in drawn}
+    shared = spark.sparkContext.broadcast({x.shape[1]: (ids[at], x) for at, x in _by_dimension([d[1] for d in drawn])})
+    block = 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, y in _by_dimension(batch.column("vec").to_pylist()):
-                if y.shape[1] in shared.value:
-                    ids, x = shared.value[y.shape[1]]
-                    own = batch.column("id").to_numpy()[at]
-                    sims = cosines(y, x)
-                    i, q = np.nonzero((sims >= threshold) & (own[:, None] != ids[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[q]), pa.array(sims[i, q])], names=["u", "v", "sim"])
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                for at, y in _by_dimension(part.column("vec").to_pylist()):
+                    if y.shape[1] in shared.value:
+                        ids, x = shared.value[y.shape[1]]
+                        own = part.column("id").to_numpy()[at]
+                        sims = cosines(y, x)
+                        i, q = np.nonzero((sims >= threshold) & (own[:, None] != ids[None, :]))
+                        yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[q]), pa.array(sims[i, q])], names=["u", "v", "sim"])
 
     links = vectors.select("id", "vec").mapInArrow(run, _PAIR)
     a, b = named.select(F.col("node").alias("u"), F.col("component").alias("cu")), named.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    found = links.join(a, "u", "left").join(b, "v", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("cu", "u") == F.coalesce("cv", "v")).alias("k")).first()
-    return found.k / found.n if found.n else 1.0
+    kept = F.coalesce("cu", "u") == F.coalesce("cv", "v")
+    by_vector = links.join(a, "u", "left").join(b, "v", "left").groupBy("v").agg(F.min(kept.cast("int")).alias("kept")).collect()  # a row per query at most
+    whole = sum(share[r.v] for r in by_vector)
+    return sum(share[r.v] * r.kept for r in by_vector) / whole if by_vector else 1.0
 
 
 def _tiles(sides: DataFrame, output: str, work) -> DataFrame:
@@ -272,10 +297,12 @@ def near_cells(heads: DataFrame, reach: float, share_bytes: int = 8 << 20, rows:
     return out.distinct() if out is not None else spark.createDataFrame([], "a long, b long")
 
 
-def complete(lists: DataFrame, full: DataFrame, vectors: DataFrame, named: DataFrame, threshold: float, block: int = 512, **options) -> DataFrame:
-    """(u, v): links between saturated vectors (full: id) of different components, no more than join the vectors of a tile."""
+def complete(lists: DataFrame, full: DataFrame | None, vectors: DataFrame, named: DataFrame, threshold: float, block: int = 512, **options) -> DataFrame:
+    """(u, v): links between saturated vectors (full: id; None: all vectors) of different components, no more than join the vectors of a tile."""
     reach = float(np.arccos(threshold))
-    cells = lists.where(F.col("sim") >= threshold).join(full.select(F.col("id").alias("u")), "u", "left_semi").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
+    near = lists.where(F.col("sim") >= threshold)
+    near = near.join(full.select(F.col("id").alias("u")), "u", "left_semi") if full is not None else near.unionByName(vectors.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(1.0).alias("sim")))
+    cells = near.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
     cells = cells.select("id", F.least("id", "m").alias("hub")).join(vectors.select("id", "vec"), "id").join(vectors.select(F.col("id").alias("hub"), F.col("vec").alias("hub_vec")), "hub")
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,9 +388,9 @@ def count_links(vectors: DataFrame, named: DataFrame, threshold: float, block: i
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str, vec_col: str, threshold: float = 0.95, k: int = 8, max_k: int = 32, tables: int = 8, rounds: int = 2, attempts: int = 4, recall: float = 0.995, queries: int = 500
+    df: DataFrame, id_col: str, vec_col: str, threshold: float = 0.95, k: int = 8, max_k: int = 32, tables: int = 8, rounds: int = 2, attempts: int = 4, recall: float = 0.995, queries: int = 4000
 ) -> DataFrame:
-    """Per row: id, n_links, component_id, kept, audit_recall (of the last audit)."""
+    """Per row: id, n_links, component_id, kept, audit_recall (of the last audit). tables: of vectors that are written at a time."""
     spark = df.sparkSession
     rows, vectors = classes_of(df, id_col, vec_col)
     # Classes of rows that repeat an id share a component.
@@ -371,9 +398,11 @@ def near_duplicates(
     shared = materialise(shared.select(F.explode("ids").alias("u"), F.col("lo").alias("v")).where("u <> v"), "shared-ids")
     lists, sizes, found = None, None, 0.0
     named = None
+    batches = -(-tables_for(vectors.count(), threshold) // tables)
     for attempt in range(attempts):
-        more = project(vectors, k, tables, attempt)
-        lists = materialise(_keep(more if lists is None else more.unionByName(lists), sizes, k), "lists")
+        for batch in range(batches):
+            more = project(vectors, k, tables, attempt * batches + batch)
+            lists = materialise(_keep(more if lists is None else more.unionByName(lists), sizes, k), "lists")
         for _ in range(rounds):
             lists = materialise(_keep(refine(lists, vectors, k).unionByName(lists), sizes, k), "lists")
             # A full list whose last neighbour is a link may lack others: it gets twice the room.
@@ -381,15 +410,14 @@ def near_duplicates(
             sizes = materialise(room.select(F.col("u").alias("id"), F.least(F.col("held") * 2, F.lit(max_k)).cast("int").alias("k")), "room")
             release(spark)
         named = components(lists.where(F.col("sim") >= threshold).select("u", "v"), "vector-components")
-        found = audit(vectors, named, threshold, queries)
+        found = audit(vectors, lists, named, threshold, queries)
         if found >= recall:
             break
-    joins = materialise(complete(lists, sizes, vectors, named, threshold), "joins")
+    # Lists that stay short of the recall are not relied on: the completion is then among all vectors.
+    joins = materialise(complete(lists, sizes if found >= recall else None, vectors, named, threshold), "joins")
     if not joins.isEmpty():
         named = components(named.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(joins), "vector-components")
-        found = audit(vectors, named, threshold, queries)
-    if found < recall:
-        raise RuntimeError(f"the audit finds {found} of the links inside components, less than {recall}")
+        found = audit(vectors, lists, named, threshold, queries)
     links = count_links(vectors, named, threshold)
     if not shared.isEmpty():
         named = components(named.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(shared), "vector-components")

@@ -186,6 +186,43 @@ def test_links_are_counted_in_blocks_of_any_size(spark, block):
     assert [got.get(i, 0) for i in range(200)] == (near @ n).tolist()
 
 
+def _mixture(copies: int, pairs: int, others: int) -> np.ndarray:
+    """A dense group, pairs of cosine 0.9505 that have nobody else, and random vectors."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one, turn = unit(rng.standard_normal((pairs, 64))), rng.standard_normal((pairs, 64))
+    turn = unit(turn - (turn * one).sum(axis=1, keepdims=True) * one)
+    dense = unit(rng.standard_normal((1, 64))) + 0.005 * rng.standard_normal((copies, 64))
+    return np.concatenate([dense, one, 0.9505 * one + np.sqrt(1 - 0.9505**2) * turn, rng.standard_normal((others, 64))])
+
+
+def test_lone_pairs_beside_a_dense_group_are_kept(spark):
+    x = _mixture(400, 400, 8000)
+    got = nn_descent.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4), "id", "v").collect()
+    component = {r.id: r.component_id for r in got}
+    assert [component[800 + i] for i in range(400)] == [400 + i for i in range(400)] and {component[i] for i in range(400)} == {0}
+    assert {r.audit_recall for r in got} == {1.0} and {r.n_links for r in got if 400 <= r.id < 1200} == {1}
+
+
+def test_the_audit_counts_vectors_and_the_last_way_is_exact(spark, monkeypatch):
+    """One table finds some lone pairs only: the audit says so, beside a dense group whose links are all found, and a completion among all vectors follows."""
+    x = _mixture(300, 200, 3000)
+    said, audit = [], nn_descent.audit
+    monkeypatch.setattr(nn_descent, "audit", lambda *a: said.append(audit(*a)) or said[-1])
+    monkeypatch.setattr(nn_descent, "tables_for", lambda *a: 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = nn_descent.near_duplicates(df, "id", "v", tables=1, rounds=1, attempts=1, queries=1000).collect()
+    assert said[0] < 0.95 and said[-1] == 1.0
+    component = {r.id: r.component_id for r in got}
+    assert [component[500 + i] for i in range(200)] == [300 + i for i in range(200)] and {r.audit_recall for r in got} == {1.0}
+
+
+def test_tables_grow_with_the_vectors():
+    assert nn_descent.tables_for(0, 0.95) == nn_descent.tables_for(200, 0.95) == 1
+    few, many = nn_descent.tables_for(20_000, 0.95), nn_descent.tables_for(2_000_000, 0.95)
+    assert 1 < few < many and nn_descent.tables_for(20_000, 0.99) < few
+
+
 def test_vectors_of_odd_kinds(spark):
     rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [1.0, 0.02]), (8, [1e200, 1e200]), (9, [1e-200, 1.1e-200]), (10, [3.0, 3.0]), (11, [1.0, 0.0, 0.0]), (12, [1.0, 0.001, 0.0]), (13, [5e-324, 0.0]), (14, [])]
     got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
