@@ -9,7 +9,7 @@ from quarkflow.llm.queries import oracle_sql, queries
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_equals_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     got = queries()[name](spark, data)
     want = con.execute(oracle_sql()[name])
@@ -18,4 +18,4 @@ def test_equals_sql(spark, data, name):
 
 
 def test_all_queries_are_there():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
