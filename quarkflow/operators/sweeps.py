@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
+from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +19,7 @@ from pyspark.sql.window import Window
 from quarkflow.functions.expr import d
 from quarkflow.operators.metrics import roc_auc
 from quarkflow.operators.splits import sweep_grid
+from quarkflow.sources.sinks import exists
 
 
 def run_sweep(spark: SparkSession, run: Callable[[dict], dict], **axes) -> DataFrame:
@@ -85,3 +91,79 @@ def match_names(raw: DataFrame, processed: DataFrame, raw_name: str, processed_n
     if found is None:
         return raw.join(processed, F.lit(False))
     return raw.join(found.distinct(), F.col(raw_name) == F.col("_part")).drop("_part")
+
+
+# --- successive halving ---------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Halving:
+    """Rungs at grace, grace * factor, ... epochs up to `epochs`; at each the best 1/factor of the trials (one at least) goes on."""
+
+    epochs: int
+    grace: int = 1
+    factor: int = 2
+
+    def __post_init__(self) -> None:
+        if self.factor < 2 or not 1 <= self.grace <= self.epochs:
+            raise ValueError("a factor of 2 or more, and grace epochs from 1 to all of them")
+
+    def rungs(self) -> list[int]:
+        out = [self.grace]
+        while out[-1] < self.epochs:
+            out.append(min(self.epochs, out[-1] * self.factor))
+        return out
+
+
+_RUNGS = "trial int, rung int, epochs int, value double, setting string"
+
+
+def halving_sweep(spark: SparkSession, path: str, grid: list[dict], run: Callable[[int, dict, int], float], halving: Halving, at_once: int = 2) -> DataFrame:
+    """The rung table (trial, rung, epochs, value, setting): what every trial reached at every rung it came to, larger values being better.
+
+    run(trial, setting, epochs) brings a trial to that many epochs, from its own snapshot where it has one, and returns
+    its value. Trials of a rung run as concurrent Spark jobs, at_once of them. Each result is written to the rung table on
+    shared storage as soon as it is there, and what is in the table is not run again: a stopped sweep goes on where it was.
+    A sweep of other settings in the same folder is an error. NaN and NULL values are the worst; equal ones go by trial.
+    """
+    written = [json.dumps(s, sort_keys=True) for s in grid]
+    if not written:
+        raise ValueError("a sweep needs a trial")
+    folder = f"{path.rstrip('/')}/rungs"
+    done: dict[tuple[int, int], float] = {}
+    if exists(spark, folder):
+        for r in spark.read.schema(_RUNGS).parquet(folder).collect():  # a row per trial and rung
+            if r.trial >= len(written) or written[r.trial] != r.setting:
+                raise ValueError(f"{folder} holds another sweep")
+            done[r.trial, r.rung] = r.value
+
+    alive, writing = list(range(len(grid))), Lock()  # appends to one folder share its staging folder
+    rungs = halving.rungs()
+    for rung, epochs in enumerate(rungs):
+
+        def one(trial: int, rung: int = rung, epochs: int = epochs) -> None:
+            value = run(trial, grid[trial], epochs)
+            row = spark.createDataFrame([(trial, rung, epochs, None if value is None else float(value), written[trial])], _RUNGS)
+            with writing:
+                row.coalesce(1).write.mode("append").parquet(folder)
+            done[trial, rung] = value
+
+        left = [t for t in alive if (t, rung) not in done]
+        with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(left) or 1))) as pool:
+            list(pool.map(inheritable_thread_target(spark)(one) if left else one, left))
+        if rung + 1 < len(rungs):
+            alive = promoted({t: done[t, rung] for t in alive}, halving.factor)
+    return spark.read.schema(_RUNGS).parquet(folder)
+
+
+def promoted(values: dict[int, float | None], factor: int) -> list[int]:
+    """The best 1/factor of the trials, one at least, in order of their numbers."""
+    worst = lambda v: v is None or v != v
+    order = sorted(values, key=lambda t: (worst(values[t]), 0.0 if worst(values[t]) else -values[t], t))
+    return sorted(order[: max(1, len(order) // factor)])
+
+
+def winner(rungs: DataFrame) -> DataFrame:
+    """The row of the trial that came furthest with the largest value, the smaller number of equals."""
+    value = F.when(~F.isnan("value"), F.col("value"))
+    return rungs.orderBy(F.desc("epochs"), F.desc_nulls_last(value), "trial").limit(1)
