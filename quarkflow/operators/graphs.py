@@ -130,6 +130,25 @@ def edge_max(messages: DataFrame, columns: list[str]) -> DataFrame:
     return messages.groupBy("jet_id", "center").agg(*(F.max(c).alias(f"max_{c}") for c in columns))
 
 
+def dense_layer(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    """x (an array) times weights (a list per input) plus bias, as an array: a dense layer inside the JVM."""
+    if not weights or any(len(row) != len(bias) for row in weights):
+        raise ValueError("a weight for each input and output, a bias for each output")
+    columns = F.array(*(F.array(*(d(row[j]) for row in weights), d(bias[j])) for j in range(len(bias))))
+    one = F.concat(x, F.array(d(1.0)))
+    return F.transform(columns, lambda c: F.aggregate(F.zip_with(one, c, lambda a, b: a * b), d(0.0), lambda t, y: t + y))
+
+
+def edge_layer(edges: DataFrame, nodes: DataFrame, features: list[str], first: tuple, second: tuple, slope: float = 0.0) -> DataFrame:
+    """(jet_id, center, h): the learned edge convolution in the JVM. Of each edge, (features of the centre, differences of the neighbour) go through two dense layers (weights, bias), values below 0 times slope between them; h is the largest message of each number."""
+    messages = edge_messages(edges, nodes, features)
+    pair = F.array(*(F.col(f"x_{f}") for f in features), *(F.col(f"dx_{f}") for f in features))
+    inner = F.transform(dense_layer(pair, *first), lambda v: F.when(v > 0, v).otherwise(v * d(slope)))
+    out = messages.withColumn("_m", dense_layer(inner, *second))
+    width = len(second[1])
+    return out.groupBy("jet_id", "center").agg(F.array(*(F.max(F.get("_m", F.lit(i))) for i in range(width))).alias("h"))
+
+
 def top_k_pool(nodes: DataFrame, edges: DataFrame, features: list[str], weights: list[float], ratio: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of each group's ceil(ratio * n) nodes of largest projection on weights, the smaller number of equals.
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -129,10 +131,11 @@ def layer_norm(x: np.ndarray) -> np.ndarray:
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
-    """k nearest others of every row (clamped to the rows there are), by distance, then number."""
-    gap = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
-    np.fill_diagonal(gap, np.inf)
-    return np.argsort(gap, axis=1, kind="stable")[:, : max(1, min(k, len(x) - 1))]
+    """k nearest others of every row of x, or of each of a stack (clamped to the rows there are), by distance, then number."""
+    n = x.shape[-2]
+    gap = ((x[..., :, None, :] - x[..., None, :, :]) ** 2).sum(-1)
+    gap[..., np.arange(n), np.arange(n)] = np.inf
+    return np.argsort(gap, axis=-1, kind="stable")[..., : max(1, min(k, n - 1))]
 
 
 @dataclass
@@ -160,12 +163,13 @@ class EdgeConvEncoder:
         self.weights.setdefault("unembed", dense(rng, self.width, self.features))
 
     def conv(self, name: str, x: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """Largest message over a node's edges, plus a projected skip."""
+        """Largest message over a node's edges, plus a projected skip. x and near may be stacks of groups of one size."""
         h = layer_norm(x)
-        pairs = np.concatenate([np.repeat(h[:, None, :], near.shape[1], 1), h[near] - h[:, None, :]], axis=-1)
+        there = np.take_along_axis(h, near.reshape(*near.shape[:-2], -1)[..., None], axis=-2).reshape(*near.shape, -1)
+        pairs = np.concatenate([np.broadcast_to(h[..., None, :], there.shape), there - h[..., None, :]], axis=-1)
         w, b = self.weights[name]
         s, c = self.weights[f"{name}skip"]
-        return relu(pairs @ w + b).max(axis=1) + x @ s + c
+        return relu(pairs @ w + b).max(axis=-2) + x @ s + c
 
     def encode(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
         w, b = self.weights["embed"]
@@ -175,7 +179,7 @@ class EdgeConvEncoder:
         return h
 
     def reconstruct(self, x: np.ndarray) -> np.ndarray:
-        near = neighbours(x[:, :2], self.k)
+        near = neighbours(x[..., :2], self.k)
         h = self.encode(x, near)
         for i in range(len(self.up)):
             h = self.conv(f"up{i}", h, near)
@@ -217,19 +221,35 @@ class TokenEncoder:
         return self._lin("out", h[1:]), h[0]
 
 
-def group_scores(df: DataFrame, key: str, vectors: str, score: Callable[[np.ndarray], float]) -> DataFrame:
-    """(key, score) per row of df, whose vectors column is an array of feature arrays; rows of fewer than two vectors are dropped."""
+def stacks(batch: pa.RecordBatch, vectors: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as one array) for each size of group in the batch, read from the lists' buffers."""
+    lists = batch.column(vectors)
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    nodes = lists.flatten()
+    flat = nodes.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(nodes), -1)
+    first = np.cumsum(n) - n
+    for size in np.unique(n).tolist():
+        rows = np.flatnonzero(n == size)
+        yield rows, flat[first[rows][:, None] + np.arange(size)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({key: pdf[key], "score": [score(np.array([list(v) for v in x], float)) for x in pdf[vectors]]})
 
-    return df.where(F.size(vectors) >= 2).select(key, vectors).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, score double")
+def group_scores(df: DataFrame, key: str, vectors: str, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, score) per row of df, whose vectors column is an array of feature arrays; score sees a stack of groups of one size. Rows of fewer than two vectors are dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for rows, x in stacks(batch, vectors):
+                for at in range(0, len(rows), 256):
+                    out[rows[at : at + 256]] = score(x[at : at + 256])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out)], names=[key, "score"])
+
+    return df.where(F.size(vectors) >= 2).select(key, vectors).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, score double")
 
 
 def reconstruction_scores(df: DataFrame, key: str, vectors: str, model: EdgeConvEncoder) -> DataFrame:
     """Mean squared reconstruction error of every group."""
-    return group_scores(df, key, vectors, lambda x: float(((model.reconstruct(x) - x) ** 2).mean()))
+    return group_scores(df, key, vectors, lambda x: ((model.reconstruct(x) - x) ** 2).mean(axis=(1, 2)))
 
 
 # --- training -----------------------------------------------------------------------------------------------------

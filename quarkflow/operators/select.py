@@ -73,8 +73,9 @@ def veto_rows(jets: DataFrame, leptons: DataFrame, event: str, dr_min: float = L
 
 
 def match_rows(jets: DataFrame, truths: DataFrame, dr_max: float = GEN_DR_MAX) -> DataFrame:
-    """jets whose gen_idx names a row of truths (idx) and whose truth direction (gen_eta, gen_phi) is closer than dr_max."""
-    found = jets.join(truths.select(F.col("idx").alias("gen_idx")), "gen_idx", "left_semi")
+    """jets whose gen_idx names a row of truths (idx, eta, phi) that lies closer than dr_max, with the truth's direction as gen_eta and gen_phi."""
+    named = truths.select(F.col("idx").alias("gen_idx"), F.col("eta").alias("gen_eta"), F.col("phi").alias("gen_phi"))
+    found = jets.drop("gen_eta", "gen_phi").join(named, "gen_idx")
     return found.where(delta_r(F.col("fj_eta"), F.col("fj_phi"), F.col("gen_eta"), F.col("gen_phi")) < d(dr_max))
 
 

@@ -75,6 +75,14 @@ def balanced(df: DataFrame, label: str, *order: Column | str) -> DataFrame:
     return parts[0].unionByName(parts[1]).crossJoin(F.broadcast(sizes)).where("rn <= _m").drop("rn", "_m")
 
 
+def combined(background: DataFrame, signal: DataFrame, label: str, *ids: str, balance: bool = True, seed: int = 42) -> DataFrame:
+    """Rows of both classes in a random order that the seed fixes (position, from 1), by the md5 of `seed:ids`; balance: the larger class is first cut, in that order, to the smaller one's rows."""
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), *ids))
+    rows = labelled_union(background, signal, label).withColumn("_mixed", mixed)
+    rows = balanced(rows, label, "_mixed", *ids) if balance else rows
+    return numbered(rows, "_mixed", *ids, name="position").drop("_mixed")
+
+
 def shuffled(*columns: str, seed: int = 42) -> Column:
     """A column whose order is a fixed random permutation."""
     return F.xxhash64(*columns, F.lit(seed))
@@ -108,8 +116,8 @@ def labelled_union(background: DataFrame, signal: DataFrame, label: str = "label
 
 
 def token_mask(idx: str, size: str, ratio: float, *keys: str, seed: int = 0) -> Column:
-    """Whether a token is masked: half-even round(size * ratio) tokens of each key, by a hash of seed, keys and position."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, idx), idx)
+    """Whether a token is masked: half-even round(size * ratio) tokens of each key, by the md5 of `seed:keys:position`."""
+    w = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys, idx)), idx)
     return F.row_number().over(w) <= F.bround(F.col(size) * F.lit(float(ratio)), 0)
 
 

@@ -153,6 +153,13 @@ def multiplicity(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_items")).groupBy("n_items").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+def weighted_mean(df: DataFrame, value: str, weight: str, *keys: str, name: str = "mean") -> DataFrame:
+    """(keys, mean): sum(value * weight) / sum(weight), of rows where neither is NULL or NaN; NULL where weights sum to 0. What batch means of batches of unequal size make a mean of all."""
+    v, w = (not_nan(F.col(c).cast("double")) for c in (value, weight))
+    both = v.isNotNull() & w.isNotNull()
+    return df.groupBy(*keys).agg(F.try_divide(F.sum(F.when(both, v * w)), F.sum(F.when(both, w))).alias(name))
+
+
 def masked_mse(rows: DataFrame, key: str, target: str, output: str, mask: str) -> DataFrame:
     """(key, loss): mean squared error of the masked rows of each key, its number taken as 1 at least."""
     square = (F.col(target) - F.col(output)) * (F.col(target) - F.col(output))

@@ -30,7 +30,9 @@ def jets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"))
+    """(idx, eta, phi) of truth jets."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("idx"), ((k * 37 % 451) / d(100.0) - d(2.25)).alias("eta"), (((k * 7919) % 6283) / d(1000.0) - d(3.1415)).alias("phi"))
 
 
 def leptons(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -79,6 +81,7 @@ JETS_SQL = """jets AS (SELECT o_custkey AS event, o_orderkey AS jet_id, o_totalp
   ((o_orderkey * 7919) % 6283) / 1e3 - 31415e-4 AS fj_phi, (o_orderkey % 97) / 1e1 AS fj_msoftdrop, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
   o_orderkey % 120 - 10 AS gen_idx, ((o_orderkey % 451) / 1e2 - 225e-2) + (o_orderkey % 7) / 1e1 AS gen_eta,
   (((o_orderkey * 7919) % 6283) / 1e3 - 31415e-4) + (o_orderkey % 7) / 1e1 AS gen_phi FROM orders)"""
+TRUTHS_SQL = "truths AS (SELECT s_suppkey AS idx, (s_suppkey * 37 % 451) / 1e2 - 225e-2 AS eta, ((s_suppkey * 7919) % 6283) / 1e3 - 31415e-4 AS phi FROM supplier)"
 LEPTONS_SQL = """leps AS (SELECT user_id AS event, event_type AS kind, value AS pt, (event_id % 451) / 1e2 - 225e-2 AS eta, ((event_id * 7919) % 6283) / 1e3 - 31415e-4 AS phi
   FROM events WHERE event_type IN ('click', 'view'))"""
 _CASES = " ".join(f"WHEN l_returnflag = '{a}' AND l_linestatus = '{b}' THEN {v}" for (a, b), v in IDS.items())

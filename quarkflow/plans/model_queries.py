@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +74,15 @@ def latent_knn(spark, sf_dir):
     model = models.EdgeConvEncoder(len(VECTOR))
     df = vectors(spark, sf_dir).where("size(x) >= 2")
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for x in pdf["x"]:
-                a = np.array([list(v) for v in x], float)
-                out.append(model.encode(a, models.neighbours(a[:, :2], model.k)).tolist())
-            yield pdf[["jet_id"]].assign(z=out)
+    def run(batches):
+        for batch in batches:
+            out = [None] * batch.num_rows
+            for rows, x in models.stacks(batch, "x"):
+                for i, z in zip(rows.tolist(), model.encode(x, models.neighbours(x[..., :2], model.k)).tolist()):
+                    out[i] = z
+            yield pa.RecordBatch.from_arrays([batch.column("jet_id"), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["jet_id", "z"])
 
-    latent = df.select("jet_id", "x").mapInPandas(run, "jet_id long, z array<array<double>>")
+    latent = df.select("jet_id", "x").mapInArrow(run, "jet_id long, z array<array<double>>")
     nodes = latent.select("jet_id", F.posexplode("z").alias("idx", "v")).select("jet_id", "idx", *(F.get("v", F.lit(i)).alias(f"z{i}") for i in range(model.smallest)))
     return graphs.build(nodes, "all_features", 3, [f"z{i}" for i in range(model.smallest)])
 
@@ -106,6 +107,23 @@ def masked_token_loss(spark, sf_dir):
     return sets.mapInPandas(run, "jet_id long, loss double")
 
 
+@register(f"""{fx.WITH_PARTS}, n AS (SELECT jet_id, idx, count(*) OVER (PARTITION BY jet_id) AS n, row_number() OVER (PARTITION BY jet_id ORDER BY md5('0:' || jet_id || ':' || idx), idx) AS r FROM parts)
+  SELECT jet_id, idx, r <= round_even(n * 3e-1, 0) AS masked FROM n""")
+def token_mask_rows(spark, sf_dir):
+    """Which tokens of every jet are masked, not only how many."""
+    p = fx.particles(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(_jet()))
+    return p.select("jet_id", "idx", splits.token_mask("idx", "n", 0.3, "jet_id").alias("masked"))
+
+
+@register(f"""{fx.WITH_PARTS}, s AS (SELECT DISTINCT jet_id, unnest(range(8)) AS slot FROM parts)
+  SELECT s.jet_id, CAST(slot AS INTEGER) AS slot, coalesce(pt, 0e0) AS value, CASE WHEN pt IS NULL THEN 0 ELSE 1 END AS valid FROM s LEFT JOIN parts ON parts.jet_id = s.jet_id AND idx = slot""")
+def padded_slots(spark, sf_dir):
+    """Every slot of the padded arrays and its mask."""
+    df = fx.nested(fx.particles(spark, sf_dir)).select("jet_id", F.transform("parts", lambda p: p["pt"]).alias("v"))
+    values, mask = features.padded(F.col("v"), 8)
+    return df.select("jet_id", F.posexplode(F.arrays_zip(values.alias("value"), mask.alias("valid"))).alias("slot", "s")).select("jet_id", "slot", "s.value", "s.valid")
+
+
 def _jet():
     from pyspark.sql.window import Window
 

@@ -73,9 +73,10 @@ def nearest_muon(spark, sf_dir):
     return ev.select("event", F.round(near, 6).alias("dr"))
 
 
-@register(f"{fx.WITH_JETS} SELECT event, jet_id, gen_idx FROM jets WHERE gen_idx IN (SELECT s_suppkey FROM supplier) AND {fx.dr_sql('fj_eta', 'fj_phi', 'gen_eta', 'gen_phi')} < 4e-1")
+@register(f"{fx.WITH_JETS}, {fx.TRUTHS_SQL} SELECT event, jet_id, gen_idx, round(t.eta, 6) AS gen_eta FROM jets JOIN truths t ON t.idx = gen_idx WHERE {fx.dr_sql('fj_eta', 'fj_phi', 't.eta', 't.phi')} < 4e-1")
 def gen_match(spark, sf_dir):
-    return select.match_rows(fx.jets(spark, sf_dir), fx.truths(spark, sf_dir)).select("event", "jet_id", "gen_idx")
+    found = select.match_rows(fx.jets(spark, sf_dir), fx.truths(spark, sf_dir))
+    return rounded(found.select("event", "jet_id", "gen_idx", "gen_eta"), "gen_eta")
 
 
 @register(f"{fx.WITH_JETS} SELECT jet_id, fj_pt FROM jets WHERE fj_pt >= 200 AND fj_pt <= 400")
@@ -143,6 +144,18 @@ def pdg_onehot(spark, sf_dir):
     return df.select("jet_id", *(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x).alias(n) for n, c in hot.items()))
 
 
+_HOT_SQL = ", ".join(f"CAST(pdg_id = {v} AS INTEGER) AS pdg_{str(v).replace('-', 'm')}" for v in _CODES)
+
+
+@register(f"{fx.WITH_PARTS} SELECT jet_id, idx, {_HOT_SQL} FROM parts")
+def pdg_onehot_rows(spark, sf_dir):
+    """Every element of the one-hot arrays."""
+    df = fx.nested(fx.particles(spark, sf_dir)).withColumn("ids", F.transform("parts", lambda p: p["pdg_id"]))
+    hot = features.one_hot(F.col("ids"), features.vocabulary(df, "ids"))
+    rows = df.select("jet_id", F.posexplode(F.arrays_zip(*(c.alias(n) for n, c in hot.items()))).alias("idx", "h"))
+    return rows.select("jet_id", "idx", *(F.col(f"h.{n}").alias(n) for n in hot))
+
+
 @register(f"{fx.WITH_PARTS} SELECT DISTINCT pdg_id FROM parts")
 def distinct_ids(spark, sf_dir):
     return fx.particles(spark, sf_dir).select("pdg_id").distinct()
@@ -266,6 +279,20 @@ def hybrid_knn(spark, sf_dir):
     return edges.groupBy("jet_id", "center").agg(F.round(F.min("d"), 4).alias("nearest"))
 
 
+@register(f"{fx.WITH_PARTS}, {_KIN} {_edges_sql(f'1e0 / (sqrt(abs({_M2})) + 1e-6)', True, _K + 1, 'kine')}")
+def mass_knn_edges(spark, sf_dir):
+    return graphs.build(_nodes(spark, sf_dir), "mass_knn", _K).select(*_EDGE)
+
+
+@register(f"""{fx.WITH_PARTS}, {_KIN}, w AS (SELECT a.jet_id, a.idx AS center, b.idx AS neighbor, a.fj_msoftdrop AS m0, sqrt(greatest({_M2}, 0e0)) AS m,
+    (a.eta - b.eta) AS x, CASE WHEN abs(a.phi - b.phi) > {fx.PI_SQL} THEN {fx.TWO_PI_SQL} - abs(a.phi - b.phi) ELSE abs(a.phi - b.phi) END AS y FROM kine a JOIN kine b ON a.jet_id = b.jet_id),
+  v AS (SELECT *, sqrt(x * x + y * y) AS r FROM w), u AS (SELECT *, min(r) OVER (PARTITION BY jet_id) AS lo, max(r) OVER (PARTITION BY jet_id) AS hi FROM v),
+  q AS (SELECT *, row_number() OVER (PARTITION BY jet_id, center ORDER BY round(5e-1 * ((r - lo) / (hi - lo + 1e-6)) + 5e-1 * (1e0 / (m + 1e-6) * (m0 + 1e-6)), 12), neighbor) AS rk FROM u)
+  SELECT jet_id, center, neighbor, CAST(rk AS INTEGER) AS rank FROM q WHERE rk <= {_K + 1}""")
+def hybrid_knn_edges(spark, sf_dir):
+    return graphs.build(_nodes(spark, sf_dir), "hybrid_knn", _K, alpha=0.5).select(*_EDGE)
+
+
 @register(f"{fx.WITH_PARTS}, e AS ({_edges_sql(_D2, False, _K)}) SELECT DISTINCT jet_id, least(center, neighbor) AS a, greatest(center, neighbor) AS b FROM e")
 def undirected_edges(spark, sf_dir):
     return graphs.undirected(graphs.build(_nodes(spark, sf_dir), "eta_phi", _K))
@@ -299,6 +326,35 @@ def edge_max(spark, sf_dir):
     return graphs.edge_max(graphs.edge_messages(graphs.build(nodes, "eta_phi", _K), nodes, ["pt"]), ["dx_pt"])
 
 
+#: A rule for weights, so that both engines have the same ones.
+_IN, _INNER, _OUT = ("pt", "eta", "phi", "mass"), 6, 3
+
+
+def _weight(i: int, j: int) -> float:
+    return ((7 * i + 3 * j + 1) % 11 - 5) / 8
+
+
+_W1, _B1 = [[_weight(i, j) for j in range(_INNER)] for i in range(2 * len(_IN))], [_weight(j, 9) for j in range(_INNER)]
+_W2, _B2 = [[_weight(i + 2, j) for j in range(_OUT)] for i in range(_INNER)], [_weight(j, 4) for j in range(_OUT)]
+
+
+def _dense_sql(inputs: list[str], weights: list[list[float]], bias: list[float]) -> list[str]:
+    return [" + ".join([*(f"({x}) * CAST({row[j]!r} AS DOUBLE)" for x, row in zip(inputs, weights)), f"CAST({bias[j]!r} AS DOUBLE)"]) for j in range(len(bias))]
+
+
+_INNER_SQL = ", ".join(f"{x} AS i{j}" for j, x in enumerate(_dense_sql([f"a.{c}" for c in _IN] + [f"b.{c} - a.{c}" for c in _IN], _W1, _B1)))
+_RELU_SQL = [f"CASE WHEN i{j} > 0 THEN i{j} ELSE i{j} * 1e-1 END" for j in range(_INNER)]
+
+
+@register(f"""{fx.WITH_PARTS}, e AS ({_edges_sql(_D2, False, _K)}), i AS (SELECT e.jet_id, e.center, {_INNER_SQL} FROM e JOIN parts a ON a.jet_id = e.jet_id AND a.idx = e.center JOIN parts b ON b.jet_id = e.jet_id AND b.idx = e.neighbor)
+  SELECT jet_id, center, {', '.join(f'round(max({x}), 6) AS h{j}' for j, x in enumerate(_dense_sql(_RELU_SQL, _W2, _B2)))} FROM i GROUP BY jet_id, center""")
+def learned_edge_message(spark, sf_dir):
+    """A learned edge convolution, two dense layers a message, without Python."""
+    nodes = _nodes(spark, sf_dir)
+    h = graphs.edge_layer(graphs.build(nodes, "eta_phi", _K), nodes, list(_IN), (_W1, _B1), (_W2, _B2), slope=0.1)
+    return h.select("jet_id", "center", *(F.round(F.get("h", F.lit(j)), 6).alias(f"h{j}") for j in range(_OUT)))
+
+
 # --- statistics ---------------------------------------------------------------------------------------------------
 
 
@@ -416,6 +472,13 @@ def event_mse(spark, sf_dir):
     return rounded(stats.masked_mse(rows, "jet_id", "eta", "phi", "m"), "loss")
 
 
+@register(f"{fx.WITH_PARTS}, b AS (SELECT label, jet_id, avg(mass) AS l, count(*) AS n FROM parts GROUP BY label, jet_id) SELECT label, round(sum(l * n) / sum(n), 6) AS loss FROM b GROUP BY label")
+def weighted_loss(spark, sf_dir):
+    """Means of batches (jets) weighted by their sizes."""
+    batches = fx.particles(spark, sf_dir).groupBy("label", "jet_id").agg(F.avg("mass").alias("l"), F.count(F.lit(1)).alias("n"))
+    return rounded(stats.weighted_mean(batches, "l", "n", "label", name="loss"), "loss")
+
+
 @register(f"{fx.WITH_FEATURES} SELECT label, round(avg(d0_sig) FILTER (NOT isnan(d0_sig)), 6) AS loss FROM feats GROUP BY label")
 def nanmean_loss(spark, sf_dir):
     return flat(featured(spark, sf_dir), "label").groupBy("label").agg(F.round(F.avg(stats.not_nan(F.col("d0_sig"))), 6).alias("loss"))
@@ -456,6 +519,14 @@ def balance_classes(spark, sf_dir):
     return splits.balanced(fx.jets(spark, sf_dir).select("jet_id", "label"), "label", "jet_id")
 
 
+@register(f"""{fx.WITH_JETS}, n AS (SELECT jet_id, label, md5('42:' || jet_id) AS h, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || jet_id), jet_id) AS r, (SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) FROM jets) AS m FROM jets)
+  SELECT jet_id, label, row_number() OVER (ORDER BY h, jet_id) AS position FROM n WHERE r <= m""")
+def balanced_shuffle(spark, sf_dir):
+    """Both classes cut to the smaller one's rows and shuffled together."""
+    rows = fx.jets(spark, sf_dir)
+    return splits.combined(*(rows.where(F.col("label") == y).select("jet_id") for y in (0, 1)), "label", "jet_id").select("jet_id", "label", F.col("position").cast("long").alias("position"))
+
+
 @register(f"{fx.WITH_JETS} SELECT jet_id, fj_pt, label FROM jets")
 def union_labelled(spark, sf_dir):
     rows = fx.jets(spark, sf_dir)
@@ -487,12 +558,15 @@ def status_pivot(spark, sf_dir):
 _GRID = {"learning_rate": [1e-5, 1e-4, 1e-3], "weight_decay": [0.0, 1e-5, 1e-4], "nearest_neighbors": [8, 16, 32], "smallest_dim": [8, 16]}
 
 
-@register("""WITH g AS (SELECT * FROM (VALUES (1e-5), (1e-4), (1e-3)) a(learning_rate), (VALUES (0e0), (1e-5), (1e-4)) b(weight_decay), (VALUES (8), (16), (32)) c(nearest_neighbors), (VALUES (8), (16)) e(smallest_dim))
-  SELECT CAST(learning_rate AS DOUBLE) AS learning_rate, CAST(nearest_neighbors AS BIGINT) AS nearest_neighbors, CAST(smallest_dim AS BIGINT) AS smallest_dim, round(log10(learning_rate), 6) AS log_lr, round(log10(CASE WHEN weight_decay = 0 THEN 1e-6 ELSE weight_decay END), 6) AS log_wd FROM g""")
+@register(f"""{fx.WITH_JETS}, runs AS (SELECT jet_id % 54 AS run_idx, count(*) AS n_jets, round(avg(fj_pt), 6) AS mean_pt FROM jets GROUP BY 1),
+  g AS (SELECT *, row_number() OVER (ORDER BY learning_rate, weight_decay, nearest_neighbors, smallest_dim) - 1 AS run_idx FROM (VALUES (1e-5), (1e-4), (1e-3)) a(learning_rate), (VALUES (0e0), (1e-5), (1e-4)) b(weight_decay), (VALUES (8), (16), (32)) c(nearest_neighbors), (VALUES (8), (16)) e(smallest_dim))
+  SELECT n_jets, mean_pt, CAST(learning_rate AS DOUBLE) AS learning_rate, CAST(nearest_neighbors AS BIGINT) AS nearest_neighbors, CAST(smallest_dim AS BIGINT) AS smallest_dim, round(log10(learning_rate), 6) AS log_lr, round(log10(CASE WHEN weight_decay = 0 THEN 1e-6 ELSE weight_decay END), 6) AS log_wd FROM g JOIN runs USING (run_idx)""")
 def sweep_grid(spark, sf_dir):
-    g = splits.sweep_grid(spark, **_GRID)
+    """The grid's settings joined to what the runs of the jets' table gave."""
+    runs = fx.jets(spark, sf_dir).groupBy((F.col("jet_id") % 54).alias("run_idx")).agg(F.count(F.lit(1)).alias("n_jets"), F.round(F.avg("fj_pt"), 6).alias("mean_pt"))
+    g = splits.sweep_grid(spark, **_GRID).join(runs, "run_idx")
     wd = F.when(F.col("weight_decay") == 0, d(1e-6)).otherwise(F.col("weight_decay"))
-    return g.select("learning_rate", "nearest_neighbors", "smallest_dim", F.round(log10_or_inf(F.col("learning_rate")), 6).alias("log_lr"), F.round(log10_or_inf(wd), 6).alias("log_wd"))
+    return g.select("n_jets", "mean_pt", "learning_rate", "nearest_neighbors", "smallest_dim", F.round(log10_or_inf(F.col("learning_rate")), 6).alias("log_lr"), F.round(log10_or_inf(wd), 6).alias("log_wd"))
 
 
 _RUNS = "runs AS (SELECT gen_idx AS run_idx, CASE WHEN gen_idx % 5 = 0 THEN NULL ELSE round(avg(fj_pt), 6) END AS auc FROM jets GROUP BY gen_idx)"
