@@ -5,11 +5,15 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import reduce
 
-from quarkflow.operators import features, metrics, splits
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarkflow.operators import features, metrics, models, networks, splits, training
 from quarkflow.plans import workflow
 from quarkflow.session import session
-from quarkflow.sources import readers, sinks
+from quarkflow.sources import readers, shared, sinks, snapshots
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +42,28 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--label-sg", default="signal")
     c.add_argument("--filter")
     c.add_argument("--features", default="d0_sig,dz_sig,dr,log_pt")
+    c.add_argument("--mask-muons", action="store_true", help="drop the signal's muons of low pt")
+    c = command("train", "train a network on jets, resuming from its snapshots; scores and AUC beside them", window=False)
+    c.add_argument("background")
+    c.add_argument("signal")
+    c.add_argument("output")
+    c.add_argument("--model", choices=sorted(networks.KINDS), default="GraphAutoencoder")
+    c.add_argument("--features", default="eta,phi,pt,mass", help="array columns; the first two are places")
+    c.add_argument("--id", default="jet_id")
+    c.add_argument("--config", type=json.loads, default={}, help="the network's sizes as JSON")
+    c.add_argument("--epochs", type=int, default=10)
+    c.add_argument("--steps", type=int, default=8)
+    c.add_argument("--learning-rate", type=float, default=1e-2)
+    c.add_argument("--weight-decay", type=float, default=1e-4)
+    c.add_argument("--schedule", choices=("constant", "step", "cosine"), default="step")
+    c.add_argument("--seed", type=int, default=42)
+    c = command("latents", "latent numbers of jets and their principal components, from a trained network", window=False)
+    c.add_argument("model")
+    c.add_argument("jets")
+    c.add_argument("output")
+    c.add_argument("--tag", choices=snapshots.TAGS, default="best")
+    c.add_argument("--features", default="eta,phi,pt,mass")
+    c.add_argument("--id", default="jet_id")
     c = command("concat", "tables of one column list to one")
     c.add_argument("paths", nargs="+")
     c.add_argument("--name", required=True)
@@ -54,6 +80,44 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _jets(df: DataFrame, a: argparse.Namespace, label: int) -> DataFrame:
+    return training.jet_table(features.node_stack(df, features.feature_list(a.features), "_v"), a.id, F.lit(label), "_v")
+
+
+def trained(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Train on background (a classifier: on both classes), keep snapshots, history and test scores below the output."""
+    plan = training.Plan(a.epochs, a.steps, a.learning_rate, a.weight_decay, a.schedule, seed=a.seed)
+    network = networks.KINDS[a.model](len(features.feature_list(a.features)), **a.config)
+    sides = [shared.written(_jets(readers.read_tables(spark, path), a, label), "jets") for label, path in enumerate((a.background, a.signal))]
+    split = [shared.written(splits.three_way_split(side, "id"), "split") for side in sides]
+    both = isinstance(network, networks.EdgeConvClassifier)
+    part = lambda name: [s.where(F.col("split") == name).drop("split") for s in (split if both else split[:1])]
+    train, val = (reduce(DataFrame.unionByName, part(name)) for name in ("train", "val"))
+    if both:
+        train = splits.balanced(train, "label", splits.shuffled("id", seed=a.seed), "id")
+    test = reduce(DataFrame.unionByName, part("test")) if both else part("test")[0].unionByName(sides[1])
+    out = training.fit_at(spark, f"{a.output}/model", network, training.dealt(train, plan), val, plan)
+    scores = shared.written(training.scores(test, out.best), "scores")
+    sinks.write_scores(scores, f"{a.output}/scores", "id", "label", "score")
+    about = metrics.roc_auc(scores).first().asDict() | {"model": a.model, "best_epoch": out.best.about["epoch"], "history": out.history, "weights": network.size()}
+    sinks.write_summary(spark, about, f"{a.output}/summary.json")
+    print(json.dumps(about, indent=2))
+
+
+def latents(spark: SparkSession, a: argparse.Namespace) -> None:
+    """(id, label, z, pc): of all jets, from the newest snapshot."""
+    z = training.latents(_jets(readers.read_tables(spark, a.jets), a, 0), snapshots.load(spark, a.model, a.tag))
+    z = shared.written(z, "latents")
+    first = z.first()
+    size = len(first.z) if first else 0
+    if size < 2:
+        raise ValueError("principal components need two latent numbers and a jet")
+    wide = z.withColumns({f"z{i}": F.get("z", F.lit(i)) for i in range(size)})
+    rows, ratios = models.pca(wide, [f"z{i}" for i in range(size)])
+    sinks.write_once(rows.select("id", "label", "z", "pc"), a.output)
+    print(json.dumps({"explained_variance": ratios}))
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = session()
@@ -66,9 +130,13 @@ def main(args: list[str] | None = None) -> int:
             sinks.move_used(spark, a.path)
     elif a.command == "process":
         tables = [readers.read_tables(spark, p, name_part=a.filter) for p in (a.background, a.signal)]
-        bg, sg, scalers = workflow.process(*tables, tuple(features.feature_list(a.features)), a.lowerpt, a.upperpt)
-        for df, name in ((bg, f"{a.label_bg}_scaled"), (sg, f"{a.label_sg}_scaled"), (scalers, "scalers")):
+        made = workflow.process_outputs(*tables, tuple(features.feature_list(a.features)), a.lowerpt, a.upperpt, a.mask_muons, (a.label_bg, a.label_sg))
+        for name, df in made.items():
             sinks.write_once(df, f"{a.output}/{name}")
+    elif a.command == "train":
+        trained(spark, a)
+    elif a.command == "latents":
+        latents(spark, a)
     elif a.command == "concat":
         sinks.write_once(workflow.concat([spark.read.parquet(p) for p in a.paths], a.lowerpt, a.upperpt), a.name)
     elif a.command == "split":

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from quarkflow.sources.sinks import exists
+
 
 def read_tables(spark: SparkSession, path: str, extension: str = "parquet", name_part: str | None = None, recursive: bool = False, skip_empty: bool = True) -> DataFrame:
     """Rows of a file, or of the folder's files with that extension whose name holds name_part."""
@@ -79,14 +80,15 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
 
 
-def default_path(path: str | None, folder: str) -> str:
-    """path; folder for None; path below folder if only that exists; else an error."""
+def default_path(path: str | None, folder: str, spark: SparkSession | None = None) -> str:
+    """path; folder for None; path below folder if only that exists; else an error. With a session paths may be in any store that Spark reads."""
+    there = os.path.exists if spark is None else lambda p: exists(spark, p)
     if path is None:
         return folder
-    if os.path.exists(path):
+    if there(path):
         return path
-    if (below := Path(folder) / path).exists():
-        return str(below)
+    if there(below := f"{folder.rstrip('/')}/{path}"):
+        return below
     raise FileNotFoundError(path)
 
 

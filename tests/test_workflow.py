@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarkflow import cli, config
 from quarkflow.functions.expr import safe_name
@@ -45,6 +46,16 @@ def test_process_and_command_line(spark, tmp_path, capsys):
     cli.main(["process", f"{out}/background", f"{out}/signal", f"{out}/scaled", "--features", "log_pt,dr"])
     rows = spark.read.parquet(f"{out}/scaled/signal_scaled").collect()
     assert len(rows) == 3 and all(len(r.log_pt) == 2 and r.within_bounds == [0, 1] for r in rows)
+    assert rows[0].pdg_22 == [1, 0] and rows[0].pdg_m211 == [0, 1]  # codes of both tables, in bounds
+    raw, scaled = (spark.read.parquet(f"{out}/scaled/other/background_{n}") for n in ("rawvals", "scaledvals"))
+    assert raw.count() == scaled.count() == 32 and {r.feature for r in raw.collect()} == {"log_pt", "dr"}
+    scalers = {r.feature: r for r in spark.read.parquet(f"{out}/scaled/scalers").collect()}
+    for name in ("log_pt", "dr"):
+        lo, hi = scalers[name].p16, scalers[name].p84
+        want = sorted((r.value - lo) / (hi - lo + 1e-6) * 2 - 1 for r in raw.where(f"feature = '{name}'").collect())
+        assert sorted(r.value for r in scaled.where(f"feature = '{name}'").collect()) == pytest.approx(want)
+        (zero,) = [r.scaled_zero for r in spark.read.parquet(f"{out}/scaled/other/signal_zero").collect() if r.feature == name]
+        assert zero == pytest.approx((0 - lo) / (hi - lo + 1e-6) * 2 - 1)
     cli.main(["concat", f"{out}/background", f"{out}/signal", "--name", f"{out}/all"])
     capsys.readouterr()
     cli.main(["info", f"{out}/all"])
@@ -57,6 +68,46 @@ def test_process_and_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["auc"] == 1.0
 
 
+def test_features_one_hots_muons_and_lengths(spark):
+    table = workflow.preprocess(events(spark, event(1), event(2)), 200, 400)
+    rows = workflow.add_features(table, [22, -211]).select("parts").collect()
+    assert [[(p.pdg_id, p.pdg_22, p.pdg_m211) for p in r.parts] for r in rows] == [[(22, 1, 0), (-211, 0, 1)]] * 2
+    muons = table.withColumn("pdgId", F.array(F.lit(13), F.lit(-13))).withColumn("pt", F.array(F.lit(0.3), F.lit(0.5)))
+    assert [[p.pt for p in r.parts] for r in workflow.add_features(muons, [13], mask_muons=True).collect()] == [[0.5]] * 2
+    with pytest.raises(Exception, match="is not as long as pt"):
+        workflow.add_features(table.withColumn("eta", F.array(F.lit(0.1)))).collect()
+
+
+def test_training_from_the_command_line(spark, tmp_path, capsys):
+    rng = np.random.default_rng(1)
+    for name, first, turn in (("bg", 0, 0.0), ("sg", 1000, 1.5)):
+        rows = [(first + i, *[(rng.normal(size=n) + turn * (c == 3)).tolist() for c in range(4)]) for i, n in enumerate(rng.integers(2, 6, 60).tolist())]
+        spark.createDataFrame(rows, "jet_id long, eta array<double>, phi array<double>, pt array<double>, mass array<double>").write.parquet(f"{tmp_path}/{name}")
+    sizes = {"GraphAutoencoder": {"width": 4, "smallest": 2, "layers": 1, "wide": 2}, "EdgeConvClassifier": {"smallest": 4, "k": 2, "reduced_k": 2}}
+    for model, config_ in sizes.items():
+        out = f"{tmp_path}/{model}"
+        args = ["train", f"{tmp_path}/bg", f"{tmp_path}/sg", out, "--model", model, "--config", json.dumps(config_), "--epochs", "2", "--steps", "2"]
+        assert cli.main(args) == 0
+        about = json.loads(spark.read.text(f"{out}/summary.json", wholetext=True).first().value)
+        assert about["model"] == model and len(about["history"]) == 2 and 0 <= about["auc"] <= 1
+        assert spark.read.parquet(f"{out}/scores").count() == about["n_pos"] + about["n_neg"]
+    capsys.readouterr()
+    cli.main(["latents", f"{tmp_path}/GraphAutoencoder/model", f"{tmp_path}/bg", f"{tmp_path}/z"])
+    z = spark.read.parquet(f"{tmp_path}/z").collect()
+    assert len(z) == 60 and all(len(r.z) == 2 == len(r.pc) for r in z)
+
+
+def test_default_paths(spark, tmp_path):
+    from quarkflow.sources.readers import default_path
+
+    (tmp_path / "x").mkdir()
+    for session in (None, spark):
+        assert default_path(None, str(tmp_path), session) == str(tmp_path) and default_path("x", str(tmp_path), session) == f"{tmp_path}/x"
+        assert default_path(str(tmp_path / "x"), "/nowhere", session) == str(tmp_path / "x")
+        with pytest.raises(FileNotFoundError):
+            default_path("y", str(tmp_path), session)
+
+
 def test_sweeps_and_names(spark):
     found = sweeps.run_sweep(spark, lambda p: {"auc": p["a"] / 10}, a=[1, 2], b=[5])
     assert sorted((r.run_idx, r.auc) for r in found.collect()) == [(0, 0.1), (1, 0.2)]
