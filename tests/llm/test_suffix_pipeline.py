@@ -162,8 +162,48 @@ def test_stages_over_documents(spark, data):
     assert sorted(map(key, again)) == sorted(map(key, packed))
 
 
-@pytest.mark.parametrize("make", [odd, empty])
-def test_stages_survive_odd_tables(spark, data, make):
-    docs = make(spark)
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, data).collect()
+def test_stages_over_odd_tables(spark, data):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns: which rows stay, stage by stage."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = odd(spark)
+    key = lambda r: (r.doc_id, r.text)
+    rows = sorted(map(key, docs.collect()), key=repr)
+    clean = stages["toxicity"](spark, docs, data)
+    assert clean.columns == list(corpus_pipeline.COLUMNS) and sorted(map(key, clean.collect()), key=repr) == rows
+    found = {(r.doc_id, r.text): r.lang for r in stages["language identification"](spark, docs, data).collect()}
+    assert not {i for i, _ in found} & {2, 3, 8, 10}  # without a letter; all else has one of the languages that the rows are labelled with
+    assert set(found.values()) <= {"en", "de", "fr"}
+    near = sorted(map(key, stages["MinHash near-duplicates"](spark, docs, data).collect()), key=repr)
+    # 5 repeats 4, the rows of id 6 repeat 1; the row without an id is like no other.
+    want = [r for r in rows if r[0] not in (5, 6)]
+    assert near == sorted(want, key=repr)
+    left = {r.doc_id: r for r in stages["suffix-array repeats"](spark, docs, data).collect()}
+    assert left[2].text is None and left[3].text == "" and len(left[5].text) < 100 and left[4].text != ""
+    assert stages["suffix-array repeats"](spark, docs, data).count() == len(rows)
+    assert stages["best-fit packing"](spark, docs, data).where("piece = 0").count() == len(rows)
+    for name, stage in stages.items():
+        assert stage(spark, empty(spark), data).collect() == [], name
+
+
+def test_unlike_rows_of_one_id_stay(spark, data):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, a), (1, b), (2, c), (3, b), (None, c), (None, "words of no other document at all here"), (1, a), (4, None), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()), key=repr)
+    assert got == sorted([(1, a), (2, c), (3, b), (None, "words of no other document at all here"), (4, None), (4, "")], key=repr)
+
+
+def test_toxicity_and_language_stages_equal_their_operators(spark, data):
+    """What the two learned stages keep is what the operators, tested against brute force, say about each document."""
+    from pyspark.sql import functions as F
+
+    from quarkflow.llm import langid, toxicity
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    scored = toxicity.score(docs, "text", toxicity.fit(docs, labels, "doc_id", "text", "toxic"), F.col("doc_id"))
+    want = {r.doc_id for r in scored.collect() if not r.predicted}
+    assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, data).collect()} == want
+    found = langid.identify(docs, "text", langid.fit(docs, "doc_id", "text", "lang"), F.col("doc_id")).collect()
+    want = {(r.doc_id, r.lang_pred) for r in found if r.lang_pred != langid.UNKNOWN and r.score >= corpus_pipeline.LEAST_CERTAIN}
+    assert {(r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, docs, data).collect()} == want
