@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarkflow.llm import binpack, langid, suffix_repeats, superminhash, toxicity
 from quarkflow.llm.common import materialise, table
@@ -22,7 +21,7 @@ LEAST_CERTAIN = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples don't call toxic. All rows of labels may be examples."""
+    """Documents that the nearest labelled examples don't call toxic, rows as they are. All rows of labels may be examples; without labels none is toxic. Null and empty texts are scored as the operator states."""
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "text", "toxic")
     return toxicity.score(docs, "text", model, *(F.col(c) for c in COLUMNS)).where("predicted = 0").select(*COLUMNS)
@@ -36,26 +35,39 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs with `node`, a number per row: its id where that is its alone, else one beyond all ids. Of rows that repeat id and text one stays."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = materialise(ids.where("n > 1 or doc_id is null").select("doc_id"), "shared-ids")
+    own = docs.withColumn("node", F.col("doc_id"))
+    if shared.isEmpty():
+        return own
+    is_shared = docs["doc_id"].eqNullSafe(shared["doc_id"])
+    most = docs.agg(F.max("doc_id")).first()[0] or 0
+    others = docs.join(shared, is_shared, "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("node", F.lit(max(most, 0) + 1) + F.monotonically_increasing_id())
+    return materialise(own.join(shared, is_shared, "left_anti").unionByName(others), "told-apart")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group of near-duplicates: five-word shingles, similarity 0.8. Of rows that repeat an id one stays; rows with a null id stay."""
-    docs = docs.select(*COLUMNS)
-    found = superminhash.near_duplicates(docs, "doc_id", "text", k=5, percent=80)
-    stays = materialise(found.where("kept and doc_id is not null").select("doc_id").distinct(), "stays")
-    # One row per id and table: the join and the window share one exchange by id.
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source", "n_chars"))
-    kept = docs.join(stays, "doc_id").withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    """One document (the smallest id) of each group of near-duplicates: five-word shingles, similarity 0.8.
+
+    Rows that repeat an id, or have none, are documents of their own, which come after all others in no stated order; of
+    those that repeat id and text one stays.
+    """
+    docs = _told_apart(docs.select(*COLUMNS))
+    stays = materialise(superminhash.near_duplicates(docs, "node", "text", k=5, percent=80).where("kept").select("node"), "stays")
+    return docs.join(stays, "node", "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages (50 bytes or more) that also stand in a document of smaller id; n_chars counts what is left."""
+    """Documents without the passages (50 bytes or more) that also stand in a document of smaller id; n_chars counts what is left. Every row stays, emptied ones too; a null text stays null."""
     docs = docs.select(*COLUMNS)
     left = suffix_repeats.remove_repeats(docs, "doc_id", "text", F.col("lang"), F.col("source"))
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents' tokens and their places in sequences of 2048."""
+    """The pieces of all documents' tokens and their places in sequences of 2048. Every row is packed, a null text as its end token alone."""
     path, pattern = vocabulary("byte_bpe_50k.json")
     return binpack.pack(binpack.tokenize(docs, "text", path, pattern, F.col("doc_id")), "doc_id", "piece")
 
@@ -68,7 +80,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Stages learn models and follow iterative methods that SQL can't express; tests hold run() against brute force.
+#: Stages learn models and follow iterative methods that SQL can't express; tests hold every stage against brute force or its operator's.
 ORACLE_SQL = None
 
 
