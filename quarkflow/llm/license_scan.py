@@ -3,9 +3,9 @@
 A text is brought to a canonical form (lower case; copyright notices removed; every run of punctuation and white
 space, comment marks among them, a single space; equivalent spellings made one) and hashed with SHA-256. Known
 licences go through the same expression, and the two digests are hash-joined. The form does not depend on where lines
-break or on marks before them. A copyright notice is a line whose first word is copyright and which goes on with a
-sign and a name or with a year, or one that begins with the sign and a year; some published notices inside
-paragraphs, and "all rights reserved", go as phrases.
+break or on marks before them. A copyright notice begins a line, with the word copyright and then a sign and a name or
+a year, or with the sign and a year, and goes to the end of its sentence, at most of its line: prose after it stays.
+Some published notices inside paragraphs, and "all rights reserved", go as phrases.
 The digests of the lines of a text are joined likewise, so that a one-line notice inside a longer document is found
 as well.
 
@@ -47,8 +47,12 @@ COPYRIGHT_PHRASE = (
     r"copyright[ \t\n]+(?:\(c\)|©)[ \t\n]+(?:[0-9][0-9, \t\n-]*free[ \t\n]+software[ \t\n]+foundation,?[ \t\n]+inc\b|<?(?:year|19[xy]{2})>?[ \t\n]+<?name[ \t\n]+of[ \t\n]+author>?|year[ \t\n]+your[ \t\n]+name)"
     r"|\ball[ \t\n]+rights[ \t\n]+reserved\b"
 )
-#: A line that starts so is a copyright line.
-COPYRIGHT_LINE = rf"(^|\n){_MARKS}(?:copyright[ \t]*(?:\(c\)|©)[ \t,<\[]*[\p{{L}}\p{{N}}][^\n]*|copyright{_MARKS}{_YEAR}[^\n]*|©[^\n]*|\(c\){_MARKS}{_YEAR}[^\n]*)"
+#: What a notice goes on with: to the end of its sentence, at most of its line. A point ends no sentence inside a word, after an initial or after one of these.
+_REST = r"(?:[^\n.]*(?:\.[^ \t\n]|\b(?:\p{L}|inc|ltd|co|corp|llc|jr|sr|dr|mr|st)\.)){0,20}[^\n.]*\.*"
+#: Sentences that begin so, as terms do, begin a line of their own.
+TERMS = r"([.;])[ \t]+((?:licensed|released|distributed|redistribution|permission|this (?:program|software|file|work|project|source))\b)"
+#: A line that starts so begins with a copyright notice; what stands after the notice's sentence stays.
+COPYRIGHT_LINE = rf"(^|\n){_MARKS}(?:copyright[ \t]*(?:\(c\)|©)[ \t,<\[]*[\p{{L}}\p{{N}}]|copyright{_MARKS}{_YEAR}|©|\(c\){_MARKS}{_YEAR}){_REST}"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -143,7 +147,7 @@ KNOWN = (
 def canonical_lines(text: Column) -> Column:
     """Canonical text with its line breaks kept."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
-    out = F.regexp_replace(out, LINE_START, "$1")
+    out = F.regexp_replace(F.regexp_replace(out, TERMS, "$1\n$2"), LINE_START, "$1")
     out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_PHRASE, "\n"), COPYRIGHT_LINE, "$1")
     return F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}\n]+", " ")
 
@@ -169,16 +173,23 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
 
 def license_scan(df: DataFrame, id_col: str, text_col: str, known=KNOWN) -> DataFrame:
     """One row per input row: id, text_digest, license_id of the entire text, notices (sorted ids of lines that are a known text, comma-separated, or null)."""
-    spark = df.sparkSession
-    table = known_digests(spark, known)
-    texts = df.select(F.col(id_col).alias("_id"), canonical_lines(F.col(text_col)).alias("_lines")).withColumn("_key", F.xxhash64("_lines"))
-    scanned = texts.select("_id", "_key", F.sha2(_whole(F.col("_lines")), 256).alias("text_digest")).join(table.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    lines = texts.select("_id", "_key", F.explode(F.array_distinct(F.split("_lines", "\n"))).alias("_line")).where("trim(_line) <> ''")
-    found = lines.select("_id", "_key", F.sha2(_spelled(F.trim("_line")), 256).alias("digest")).join(table, "digest")
-    # By id and text: rows that repeat both have the same notices.
-    notices = found.groupBy("_id", "_key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
-    on = scanned["_id"].eqNullSafe(notices["_id"]) & (scanned["_key"] == notices["_key"])
-    return scanned.join(notices, on, "left").select(scanned["_id"].alias(id_col), "text_digest", "license_id", "notices")
+    table = known_digests(df.sparkSession, known)
+    texts = df.select(F.col(id_col).alias("_id"), canonical_lines(F.col(text_col)).alias("_lines"))
+    lines = F.filter(F.transform(F.array_distinct(F.split("_lines", "\n")), lambda x: F.trim(x)), lambda x: x != "")
+    own = F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(_spelled(x), 256).alias("digest")))
+    every = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.sha2(_whole(F.col("_lines")), 256).alias("digest"))), own)
+    # The canonical form is made once a text; what leaves it are digests. By id and text: rows that repeat both have the same notices.
+    digests = texts.select("_id", F.xxhash64("_lines").alias("_key"), F.inline(every)).join(table, "digest", "left").where("whole or license_id is not null")
+    whole = F.col("whole")
+    found = digests.groupBy("_id", "_key").agg(
+        F.count_if(whole).alias("_n"),
+        F.max(F.when(whole, F.col("digest"))).alias("text_digest"),
+        F.max(F.when(whole, F.col("license_id"))).alias("license_id"),
+        F.collect_set(F.when(~whole, F.col("license_id"))).alias("_notices"),
+    )
+    notices = F.when(F.size("_notices") > 0, F.array_join(F.array_sort("_notices"), ","))
+    rows = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return rows.select(F.col("_id").alias(id_col), "text_digest", "license_id", notices.alias("notices"))
 
 
 def _sql_text(s: str) -> str:
@@ -190,6 +201,7 @@ def oracle_sql(known=KNOWN) -> str:
 
     def lines(x: str) -> str:
         out = f"regexp_replace(lower(coalesce({x}, '')), '\\r\\n?', chr(10), 'g')"
+        out = f"regexp_replace({out}, {_sql_text(TERMS)}, '\\1' || chr(10) || '\\2', 'g')"
         out = f"regexp_replace({out}, {_sql_text(LINE_START)}, '\\1', 'g')"
         out = f"regexp_replace(regexp_replace({out}, {_sql_text(COPYRIGHT_PHRASE)}, chr(10), 'g'), {_sql_text(COPYRIGHT_LINE)}, '\\1', 'g')"
         return f"regexp_replace(replace({out}, '&', ' and '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"

@@ -63,6 +63,26 @@ def test_prose_about_copyright_stays(spark):
     assert got[0].text_digest != got[5].text_digest != got[2].text_digest == got[3].text_digest and got[4].text_digest == got[5].text_digest
 
 
+def test_notices_and_terms_on_one_line(spark):
+    """A notice ends with its sentence: what follows on the line is read, and unlike texts have unlike digests."""
+    lines = ["Copyright (c) 2020 X. Licensed under the MIT License.", "Copyright 2020 J. Smith, Acme Inc. and others. Released under the MIT License.", "# (c) 1999 A. B.; Licensed under CC BY 4.0.", "Prose first. Licensed under the MIT License."]
+    got = scan(spark, *lines, "Copyright © law protects authors. This long essay says why.", "Copyright © law protects authors. Another essay.", "", "Copyright (c) 2020 J. Smith\n" + license_scan._MIT, "Copyright (c) 2020 J. Smith. " + license_scan._MIT)
+    assert [got[i].notices for i in range(4)] == ["MIT", "MIT", "CC-BY-4.0", "MIT"]
+    assert len({got[i].text_digest for i in (4, 5, 6)}) == 3
+    assert got[7].license_id == got[8].license_id == "MIT"
+
+
+def test_a_long_line_after_a_notice(spark):
+    """A hundred thousand words and points on one line neither fail nor vanish."""
+    got = scan(spark, "Copyright (c) 2020 A. " + "Some words. " * 100_000, "Copyright (c) 2020 A. " + "a." * 300_000, "")
+    assert len({got[i].text_digest for i in range(3)}) == 3
+
+
+def test_texts_are_read_and_made_canonical_once(spark):
+    plan = license_scan.license_scan(odd(spark), "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
+
+
 def test_repeated_rows_and_ids_keep_their_own_notices(spark):
     rows = [(1, "Released under the MIT License.\nx"), (1, "Released under the MIT License.\nx"), (1, "nothing"), (None, "Released under the MIT License.\ny"), (None, "z")]
     got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
