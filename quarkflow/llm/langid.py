@@ -1,8 +1,8 @@
 """Language identification by words first, then shorter and shorter character n-grams.
 
 Fitting: labelled rows are thinned by a hash of id and text to about max_docs documents (a documented bound on the
-labelled rows; every row may be drawn), and all their words are counted per language. A word is a run of letters, by one
-function for fitting and prediction. A word of the draw scores by its log frequency in each language; an unseen word is
+labelled rows; every row may be drawn), and all their words are counted per language. A word is a run of letters and of
+marks after them, by one function for fitting and prediction. A word of the draw scores by its log frequency in each language; an unseen word is
 read from left to right, at each place by the longest n-gram of the draw's words that starts there, from max_n
 characters down to one. A text's score is the sum over all its words. No word or n-gram of the draw is left out.
 
@@ -19,24 +19,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarkflow.llm.common import map_batches, mix64, schema_of, with_text
 
-#: A run of letters and other numbers than digits; what is no letter is taken out afterwards.
-_RUN = re.compile(r"[^\W\d_]+")
+#: A word: letters, with the marks that are combined with them. The first pattern is the same for ASCII texts.
+_ASCII, _WORD = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 
 
 def words_of(text: str) -> Counter[str]:
-    """Lower-case words of a text, its longest runs of letters, with their numbers."""
-    counts = Counter(_RUN.findall(text.lower()))
-    for mixed in [w for w in counts if not w.isalpha()]:  # signs such as one half stand in runs, too
-        n = counts.pop(mixed)
-        for w in "".join([c if c.isalpha() else " " for c in mixed]).split():
-            counts[w] += n
-    return counts
+    """Lower-case words of a text with their numbers."""
+    text = text.lower()
+    return Counter((_ASCII if text.isascii() else _WORD).findall(text))
 
 
 @dataclass

@@ -32,6 +32,15 @@ def test_words_come_before_grams_and_backoff_shortens():
     assert 0.5 <= s.predict("xyzzy")[1] <= 1
 
 
+def test_words_keep_their_marks():
+    import unicodedata
+
+    assert langid.words_of("हिन्दी में") == Counter(["हिन्दी", "में"])
+    apart = unicodedata.normalize("NFD", "Élève à Noël")
+    assert langid.words_of(apart) == Counter(w.lower() for w in apart.split())
+    assert langid.words_of("\u0301 12 ½ x\u0301y") == Counter(["x\u0301y"]) and langid.words_of("The THE a1b") == Counter({"the": 2, "a": 1, "b": 1})
+
+
 def brute_language(counts, text, max_n=5):
     """(lang, score) from (lang, word, n) by the definition, with exact n-grams and no tables."""
     langs = sorted({c[0] for c in counts})
@@ -44,7 +53,7 @@ def brute_language(counts, text, max_n=5):
     def log(kind, key, lang):
         return math.log((tally[kind][key][lang] + 0.5) / (sum(c[lang] for c in tally[kind].values()) + 0.5 * len(tally[kind])))
 
-    words = Counter(regex.findall(r"\p{L}+", text.lower()))
+    words = Counter(regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()))
     if not words:
         return "und", 0.0
     logs = dict.fromkeys(langs, 0.0)
@@ -65,7 +74,7 @@ def test_language_against_brute_force(spark):
     rows = [(i, t, x) for i, (t, x) in enumerate([("the house and the garden", "en"), ("das haus und der garten", "de"), ("la maison et le jardin", "fr"), ("the ½cup is naïve²", "en"), ("straße und fluß", "de")] * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df, "doc_id", "text", "lang")
-    counts = [(x, w, n) for x, c in ((x, Counter(regex.findall(r"\p{L}+", t.lower()))) for _, t, x in rows) for w, n in c.items()]
+    counts = [(x, w, n) for x, c in ((x, Counter(regex.findall(r"\p{L}[\p{L}\p{M}]*", t.lower()))) for _, t, x in rows) for w, n in c.items()]
     texts = ["houses in gardens", "hausgarten", "jardins", "½ ² Ⅷ", "a½b", "qqq", "THE Haus la", "zzz the", "", "12 !"]
     asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
     for r in langid.identify(asked, "text", model, F.col("i")).collect():
