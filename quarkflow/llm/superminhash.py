@@ -5,10 +5,12 @@ the register that its permutation names, and a register keeps the least offer. O
 when all its registers lie below the next step; with more elements than registers that is after a few steps.
 
 Equal sets are one class and go on as one row, under the smallest id. Classes that agree in a band meet that band's
-smallest member, and each such pair is verified on the full sets of both texts; components of the verified links
-follow. A band in which several components are left still holds pairs that were not looked at: those across
-components are compared in tiles of bounded size, by signature and then by full sets, and only links come out. So no
-linked pair that shares a band is left out, whatever the size of a bucket, and pairs are not listed.
+smallest member; pairs that their sketches (a byte a register) don't rule out are verified on the full sets of both texts;
+components of the verified links follow. A band in which several components are left still holds pairs that were not
+looked at: those across components are compared in tiles of bounded size, first by sketches alone, which leaves the
+members that have an undecided partner, then those members with their texts by full sets, and only links come out. So no
+linked pair that shares a band is left out, whatever the size of a bucket (a pair at the threshold is ruled out by five
+standard deviations of its sketch at least), and pairs are not listed.
 
 Defined results: null and empty texts and texts without a word have no shingle and link with nothing (they are their
 own component); a text of fewer words than a shingle has one shingle, all its words. Rows with a null id link with
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +99,10 @@ def superminhash(elements: np.ndarray, docs: np.ndarray, n_docs: int, m: int = R
 
 
 def bands_for(percent: int) -> int:
-    """The fewest bands that a pair of similarity percent / 100 shares none of with probability _MISS at most (single registers if none do)."""
-    for bands in (2, 4, 8, 16, 32, 64):
-        if (1 - (percent / 100) ** (REGISTERS // bands)) ** bands <= _MISS:
+    """The number of bands with the most registers in each that a pair of similarity percent / 100 shares none of with probability _MISS at most (single registers if none do)."""
+    for rows in range(REGISTERS // 2, 1, -1):
+        bands = REGISTERS // rows
+        if REGISTERS // bands == rows and (1 - (percent / 100) ** rows) ** bands <= _MISS:
             return bands
     return REGISTERS
 
@@ -192,13 +195,31 @@ def linked(a: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
-def across(opened: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
-    """Links (u, v) between members of a band that lie in different components.
+def least_agreement(percent: int) -> int:
+    """Registers that agree in the sketches of a pair at the threshold, less five standard deviations."""
+    j = percent / 100
+    return int(REGISTERS * (j - 5 * math.sqrt(j * (1 - j) / REGISTERS)))
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sketches (id, sketch) don't rule the threshold out: texts are fetched for these alone."""
+    sides = [sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")).hint("merge") for x in ("u", "v")]
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sketch_u", "sketch_v"))
+            at = pa.array(np.flatnonzero(np.count_nonzero(a == b, axis=1) >= least))
+            yield pa.RecordBatch.from_arrays([batch.column("u").take(at), batch.column("v").take(at)], names=["u", "v"])
+
+    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
 
-    opened: (band, id, component, main, pivot, sketch, text); main is the pivot's component, whose pairs with the pivot are
-    known. The members outside main meet all members but the pivot in tiles of some `block` by `block`; sketches that
-    rule the threshold out (by five standard deviations) are passed over, the rest is compared on the full sets.
-    Tiles put out links alone, and no more than join the tile's members.
+
+def _tiles(opened: DataFrame, columns: tuple[str, ...], block: int, work: Callable[[list[tuple], list[tuple]], Iterator[pa.RecordBatch]], output: str) -> DataFrame:
+    """work(those who ask, those who are seen) for each tile of some `block` by `block` members of a band.
+
+    opened: (band, id, component, main, pivot, ...); main is the pivot's component, whose pairs with the pivot are known.
+    The members outside main ask all members but the pivot.
     """
     sizes = materialise(
         opened.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rows"), F.ceil(F.count_if(F.col("component") != F.col("main")) / block).cast("int").alias("asks")), "tiles"
@@ -206,41 +227,17 @@ def across(opened: DataFrame, k: int, percent: int, block: int = 512) -> DataFra
     cut = opened.join(sizes, "band")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("id", "component", "main", "sketch", "text")
     asks = cut.where("component <> main").select("band", own("asks").alias("ask"), every("rows").alias("row"), F.lit(True).alias("asking"), *columns)
-    seen = cut.where("id <> pivot").select("band", every("asks").alias("ask"), own("rows").alias("row"), F.lit(False).alias("asking"), *columns)
-    j = percent / 100
-    least = int(REGISTERS * (j - 5 * math.sqrt(j * (1 - j) / REGISTERS)))
+    seen = cut.where("id <> pivot and asks > 0").select("band", every("asks").alias("ask"), own("rows").alias("row"), F.lit(False).alias("asking"), *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         now = None
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = [r for r in held if not r[0]]
-            if len(rows) == len(held) or not rows:
-                return
-            ids, own, main = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-            sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-            sets: list[np.ndarray | None] = [None] * len(rows)
-            joined = UnionFind()
-            us, vs = [], []
-            for _, i, c, _, sketch, text in (r for r in held if r[0]):
-                near = (own != c) & ((own == main) | (i < ids)) & (np.count_nonzero(sketches == np.frombuffer(sketch, np.uint8), axis=1) >= least)
-                if not near.any():
-                    continue
-                a = shingles(text, k)
-                for x in np.flatnonzero(near).tolist():
-                    if joined.find(c) == joined.find(int(own[x])):
-                        continue
-                    if sets[x] is None:
-                        sets[x] = shingles(rows[x][5], k)
-                    if linked(a, [sets[x]], percent)[0]:
-                        joined.union(c, int(own[x]))
-                        us.append(max(i, int(ids[x])))
-                        vs.append(min(i, int(ids[x])))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            rows = [r[2:] for r in held if not r[1]]
+            if rows and len(rows) < len(held):
+                yield from work([(r[0], *r[2:]) for r in held if r[1]], [(held[0][0], *r) for r in rows])
 
         for batch in batches:
             for band, ask, row, *rest in zip(*(batch.column(c).to_pylist() for c in ("band", "ask", "row", "asking", *columns))):
@@ -248,13 +245,77 @@ def across(opened: DataFrame, k: int, percent: int, block: int = 512) -> DataFra
                     yield from out()
                     held = []
                 now = (band, ask, row)
-                held.append(tuple(rest))
+                held.append((band, *rest))
         if held:
             yield from out()
 
     parts = int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = asks.unionByName(seen).repartition(parts, "band", "ask", "row").sortWithinPartitions("band", "ask", "row")
-    return tiles.mapInArrow(run, "u long, v long")
+    return tiles.mapInArrow(run, output)
+
+
+def _near(one: tuple, ids: np.ndarray, own: np.ndarray, main: np.ndarray, sketches: np.ndarray, least: int) -> np.ndarray:
+    """Which of the seen members (band, id, component, main, sketch, ...) one that asks has to be compared with."""
+    _, i, c, _, sketch = one[:5]
+    return (own != c) & ((own == main) | (i < ids)) & (np.count_nonzero(sketches == np.frombuffer(sketch, np.uint8), axis=1) >= least)
+
+
+def _seen(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return *(np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3)), np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+
+
+def undecided(opened: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """(band, id): the members that have a partner in another component which the sketches don't rule out, no pairs. opened: without texts."""
+    least = least_agreement(percent)
+
+    def work(asks: list[tuple], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        seen = _seen(rows)
+        ids, met = [], np.zeros(len(rows), bool)
+        for one in asks:
+            near = _near(one, *seen, least)
+            if near.any():
+                ids.append(one[1])
+                met |= near
+        ids += seen[0][met].tolist()
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(ids), pa.int64()), pa.array(ids, pa.int64())], names=["band", "id"])
+
+    return _tiles(opened, ("id", "component", "main", "sketch"), block, work, "band long, id long").distinct()
+
+
+def across(opened: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
+    """Links (u, v) between members of a band that lie in different components. opened: as for undecided(), with texts.
+
+    Sketches that rule the threshold out are passed over, the rest is compared on the full sets. Tiles put out links alone, and
+    no more than join the tile's members.
+    """
+    least = least_agreement(percent)
+
+    def work(asks: list[tuple], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        seen = _seen(rows)
+        ids, own = seen[0], seen[1]
+        sets: list[np.ndarray | None] = [None] * len(rows)
+        joined = UnionFind()
+        us, vs = [], []
+        for one in asks:
+            near = _near(one, *seen, least)
+            if not near.any():
+                continue
+            _, i, c, _, _, text = one
+            a = shingles(text, k)
+            for x in np.flatnonzero(near).tolist():
+                if joined.find(c) == joined.find(int(own[x])):
+                    continue
+                if sets[x] is None:
+                    sets[x] = shingles(rows[x][5], k)
+                if linked(a, [sets[x]], percent)[0]:
+                    joined.union(c, int(own[x]))
+                    us.append(max(i, int(ids[x])))
+                    vs.append(min(i, int(ids[x])))
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return _tiles(opened, ("id", "component", "main", "sketch", "text"), block, work, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 80) -> DataFrame:
@@ -267,19 +328,22 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, perce
     members = classes.select("id", F.explode("bands").alias("band"))
     pivots = materialise(members.groupBy("band").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "pivot"), "pivots")
     shared = materialise(members.join(pivots, "band").select("band", "id", "pivot"), "shared")
-    pairs = materialise(shared.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
-    # Only texts of classes that share a band go on.
-    wanted = shared.select("id").distinct()
-    near = materialise(texts.join(wanted.hint("merge"), "id", "left_semi"), "near")
+    sketches = classes.select("id", "sketch")
+    pairs = shared.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
+    pairs = materialise(likely(pairs, sketches, percent), "pairs")
+    # Only texts that the sketches can't decide on go on.
+    of = lambda ids: materialise(texts.join(ids.distinct().hint("merge"), "id", "left_semi"), "near")
+    links = materialise(verify(pairs, of(pairs.select(F.explode(F.array("u", "v")).alias("id"))), k, percent), "links")
     release(spark)
-    links = materialise(verify(pairs, near, k, percent), "links")
     joined = components(links)
     # Bands in which more than one component is left: pairs across components.
     where = materialise(shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "pivot"), "where")
     open_bands = materialise(where.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"), "open")
     main = where.where("id = pivot").select("band", F.col("component").alias("main"))
-    opened = where.join(open_bands, "band", "left_semi").join(main, "band").join(classes.select("id", "sketch"), "id")
-    opened = materialise(opened.join(near.hint("merge"), "id"), "opened")
+    opened = materialise(where.join(open_bands, "band", "left_semi").join(main, "band").join(sketches, "id"), "opened")
+    left = materialise(undecided(opened, percent), "undecided")
+    release(spark)
+    opened = materialise(opened.join(left, ["band", "id"], "left_semi").join(of(left.select("id")).hint("merge"), "id"), "opened")
     links = links.unionByName(materialise(across(opened, k, percent).distinct(), "links"))
     release(spark)
     joined = components(links)
