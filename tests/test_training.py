@@ -291,3 +291,24 @@ def test_the_classifier_learns_what_summaries_cannot_tell(spark, data):
     trained = training.fit(networks.EdgeConvClassifier(4, smallest=16, k=4, reduced_k=4), train, val, plan)
     assert trained.history[-1]["train_loss"] < 0.95 * trained.history[0]["train_loss"]
     assert train.count() + val.count() + test.count() == rows.count()
+
+
+QUERIES = "edgeconv_classifier_auc graph_autoencoder_history graph_autoencoder_scores class_token_set_auc class_token_index_auc token_autoencoder_auc masked_transformer_auc trained_latents halved_sweep".split()
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_registered_queries_run(spark, data, name, monkeypatch):
+    """Each query as it is, but for shorter training."""
+    from quarkflow.plans import queries as plans
+    from quarkflow.plans import training_queries as q
+
+    monkeypatch.setattr(q.training, "Plan", lambda **kw: Plan(**kw | {"steps": 1, "epochs": min(2, kw["epochs"]) if name != "halved_sweep" else kw["epochs"]}))
+    df = plans.queries()[name](spark, data)
+    rows = df.collect()
+    assert rows and not any(isinstance(v, float) and v != v for r in rows for v in r)
+    if "auc" in df.columns:
+        assert all(0 <= r.auc <= 1 for r in rows)
+    if name == "graph_autoencoder_history":
+        assert [r.epoch for r in rows] == [0, 1] and rows[1].val_loss < rows[0].val_loss, rows
+    if name == "halved_sweep":
+        assert sorted((r.rung, r.epochs) for r in rows) == [(0, 1)] * 4 + [(1, 2)] * 2 + [(2, 4)]
