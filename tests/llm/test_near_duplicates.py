@@ -72,6 +72,38 @@ def test_tiles_of_any_size_find_the_same_links(spark):
         assert brute_components(links, [i for i, _ in rows[1:]]) == want
 
 
+def test_bands_miss_next_to_no_pair_at_the_threshold():
+    for percent, want in ((80, 32), (85, 25), (95, 14)):
+        bands = superminhash.bands_for(percent)
+        rows = superminhash.REGISTERS // bands
+        assert bands == want and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    assert superminhash.bands_for(1) == superminhash.REGISTERS
+
+
+def test_sketches_leave_what_may_be_linked(spark):
+    """Pairs and members that sketches rule out go, all others stay, in tiles of any size; no pairs come out of tiles."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (3, 128), dtype=np.uint8)
+    sketches = {}
+    for i in range(45):  # groups of likes; of the third all are unlike
+        x = base[i % 3].copy() if i % 3 < 2 else rng.integers(0, 256, 128, dtype=np.uint8)
+        x[rng.permutation(128)[: 10 if i % 3 < 2 else 0]] += 1
+        sketches[i] = x
+    least = superminhash.least_agreement(85)
+    like = lambda a, b: (sketches[a] == sketches[b]).sum() >= least
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sketches.items()], "id long, sketch binary")
+    pairs = [(a, b) for a in range(45) for b in range(a)]
+    got = superminhash.likely(spark.createDataFrame(pairs, "u long, v long"), table, 85).collect()
+    assert {(r.u, r.v) for r in got} == {(a, b) for a, b in pairs if like(a, b)}
+    # 0 is the band's pivot and in the main component with 3; all others are on their own.
+    rows = [(7, i, 0 if i == 3 else i, 0, 0, bytearray(x.tobytes())) for i, x in sketches.items()]
+    opened = spark.createDataFrame(rows, "band long, id long, component long, main long, pivot long, sketch binary")
+    want = {i for i in range(1, 45) for j in range(1, 45) if i != j and like(i, j) and rows[i][2] != rows[j][2]}
+    for block in (7, 512):
+        assert {(r.band, r.id) for r in superminhash.undecided(opened, 85, block).collect()} == {(7, i) for i in want}
+    assert superminhash.undecided(opened.where("id % 3 = 2"), 85).collect() == [] and superminhash.likely(spark.createDataFrame([], "u long, v long"), table, 85).collect() == []
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (2, 20, 400, 40_000):
