@@ -11,14 +11,16 @@ from quarkflow.functions.expr import is_finite
 from quarkflow.operators import features, graphs, metrics, models, splits, stats
 from quarkflow.plans import fixtures as fx
 from quarkflow.plans.queries import featured, flat, register, rounded
+from quarkflow.sources.shared import written
 
 SUMMARY = ["pt_mean", "pt_std", "eta_std", "phi_std"]
 VECTOR = ["eta", "phi", "pt", "mass"]
 
 
 def summaries(spark, sf_dir) -> DataFrame:
+    """Summaries of jets and their labels, written: fits, ranks and scores read them again and again."""
     rows = flat(featured(spark, sf_dir), "label")
-    return stats.jet_summary(rows).join(fx.jets(spark, sf_dir).select("jet_id", "label"), "jet_id").na.drop().cache()  # read by fits, ranks and scores
+    return written(stats.jet_summary(rows).join(fx.jets(spark, sf_dir).select("jet_id", "label"), "jet_id").na.drop(), "summaries")
 
 
 def vectors(spark, sf_dir) -> DataFrame:
