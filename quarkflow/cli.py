@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarkflow.operators import features, metrics, models, networks, splits, training
+from quarkflow.operators import features, metrics, models, networks, splits, stats, training
 from quarkflow.plans import workflow
 from quarkflow.session import session
 from quarkflow.sources import readers, shared, sinks, snapshots
@@ -64,6 +64,21 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--tag", choices=snapshots.TAGS, default="best")
     c.add_argument("--features", default="eta,phi,pt,mass")
     c.add_argument("--id", default="jet_id")
+    c = command("prepare", "the whole chain: preprocess every input, concat the backgrounds, process; finished steps are passed over")
+    c.add_argument("signal")
+    c.add_argument("backgrounds", nargs="+")
+    c.add_argument("--output", required=True)
+    c.add_argument("--features", default="d0_sig,dz_sig,dr,log_pt")
+    c.add_argument("--max-events", type=int)
+    c.add_argument("--mask-muons", action="store_true")
+    c = command("distributions", "histograms of a column of one or more tables, over one range", window=False)
+    c.add_argument("paths", nargs="+")
+    c.add_argument("--output", required=True)
+    c.add_argument("--prop", default="pt", help="a scalar column or an array, whose elements count each")
+    c.add_argument("--bins", type=int, default=150)
+    c.add_argument("--lower", type=float)
+    c.add_argument("--upper", type=float)
+    c.add_argument("--scaled-zero", type=float, help="leave out values close to this one")
     c = command("concat", "tables of one column list to one")
     c.add_argument("paths", nargs="+")
     c.add_argument("--name", required=True)
@@ -118,6 +133,52 @@ def latents(spark: SparkSession, a: argparse.Namespace) -> None:
     print(json.dumps({"explained_variance": ratios}))
 
 
+def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Each step is written once: a chain that was stopped goes on where it was."""
+
+    def once(path: str, make) -> DataFrame:
+        if not sinks.is_complete(spark, path):
+            sinks.write_once(make(), path)
+        return spark.read.parquet(path)
+
+    def preprocessed(path: str, name: str) -> DataFrame:
+        def make() -> DataFrame:
+            events = readers.read_tables(spark, path)
+            events = events if a.max_events is None else readers.capped(events, a.max_events, "event_id")
+            return workflow.preprocess(events, **{k: v for k, v in (("lo", a.lowerpt), ("hi", a.upperpt)) if v is not None})
+
+        return once(f"{a.output}/preprocessed/{name}", make)
+
+    signal = preprocessed(a.signal, "signal")
+    parts = [preprocessed(path, f"background{i}") for i, path in enumerate(a.backgrounds)]
+    background = once(f"{a.output}/background", lambda: workflow.concat(parts, a.lowerpt, a.upperpt))
+    names = [*(f"{c}_scaled" for c in ("background", "signal")), *(f"other/{c}_{x}" for c in ("background", "signal") for x in ("rawvals", "scaledvals", "zero")), "scalers"]
+    if not all(sinks.is_complete(spark, f"{a.output}/processed/{n}") for n in names):
+        made = workflow.process_outputs(background, signal, tuple(features.feature_list(a.features)), a.lowerpt, a.upperpt, a.mask_muons)
+        for name, df in made.items():
+            once(f"{a.output}/processed/{name}", lambda df=df: df)
+
+
+def distributions(spark: SparkSession, a: argparse.Namespace) -> None:
+    """(dataset, bin, lo, hi, n, density): NULL, NaN and infinite values are left out; the range is that of all tables where a bound isn't given."""
+    sides = []
+    for i, path in enumerate(a.paths):
+        df = readers.read_tables(spark, path)
+        value = F.explode(a.prop) if dict(df.dtypes)[a.prop].startswith("array") else F.col(a.prop)
+        sides.append(df.select(F.lit(i).alias("dataset"), value.alias("value")).withColumn("value", F.col("value").cast("double")))
+    rows = reduce(DataFrame.unionByName, sides).where("not isnan(value) and abs(value) < double('infinity')")
+    if a.scaled_zero is not None:
+        rows = rows.where(F.abs(F.col("value") - a.scaled_zero) > 1e-4 * F.greatest(F.abs("value"), F.lit(abs(a.scaled_zero))))
+    rows = shared.written(rows, "values")
+    span = rows.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    lo, hi = (given if given is not None else found for given, found in ((a.lower, span.lo), (a.upper, span.hi)))
+    if lo is None or hi is None:
+        raise ValueError("no values to count")
+    width = F.lit((hi - lo) / a.bins)
+    counted = stats.histogram(rows, "value", a.bins, "dataset", lo=lo, hi=hi)
+    sinks.write_once(counted.select("dataset", "bin", (F.lit(lo) + F.col("bin") * width).alias("lo"), (F.lit(lo) + (F.col("bin") + 1) * width).alias("hi"), "n", "density"), a.output)
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = session()
@@ -133,6 +194,10 @@ def main(args: list[str] | None = None) -> int:
         made = workflow.process_outputs(*tables, tuple(features.feature_list(a.features)), a.lowerpt, a.upperpt, a.mask_muons, (a.label_bg, a.label_sg))
         for name, df in made.items():
             sinks.write_once(df, f"{a.output}/{name}")
+    elif a.command == "prepare":
+        prepare(spark, a)
+    elif a.command == "distributions":
+        distributions(spark, a)
     elif a.command == "train":
         trained(spark, a)
     elif a.command == "latents":

@@ -68,6 +68,28 @@ def test_process_and_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["auc"] == 1.0
 
 
+def test_the_whole_chain_and_distributions(spark, tmp_path):
+    for name, ids in (("a", range(1, 5)), ("b", range(5, 9)), ("s", range(20, 23))):
+        events(spark, *(event(i) for i in ids)).write.parquet(f"{tmp_path}/{name}")
+    args = ["prepare", f"{tmp_path}/s", f"{tmp_path}/a", f"{tmp_path}/b", "--output", f"{tmp_path}/out", "--features", "log_pt,dr", "--lowerpt", "200", "--upperpt", "400"]
+    assert cli.main(args) == 0
+    assert spark.read.parquet(f"{tmp_path}/out/background").count() == 8 and spark.read.parquet(f"{tmp_path}/out/processed/background_scaled").count() == 8
+    import shutil
+
+    shutil.rmtree(tmp_path / "out" / "processed" / "scalers")  # a step that is missing is made, the others stay as they are
+    before = (tmp_path / "out" / "background" / "_SUCCESS").stat().st_mtime_ns
+    assert cli.main(args) == 0 and spark.read.parquet(f"{tmp_path}/out/processed/scalers").count() == 2
+    assert (tmp_path / "out" / "background" / "_SUCCESS").stat().st_mtime_ns == before
+    rows = [(i, [float(i), float("nan"), 0.0]) for i in range(1, 11)]
+    spark.createDataFrame(rows, "jet_id long, pt array<double>").write.parquet(f"{tmp_path}/x")
+    spark.createDataFrame([(1, [20.0])], "jet_id long, pt array<double>").write.parquet(f"{tmp_path}/y")
+    cli.main(["distributions", f"{tmp_path}/x", f"{tmp_path}/y", "--output", f"{tmp_path}/h", "--bins", "4", "--scaled-zero", "0"])
+    got = sorted((r.dataset, r.bin, r.lo, r.hi, r.n) for r in spark.read.parquet(f"{tmp_path}/h").collect())
+    assert got == [(0, 0, 1.0, 5.75, 5), (0, 1, 5.75, 10.5, 5), (1, 3, 15.25, 20.0, 1)]
+    cli.main(["distributions", f"{tmp_path}/x", "--output", f"{tmp_path}/i", "--prop", "jet_id", "--bins", "2", "--lower", "0", "--upper", "4"])
+    assert sorted((r.bin, r.n) for r in spark.read.parquet(f"{tmp_path}/i").collect()) == [(0, 1), (1, 3)]
+
+
 def test_features_one_hots_muons_and_lengths(spark):
     table = workflow.preprocess(events(spark, event(1), event(2)), 200, 400)
     rows = workflow.add_features(table, [22, -211]).select("parts").collect()
