@@ -6,9 +6,8 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
-from quarkflow.operators import gradients, models, networks, sweeps, training
+from quarkflow.operators import gradients, networks, sweeps, training
 from quarkflow.operators.training import Moments, Plan
 from quarkflow.sources import snapshots
 
