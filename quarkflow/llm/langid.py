@@ -73,8 +73,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int
     total = labelled.count()
     if total > max_docs:
         labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) < int(max_docs / total * (1 << 30)))
-    rows = word_counts(labelled, text_col, lang_col).orderBy("word", "lang").toArrow()
-    return model_of(list(zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")))), max_n)
+    return model_of_table(word_counts(labelled, text_col, lang_col).orderBy("word", "lang").toArrow(), max_n)
 
 
 def _logs(counts: np.ndarray) -> np.ndarray:
@@ -84,16 +83,26 @@ def _logs(counts: np.ndarray) -> np.ndarray:
 
 def model_of(counts: list[tuple[str, str, int]], max_n: int = 5) -> LanguageModel:
     """The model of (lang, word, n) triples."""
-    langs = sorted({c[0] for c in counts})
-    at = {x: i for i, x in enumerate(langs)}
-    words: dict[str, int] = {}
-    where = [words.setdefault(word, len(words)) for _, word, _ in counts]
+    return model_of_table(pa.table({c: pa.array([x[i] for x in counts], t) for i, (c, t) in enumerate((("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())))}), max_n)
+
+
+#: N-grams of one size are counted in so many parts, by hash: the driver holds the temporary arrays of one.
+PARTS = 16
+
+
+def model_of_table(counts: pa.Table, max_n: int = 5) -> LanguageModel:
+    """The model of a table (lang, word, n). What is built on the way is of the draw's size, not more than a few times the model's."""
+    coded = {c: counts.column(c).combine_chunks().dictionary_encode() for c in ("lang", "word")}
+    found = coded["lang"].dictionary.to_pylist()
+    langs = sorted(found)
+    lang = np.array([langs.index(x) for x in found], np.int64)[coded["lang"].indices.to_numpy()]
+    words = {w: i for i, w in enumerate(coded["word"].dictionary.to_pylist())}
     table = np.zeros((len(words), len(langs)))
-    np.add.at(table, (np.array(where, np.int64), np.array([at[c[0]] for c in counts], np.int64)), np.array([c[2] for c in counts], float))
+    np.add.at(table, (coded["word"].indices.to_numpy(), lang), counts.column("n").to_numpy().astype(float))
+    del coded, lang
     # All words in one string, each between its marks: the n-grams of one size are its windows inside words.
     joined = "".join([f"<{w}>" for w in words])
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
     letters = mix64(np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64))
     grams: dict[str, int] = {}
     logs = [np.zeros((0, len(langs)))]
@@ -103,13 +112,17 @@ def model_of(counts: list[tuple[str, str, int]], max_n: int = 5) -> LanguageMode
             window = mix64(window[:-1] * np.uint64(3)) + letters[size - 1 :]
         if not len(window):
             break
-        inside = np.flatnonzero(owner[: len(window)] == owner[size - 1 :])
-        _, first, number = np.unique(window[inside], return_index=True, return_inverse=True)
-        if not len(first):
-            continue
-        logs.append(_logs(np.stack([np.bincount(number, table[owner[inside], k], len(first)) for k in range(len(langs))], axis=1)))
-        for i in inside[first].tolist():
-            grams[joined[i : i + size]] = len(grams)
+        inside = owner[: len(window)] == owner[size - 1 :]
+        sums = []
+        for part in range(PARTS):
+            at = np.flatnonzero(inside & (window % np.uint64(PARTS) == part)).astype(np.int32 if len(window) < 1 << 31 else np.int64)
+            _, first, number = np.unique(window[at], return_index=True, return_inverse=True)
+            if len(first):
+                sums.append(np.stack([np.bincount(number, table[owner[at], k], len(first)) for k in range(len(langs))], axis=1))
+                for i in at[first].tolist():
+                    grams[joined[i : i + size]] = len(grams)
+        if sums:
+            logs.append(_logs(np.concatenate(sums)))
     return LanguageModel(langs, words, _logs(table), grams, np.concatenate(logs), max_n)
 
 
