@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from quarkflow.operators import gradients as g
 from quarkflow.operators.gradients import Array, Node
-from quarkflow.operators.models import assignment
+from quarkflow.operators.models import assignments
 
 
 @dataclass
@@ -370,11 +370,9 @@ class ClassTokenAutoencoder(_ClassBottleneck):
         out = linear(w, "head", self.blocks(w, "decode", out, np.ones((len(jets.ids), self.slots), bool), jets, salt, training))
         at = np.tile(np.arange(n), (len(jets.ids), 1)) % self.slots
         if self.loss == "set":
-            for i, count in enumerate(jets.counts.tolist()):
-                if count:
-                    cost = ((out.value[i][:, None, :] - jets.x[i, None, :count]) ** 2).mean(2)
-                    slot, particle = assignment(cost)
-                    at[i, particle] = slot
+            cost = ((out.value[:, None, :, :] - jets.x[:, : self.slots, None, :]) ** 2).mean(3)
+            slot = assignments(cost, jets.counts)
+            at[:, : self.slots] = np.where(slot >= 0, slot, at[:, : self.slots])
         mine = g.gathered(out, at[..., None]).reshape(*at.shape, self.features)
         values, weight = _node_errors(mine, jets)
         # The matched cost is a mean over a jet's particles, then over jets; by index it is one over all particles.

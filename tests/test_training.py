@@ -311,3 +311,30 @@ def test_registered_queries_run(spark, data, name, monkeypatch):
         assert [r.epoch for r in rows] == [0, 1] and rows[1].val_loss < rows[0].val_loss, rows
     if name == "halved_sweep":
         assert sorted((r.rung, r.epochs) for r in rows) == [(0, 1)] * 4 + [(1, 2)] * 2 + [(2, 4)]
+
+
+@pytest.mark.parametrize("name", ["class_token_set_auc", "class_token_index_auc"])
+def test_slots_grow_with_the_largest_jet(spark, data, name, monkeypatch):
+    """A table with a jet of more particles than SLOTS is trained and scored whole."""
+    from quarkflow.plans import queries as plans
+    from quarkflow.plans import training_queries as q
+
+    monkeypatch.setattr(q.training, "Plan", lambda **kw: Plan(**kw | {"steps": 1, "epochs": 1}))
+    monkeypatch.setattr(q, "SLOTS", 4)
+    rows = q.jets(spark, data)
+    assert rows.where("size(x) > 4").count()
+    (got,) = plans.queries()[name](spark, data).collect()
+    assert got.n_pos == rows.where("label = 1").count() and got.n_neg > 0 and 0 <= got.auc <= 1
+
+
+def test_matchings_of_a_stack_equal_single_ones():
+    from quarkflow.operators.models import assignment, assignments
+
+    rng = np.random.default_rng(5)
+    cost, counts = rng.normal(size=(200, 6, 8)) ** 2, rng.integers(0, 7, 200)
+    cost[:50] = rng.integers(0, 3, (50, 6, 8))  # equal costs
+    got = assignments(cost, counts)
+    for c, n, columns in zip(cost, counts.tolist(), got.tolist()):
+        assert columns[n:] == [-1] * (6 - n) and len(set(columns[:n])) == n
+        rows, want = assignment(c[:n]) if n else ([], [])
+        assert sum(c[i, j] for i, j in enumerate(columns[:n])) == pytest.approx(c[rows, want].sum() if n else 0)
