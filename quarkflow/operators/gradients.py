@@ -103,9 +103,14 @@ def tanh(x: Node) -> Node:
 def gelu(x: Node) -> Node:
     """The smooth rectifier, by its tanh form."""
     v, c = x.value, np.sqrt(2 / np.pi)
-    t = np.tanh(c * (v + 0.044715 * v**3))
-    rate = 0.5 * (1 + t) + 0.5 * v * (1 - t * t) * c * (1 + 3 * 0.044715 * v * v)
-    return Node(0.5 * v * (1 + t), ((x, lambda g: g * rate),))
+    square = v * v
+    t = np.tanh(c * v * (1 + 0.044715 * square))
+    half = 0.5 * (1 + t)
+
+    def back(g: Array) -> Array:
+        return g * (half + 0.5 * v * (1 - t * t) * c * (1 + 3 * 0.044715 * square))
+
+    return Node(v * half, ((x, back),))
 
 
 def layer_norm(x: Node, eps: float = 1e-5) -> Node:
@@ -156,6 +161,69 @@ def gathered(x: Node, at: Array) -> Node:
     return Node(x.value.reshape(-1, features)[rows].reshape(*at.shape, features), ((x, back),))
 
 
+def incoming(at: Array) -> tuple[Array, Array, Array]:
+    """(edges of at in order of the node that they come from, the first of each such node, these nodes)."""
+    rows = (np.arange(at.shape[0])[:, None, None] * at.shape[1] + at).ravel()
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    return order, first, rows[order[first]]
+
+
+def edge_largest(x: Node, edge: tuple[Node, Node], out: tuple[Node, Node], at: Array, there: Array, come: tuple[Array, Array, Array], slope: float) -> Node:
+    """Of each node the largest message of its edges, 0 without one: (node, neighbour's difference) through the layer edge (weights, bias), values below 0 times slope, and the layer out.
+
+    The first layer is linear in node and neighbour, so it is applied once a node and not once an edge; the gradient
+    of a largest message goes to its edge alone.
+    """
+    (w1, b1), (w2, b2) = edge, out
+    jets, nodes, features = x.shape
+    k, inner, width = at.shape[2], w1.shape[1], w2.shape[1]
+    flat = x.value.reshape(-1, features)
+    centre, other = w1.value[:features] - w1.value[features:], w1.value[features:]
+    rows = (np.arange(jets)[:, None, None] * nodes + at).ravel()
+    h = (flat @ other)[rows].reshape(-1, k, inner)
+    h += (flat @ centre + b1.value)[:, None, :]
+    h = np.maximum(h, slope * h) if slope else np.maximum(h, 0.0, out=h)
+    m = (h.reshape(-1, inner) @ w2.value).reshape(-1, k, width)
+    seen = there.reshape(-1, k)
+    if not seen.all():
+        m[~seen] = -np.inf
+    best, top = np.zeros((len(m), width), np.int8 if k < 128 else np.int64), m[:, 0].copy()
+    for i in range(1, k):  # the first of equals
+        more = m[:, i] > top
+        best[more] = i
+        np.maximum(top, m[:, i], out=top)
+    lone = ~seen.any(1)
+    y = top + b2.value
+    y[lone] = 0.0
+    found: dict[str, Array] = {}
+
+    def back(g: Array) -> dict[str, Array]:
+        if not found:
+            g = g.reshape(-1, width)
+            g = np.where(lone[:, None], 0.0, g) if lone.any() else g
+            gm = (g[:, None, :] * (best[:, None, :] == np.arange(k)[None, :, None])).reshape(-1, width)
+            found["b2"], found["w2"] = g.sum(0), h.reshape(-1, inner).T @ gm
+            gh = (gm @ w2.value.T).reshape(-1, k, inner)
+            if slope:
+                np.multiply(gh, slope, out=gh, where=h <= 0)
+            else:
+                gh *= h > 0
+            mine, order, first, of = gh.sum(1), *come
+            gh = gh.reshape(-1, inner)
+            narrow = features < inner  # sums by node go over the narrower side of the first layer
+            sent = gh @ other.T if narrow else gh
+            yours = np.zeros((len(flat), sent.shape[1]))
+            if len(first):
+                yours[of] = np.add.reduceat(sent[order], first, axis=0)
+            by_centre, by_other = flat.T @ mine, flat[rows].T @ gh if narrow else flat.T @ yours
+            found["w1"], found["b1"] = np.concatenate([by_centre, by_other - by_centre]), mine.sum(0)
+            found["x"] = (mine @ centre.T + (yours if narrow else yours @ other.T)).reshape(x.shape)
+        return found
+
+    return Node(y.reshape(jets, nodes, width), tuple((n, lambda g, name=name: back(g)[name]) for name, n in (("x", x), ("w1", w1), ("b1", b1), ("w2", w2), ("b2", b2))))
+
+
 def joined(parts: list[Node], axis: int) -> Node:
     """Concatenation."""
     ends = np.cumsum([p.shape[axis] for p in parts])

@@ -66,13 +66,23 @@ def hashed(keys: Array, n: int, *salt: int) -> Array:
 def nearest(points: Array, valid: Array, k: int) -> tuple[Array, Array]:
     """(numbers of the k nearest other nodes of each node, by distance, then number; which of them are there). k is clamped to a jet's other nodes."""
     n = points.shape[1]
-    gap = ((points[:, :, None, :] - points[:, None, :, :]) ** 2).sum(-1)
+    gap = np.zeros((len(points), n, n))
+    for i in range(points.shape[2]):
+        off = points[:, :, None, i] - points[:, None, :, i]
+        gap += off * off
     gap[:, np.arange(n), np.arange(n)] = np.inf
-    gap[~(valid[:, :, None] & valid[:, None, :])] = np.inf
+    if not valid.all():
+        gap[~(valid[:, :, None] & valid[:, None, :])] = np.inf
     at = np.argsort(gap, axis=2, kind="stable")[:, :, : max(1, min(k, n - 1))]
     return at, np.isfinite(np.take_along_axis(gap, at, 2))
 
 
+def linked(jets: Jets, k: int) -> tuple[Array, ...]:
+    """nearest() by place and the edges by the node they come from, for several layers on one graph."""
+    at, there = nearest(jets.place, jets.valid, k)
+    return at, there, *g.incoming(at)
+
+
 @dataclass(frozen=True)
 class Network:
     """What all networks share. Subclasses say their shapes and, for a batch, the losses (values and weights of the terms of a mean)."""
@@ -145,12 +155,12 @@ def edge_shapes(name: str, n: int, inner: int, m: int) -> dict[str, tuple[int, .
     return dense(f"{name}.edge", 2 * n, inner) | dense(f"{name}.out", inner, m)
 
 
-def edge_conv(w: dict[str, Node], name: str, x: Node, near: tuple[Array, Array], slope: float = 0.0, bounded: bool = False) -> Node:
+def edge_conv(w: dict[str, Node], name: str, x: Node, near: tuple[Array, ...], slope: float = 0.0, bounded: bool = False) -> Node:
     """The largest message over a node's edges, each a two-layer function of the node and its neighbour's difference; 0 without an edge."""
-    at, there = near
-    centre = g.spread(x.reshape(x.shape[0], x.shape[1], 1, x.shape[2]), (*at.shape, x.shape[2]))
-    message = linear(w, f"{name}.out", g.leaky(linear(w, f"{name}.edge", g.joined([centre, g.gathered(x, at) - centre], 3)), slope))
-    return g.largest(g.tanh(message) if bounded else message, there[..., None], 2)
+    at, there, *come = near
+    edge, out = ((w[f"{name}.{layer}.w"], w[f"{name}.{layer}.b"]) for layer in ("edge", "out"))
+    largest = g.edge_largest(x, edge, out, at, there, come or g.incoming(at), slope)
+    return g.tanh(largest) if bounded else largest  # the largest of the bounds is the bound of the largest
 
 
 @dataclass(frozen=True)
@@ -166,7 +176,7 @@ class EdgeConvClassifier(Network):
         return edge_shapes("conv1", f, 2 * s, 2 * s) | edge_shapes("conv2", 2 * s, s, s) | edge_shapes("conv3", s, s, s) | edge_shapes("conv4", s, 2 * s, 2 * s) | dense("hidden", 2 * s, 2 * f) | dense("odds", 2 * f, 1)
 
     def encoded(self, w: dict[str, Node], jets: Jets) -> Node:
-        near = nearest(jets.place, jets.valid, self.k)
+        near = linked(jets, self.k)
         return g.leaky(edge_conv(w, "conv2", g.leaky(edge_conv(w, "conv1", Node(jets.x), near)), near))
 
     def odds(self, w: dict[str, Node], jets: Jets) -> Node:
@@ -217,7 +227,7 @@ class GraphAutoencoder(Network):
             out |= normed(f"{name}.norm", n) | edge_shapes(name, n, self.wide * self.width, m)
         return out | dense("unembed", self.width, self.features)
 
-    def _through(self, w: dict[str, Node], x: Node, near: tuple[Array, Array], side: str) -> Node:
+    def _through(self, w: dict[str, Node], x: Node, near: tuple[Array, ...], side: str) -> Node:
         last = f"up{self.layers - 1}"
         for name, n, m in self._sides():
             if name.startswith(side):
@@ -225,8 +235,8 @@ class GraphAutoencoder(Network):
                 x = x + y if n == m else y
         return x
 
-    def encoded(self, w: dict[str, Node], jets: Jets) -> tuple[Node, tuple[Array, Array]]:
-        near = nearest(jets.place, jets.valid, self.k)
+    def encoded(self, w: dict[str, Node], jets: Jets) -> tuple[Node, tuple[Array, ...]]:
+        near = linked(jets, self.k)
         return self._through(w, linear(w, "embed", Node(jets.x)), near, "down"), near
 
     def losses(self, w: dict[str, Node], jets: Jets, salt: int, training: bool) -> tuple[Node, Array]:

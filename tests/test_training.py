@@ -338,3 +338,42 @@ def test_matchings_of_a_stack_equal_single_ones():
         assert columns[n:] == [-1] * (6 - n) and len(set(columns[:n])) == n
         rows, want = assignment(c[:n]) if n else ([], [])
         assert sum(c[i, j] for i, j in enumerate(columns[:n])) == pytest.approx(c[rows, want].sum() if n else 0)
+
+
+@pytest.mark.parametrize(("features", "inner", "slope"), [(3, 7, 0.1), (7, 3, 0.0)])
+def test_edge_layers_applied_by_node_equal_layers_by_edge(features, inner, slope):
+    """Value and every gradient against the composition of plain operations, edges and nodes that are not there among them."""
+    rng, g = np.random.default_rng(6), gradients
+    (jets,) = numpy_jets(jet_rows((5, 1, 3, 2, 6)))
+    at, there = networks.nearest(jets.place, jets.valid, 3)
+    start = [rng.normal(size=s) for s in ((*jets.valid.shape, features), (2 * features, inner), (inner,), (inner, 4), (4,))]
+    out = rng.normal(size=(*jets.valid.shape, 4))
+    x, w1, b1, w2, b2 = (g.Node(v) for v in start)
+    centre = g.spread(x.reshape(x.shape[0], x.shape[1], 1, features), (*at.shape, features))
+    message = g.leaky(g.joined([centre, g.gathered(x, at) - centre], 3) @ w1 + b1, slope) @ w2 + b2
+    want = g.largest(message, there[..., None], 2)
+    want.backward(out)
+    mine = [g.Node(v) for v in start]
+    got = g.edge_largest(mine[0], (mine[1], mine[2]), (mine[3], mine[4]), at, there, g.incoming(at), slope)
+    got.backward(out)
+    assert np.allclose(got.value, want.value)
+    for a, b in zip(mine, (x, w1, b1, w2, b2)):
+        assert np.allclose(a.grad, b.grad)
+
+
+def test_scores_are_made_once_for_a_curve(spark):
+    """A network behind the scores runs once a row, however often cells and sums read them."""
+    from pyspark.sql import functions as F
+
+    from quarkflow.operators.metrics import roc_auc
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        calls.add(1)
+        return float(i * 7 % 1000)
+
+    rows = spark.range(1000).select(score.asNondeterministic()("id").alias("score"), (F.col("id") % 2).cast("int").alias("label"))
+    assert roc_auc(rows).first().n_pos == 500
+    assert calls.value == 1000
