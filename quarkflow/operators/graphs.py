@@ -1,8 +1,8 @@
-"""Neighbour graphs inside groups (a jet's particles): pair joins on the group and a ranked window.
+"""Neighbour graphs inside groups (a jet's particles): row-local pairs and a ranked window.
 
-Nodes: (jet_id, idx, ...). A pair join on jet_id and the window by (jet_id, centre) share one exchange by jet_id; the
-window keeps k rows through a rank limit before and after it. Ties go by distance rounded to 12 digits, then the
-neighbour's number. Groups of fewer than two nodes have no graph. Edges: (jet_id, center, neighbor, d, rank).
+Nodes: (jet_id, idx, ...). A group's nodes are gathered in one row and paired there; the window by (jet_id, centre) goes on
+in the partitions of that exchange by jet_id and keeps k rows through a rank limit before and after it. Ties go by
+distance rounded to 12 digits, then the neighbour's number. Groups of fewer than two nodes have no graph. Edges: (jet_id, center, neighbor, d, rank).
 """
 
 from __future__ import annotations
@@ -25,24 +25,40 @@ def _sides(nodes: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return a, b
 
 
-def pairs(nodes: DataFrame, columns: list[str], self_pairs: bool = False) -> DataFrame:
-    """Ordered pairs of a group's nodes, columns prefixed a_ (centre) and b_ (neighbour)."""
-    a, b = _sides(nodes, columns)
-    out = a.join(b, "jet_id")
-    return out if self_pairs else out.where("center <> neighbor")
+def pairs(nodes: DataFrame, columns: list[str], self_pairs: bool = False, least: int = 1) -> DataFrame:
+    """Ordered pairs of a group's nodes, columns prefixed a_ (centre) and b_ (neighbour), of groups of `least` nodes and more."""
+    group = F.sort_array(F.collect_list(F.struct("idx", *columns))).alias("_nodes")
+    rows = nodes.where("jet_id is not null").groupBy("jet_id").agg(group).where(F.size("_nodes") >= least)
+    for end, name in (("a", "center"), ("b", "neighbor")):
+        held = [c for c in rows.columns if c != "jet_id"]
+        rows = rows.select("jet_id", *held, F.explode("_nodes").alias("_e"))
+        rows = rows.select("jet_id", *held, F.col("_e.idx").alias(name), *(F.col(f"_e.{c}").alias(f"{end}_{c}") for c in columns))
+    rows = rows.drop("_nodes")
+    return rows if self_pairs else rows.where("center <> neighbor")
 
 
-def nearest(pairs_: DataFrame, distance: Column, k: int) -> DataFrame:
-    """The k nearest neighbours of every centre."""
+def nearest(pairs_: DataFrame, distance: Column, k: int, *keep: str) -> DataFrame:
+    """The k nearest neighbours of every centre, with further columns to keep."""
     w = Window.partitionBy("jet_id", "center").orderBy(F.round("d", 12), "neighbor")
-    ranked = pairs_.withColumn("d", distance).select("jet_id", "center", "neighbor", "d").withColumn("rank", F.row_number().over(w))
+    ranked = pairs_.withColumn("d", distance).select("jet_id", "center", "neighbor", "d", *keep).withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k)
 
 
+def _by_place() -> Column:
+    x, y = F.col("a_eta") - F.col("b_eta"), F.col("a_phi") - F.col("b_phi")
+    return F.sqrt(x * x + y * y)
+
+
 def eta_phi(nodes: DataFrame, k: int) -> DataFrame:
     """k nearest in (eta, phi), phi not wrapped, no loops."""
-    x, y = F.col("a_eta") - F.col("b_eta"), F.col("a_phi") - F.col("b_phi")
-    return nearest(pairs(nodes, ["eta", "phi"]), F.sqrt(x * x + y * y), k)
+    return nearest(pairs(nodes, ["eta", "phi"]), _by_place(), k)
+
+
+def eta_phi_messages(nodes: DataFrame, k: int, features: list[str]) -> DataFrame:
+    """edge_messages() of eta_phi(), whose pairs carry the features: edges are not joined to nodes."""
+    held = list(dict.fromkeys(["eta", "phi", *features]))
+    edges = nearest(pairs(nodes, held), _by_place(), k, *(f"{end}_{f}" for end in "ab" for f in features))
+    return edges.select("jet_id", "center", "neighbor", *_messages(features))
 
 
 def all_features(nodes: DataFrame, k: int, features: list[str]) -> DataFrame:
@@ -53,8 +69,7 @@ def all_features(nodes: DataFrame, k: int, features: list[str]) -> DataFrame:
 
 def fully_connected(nodes: DataFrame) -> DataFrame:
     """All ordered pairs with loops, of groups of two nodes and more."""
-    sizes = nodes.groupBy("jet_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("jet_id")
-    return pairs(nodes.join(sizes, "jet_id", "left_semi"), [], self_pairs=True)
+    return pairs(nodes, [], self_pairs=True, least=2)
 
 
 def _kinematics(nodes: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -69,14 +84,14 @@ def _mass(floor: bool) -> Column:
 
 def mass_knn(nodes: DataFrame, k: int) -> DataFrame:
     """k + 1 nearest by 1 / (pair mass + tiny), the node itself among the candidates."""
-    rows = pairs(_kinematics(nodes), ["e", "px", "py", "pz"], self_pairs=True)
-    return _at_least_two(nodes, nearest(rows, d(1.0) / (_mass(False) + d(TINY)), k + 1))
+    rows = pairs(_kinematics(nodes), ["e", "px", "py", "pz"], self_pairs=True, least=2)
+    return nearest(rows, d(1.0) / (_mass(False) + d(TINY)), k + 1)
 
 
 def hybrid_knn(nodes: DataFrame, k: int, alpha: float = 0.3, soft_mass: str = "fj_msoftdrop") -> DataFrame:
     """k + 1 nearest by alpha * (distance scaled to the group's range) + (1 - alpha) * (soft mass / pair mass)."""
     columns = ["e", "px", "py", "pz", "eta", "phi"]
-    rows = pairs(_kinematics(nodes, [soft_mass]), [*columns, soft_mass], self_pairs=True)
+    rows = pairs(_kinematics(nodes, [soft_mass]), [*columns, soft_mass], self_pairs=True, least=2)
     turn = F.abs(F.col("a_phi") - F.col("b_phi"))
     turn = F.when(turn > d(PI), d(TWO_PI) - turn).otherwise(turn)
     x = F.col("a_eta") - F.col("b_eta")
@@ -86,12 +101,7 @@ def hybrid_knn(nodes: DataFrame, k: int, alpha: float = 0.3, soft_mass: str = "f
     by_angle = (F.col("_dr") - lo) / (hi - lo + d(TINY))
     by_mass = d(1.0) / (F.col("_m") + d(TINY)) * (F.col(f"a_{soft_mass}") + d(TINY))
     rows = rows.withColumn("_mix", d(alpha) * by_angle + d(1 - alpha) * by_mass)
-    return _at_least_two(nodes, nearest(rows, F.col("_mix"), k + 1))
-
-
-def _at_least_two(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    sizes = nodes.groupBy("jet_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("jet_id")
-    return edges.join(sizes, "jet_id", "left_semi")
+    return nearest(rows, F.col("_mix"), k + 1)
 
 
 def build(nodes: DataFrame, method: str, k: int, features: list[str] | None = None, alpha: float = 0.3) -> DataFrame:
@@ -122,7 +132,11 @@ def edge_messages(edges: DataFrame, nodes: DataFrame, features: list[str]) -> Da
     """Edge inputs of a convolution: the centre's features and the neighbour's differences from them."""
     a, b = _sides(nodes, features)
     rows = edges.select("jet_id", "center", "neighbor").join(a, ["jet_id", "center"]).join(b, ["jet_id", "neighbor"])
-    return rows.select("jet_id", "center", "neighbor", *(F.col(f"a_{f}").alias(f"x_{f}") for f in features), *((F.col(f"b_{f}") - F.col(f"a_{f}")).alias(f"dx_{f}") for f in features))
+    return rows.select("jet_id", "center", "neighbor", *_messages(features))
+
+
+def _messages(features: list[str]) -> list[Column]:
+    return [*(F.col(f"a_{f}").alias(f"x_{f}") for f in features), *((F.col(f"b_{f}") - F.col(f"a_{f}")).alias(f"dx_{f}") for f in features)]
 
 
 def edge_max(messages: DataFrame, columns: list[str]) -> DataFrame:
@@ -130,23 +144,22 @@ def edge_max(messages: DataFrame, columns: list[str]) -> DataFrame:
     return messages.groupBy("jet_id", "center").agg(*(F.max(c).alias(f"max_{c}") for c in columns))
 
 
-def dense_layer(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
-    """x (an array) times weights (a list per input) plus bias, as an array: a dense layer inside the JVM."""
-    if not weights or any(len(row) != len(bias) for row in weights):
+def dense_layer(x: list[Column], weights: list[list[float]], bias: list[float]) -> list[Column]:
+    """x (a column per input) times weights (a list per input) plus bias: a dense layer as compiled arithmetic, a column per output."""
+    if not weights or len(weights) != len(x) or any(len(row) != len(bias) for row in weights):
         raise ValueError("a weight for each input and output, a bias for each output")
-    columns = F.array(*(F.array(*(d(row[j]) for row in weights), d(bias[j])) for j in range(len(bias))))
-    one = F.concat(x, F.array(d(1.0)))
-    return F.transform(columns, lambda c: F.aggregate(F.zip_with(one, c, lambda a, b: a * b), d(0.0), lambda t, y: t + y))
-
-
-def edge_layer(edges: DataFrame, nodes: DataFrame, features: list[str], first: tuple, second: tuple, slope: float = 0.0) -> DataFrame:
-    """(jet_id, center, h): the learned edge convolution in the JVM. Of each edge, (features of the centre, differences of the neighbour) go through two dense layers (weights, bias), values below 0 times slope between them; h is the largest message of each number."""
-    messages = edge_messages(edges, nodes, features)
-    pair = F.array(*(F.col(f"x_{f}") for f in features), *(F.col(f"dx_{f}") for f in features))
-    inner = F.transform(dense_layer(pair, *first), lambda v: F.when(v > 0, v).otherwise(v * d(slope)))
-    out = messages.withColumn("_m", dense_layer(inner, *second))
-    width = len(second[1])
-    return out.groupBy("jet_id", "center").agg(F.array(*(F.max(F.get("_m", F.lit(i))) for i in range(width))).alias("h"))
+    return [sum((c * d(row[j]) for c, row in zip(x, weights)), d(0.0)) + d(bias[j]) for j in range(len(bias))]
+
+
+def edge_layer(messages: DataFrame, features: list[str], first: tuple, second: tuple, slope: float = 0.0) -> DataFrame:
+    """(jet_id, center, h): the learned edge convolution in the JVM. Of each edge (edge_messages()), (features of the centre, differences of the neighbour) go through two dense layers (weights, bias), values below 0 times slope between them; h is the largest message of each number."""
+    inner = dense_layer([*(F.col(f"x_{f}") for f in features), *(F.col(f"dx_{f}") for f in features)], *first)
+    rows = messages.select("jet_id", "center", *(v.alias(f"_i{i}") for i, v in enumerate(inner)))
+    bent = [F.when(F.col(f"_i{i}") > 0, F.col(f"_i{i}")).otherwise(F.col(f"_i{i}") * d(slope)).alias(f"_i{i}") for i in range(len(inner))]
+    out = dense_layer([F.col(f"_i{i}") for i in range(len(inner))], *second)
+    rows = rows.select("jet_id", "center", *bent).select("jet_id", "center", *(v.alias(f"_m{i}") for i, v in enumerate(out)))
+    largest = rows.groupBy("jet_id", "center").agg(*(F.max(f"_m{i}").alias(f"_m{i}") for i in range(len(out))))
+    return largest.select("jet_id", "center", F.array(*(f"_m{i}" for i in range(len(out)))).alias("h"))
 
 
 def top_k_pool(nodes: DataFrame, edges: DataFrame, features: list[str], weights: list[float], ratio: float = 0.5) -> tuple[DataFrame, DataFrame]:
