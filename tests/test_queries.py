@@ -64,3 +64,43 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e, bench; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n == 'pipeline' or n.startswith('op')]"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_hold_bounded_numbers_of_particles(spark, data, monkeypatch):
+    """Partitions grow with the table, and graphs go on in them."""
+    from quarkflow.operators import graphs
+    from quarkflow.plans import fixtures as fx
+
+    n = fx.table(spark, data, "lineitem").count()
+    monkeypatch.setattr(fx, "PER_TASK", 500)
+    nodes = fx.particles(spark, data)
+    want = -(-n // 500)
+    assert want > 4 and nodes.rdd.getNumPartitions() == want
+    for method in ("eta_phi", "fully_connected", "mass_knn"):
+        assert graphs.build(nodes, method, 3).rdd.getNumPartitions() == want
+
+
+@pytest.mark.parametrize("name", "knn_eta_phi knn_all_features fully_connected mass_knn hybrid_knn undirected_edges edge_max learned_edge_message".split())
+def test_graphs_read_particles_once(spark, data, name):
+    assert _plan(queries()[name](spark, data)).count("l_extendedprice") and len([x for x in _plan(queries()[name](spark, data)).splitlines() if "FileScan" in x and "lineitem" in x]) == 1
+
+
+@pytest.mark.parametrize("name", "flagship scaled_features multiplicity".split())
+def test_particles_are_shuffled_once_for_quantiles_and_rows(spark, data, name):
+    """What quantiles and the result both read is written, not made anew."""
+    assert "lineitem" not in _plan(queries()[name](spark, data))
+
+
+def test_stacked_sets_are_encoded_as_single_ones():
+    from quarkflow.operators.models import TokenEncoder
+
+    rng, model = np.random.default_rng(3), TokenEncoder(4)
+    x, m = rng.normal(size=(6, 5, 4)), rng.random((6, 5)) < 0.4
+    out, latent = model.forward(x, m)
+    for i in range(6):
+        one, z = model.forward(x[i], m[i])
+        assert np.allclose(out[i], one) and np.allclose(latent[i], z)
