@@ -104,3 +104,16 @@ def test_stacked_sets_are_encoded_as_single_ones():
     for i in range(6):
         one, z = model.forward(x[i], m[i])
         assert np.allclose(out[i], one) and np.allclose(latent[i], z)
+
+
+def test_summaries_of_rows_equal_those_of_nested_jets(spark, data, monkeypatch):
+    """Jets needn't be nested for their summaries."""
+    from quarkflow.operators import stats
+    from quarkflow.plans import fixtures as fx
+    from quarkflow.plans.queries import featured, flat
+
+    jets = fx.jets(spark, data).select("jet_id", "label")
+    want = stats.jet_summary(flat(featured(spark, data))).join(jets, "jet_id").na.drop().orderBy("jet_id").collect()
+    monkeypatch.setattr(fx, "nested", None)
+    got = model_queries.summaries(spark, data).orderBy("jet_id").collect()
+    assert got and np.allclose(np.array(got, float), np.array(want, float))
