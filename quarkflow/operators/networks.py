@@ -36,16 +36,23 @@ class Jets:
         return self.valid.sum(1)
 
 
-def jets_of(batch: pa.RecordBatch, mean: Array, std: Array, size: int) -> Iterator[Jets]:
-    """The batch's jets (columns id, key, label, x: lists of feature lists), at most `size` together and of like numbers of nodes. Read from the lists' buffers."""
+#: Pairs of nodes that jets which are looked at together may have (one jet may have more): attention and neighbours hold numbers for each.
+PAIRS = 1 << 18
+
+
+def jets_of(batch: pa.RecordBatch, mean: Array, std: Array, size: int, least: int = 0) -> Iterator[Jets]:
+    """The batch's jets (columns id, key, label, x: lists of feature lists), at most `size` and PAIRS together and of like numbers of nodes; each counts as `least` nodes at least. Read from the lists' buffers."""
     x = batch.column("x")
     n = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = x.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mean))
     first = np.cumsum(n) - n
     ids, keys, labels = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key", "label"))
     order = np.argsort(n, kind="stable")
-    for at in range(0, len(order), size):
-        rows = order[at : at + size]
+    pairs, at = np.maximum(np.maximum(n, least), 1)[order] ** 2, 0
+    while at < len(order):
+        most = np.arange(1, 1 + len(order[at : at + size])) * pairs[at : at + size]
+        rows = order[at : at + max(1, int(np.searchsorted(most, PAIRS, side="right")))]
+        at += len(rows)
         valid = np.arange(max(1, n[rows].max(initial=0))) < n[rows][:, None]
         raw = np.zeros((*valid.shape, len(mean)))
         raw[valid] = flat[np.concatenate([np.arange(first[r], first[r] + n[r]) for r in rows.tolist()] or [np.zeros(0, int)])]
@@ -92,6 +99,10 @@ class Network:
     def shapes(self) -> dict[str, tuple[int, ...]]:
         raise NotImplementedError
 
+    def least(self) -> int:
+        """Nodes that every jet is worked on as, at least."""
+        return 0
+
     def losses(self, w: dict[str, Node], jets: Jets, salt: int, training: bool) -> tuple[Node, Array]:
         raise NotImplementedError
 
@@ -372,6 +383,9 @@ class ClassTokenAutoencoder(_ClassBottleneck):
     def shapes(self) -> dict[str, tuple[int, ...]]:
         return self._base() | {"slot.token": (1, self.slots, self.width)} | self.block_shapes("decode") | dense("head", self.width, self.features)
 
+    def least(self) -> int:
+        return self.slots
+
     def losses(self, w: dict[str, Node], jets: Jets, salt: int, training: bool) -> tuple[Node, Array]:
         n = jets.valid.shape[1]
         if jets.counts.max(initial=0) > self.slots:

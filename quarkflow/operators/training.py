@@ -28,7 +28,7 @@ from quarkflow.sources.shared import written
 from quarkflow.sources.sinks import is_complete
 from quarkflow.sources.snapshots import Snapshot, load, save, versions
 
-#: Numbers of a gradient that are added up in one group, and jets that a task looks at together.
+#: Numbers of a gradient that are added up in one group, and jets that a task looks at together at most (fewer of many nodes: networks.PAIRS).
 CHUNK, TOGETHER = 8192, 256
 
 
@@ -107,7 +107,7 @@ def _over_jets(df: DataFrame, snapshot: Snapshot, work: Callable[[dict, Jets], p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, flat, mean, std = shared.value
         for batch in batches:
-            for jets in jets_of(batch, mean, std, TOGETHER):
+            for jets in jets_of(batch, mean, std, TOGETHER, network.least()):
                 yield work(network.weights(flat), jets)
 
     return df.select("id", "key", "label", "x").mapInArrow(run, schema)
@@ -156,7 +156,7 @@ def gradient(df: DataFrame, snapshot: Snapshot, salt: int = 0, training: bool =
         flat, mean, std = shared.value
         total = np.zeros(len(flat) + 2)
         for batch in batches:
-            for jets in jets_of(batch, mean, std, TOGETHER):
+            for jets in jets_of(batch, mean, std, TOGETHER, network.least()):
                 w = network.weights(flat)
                 values, weight = network.losses(w, jets, salt, training)
                 loss = (values * weight).sum()

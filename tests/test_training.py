@@ -81,6 +81,25 @@ def test_jets_are_read_from_list_buffers():
         assert np.allclose(seen[i][0], (np.array(x) - mean) / std) and np.allclose(seen[i][1], np.array(x)[:, :2]) and not seen[i][2].any()
 
 
+def test_jets_together_are_bounded_by_their_pairs_of_nodes(monkeypatch):
+    """A batch of large jets, or of small ones with many slots, is cut into smaller groups; every jet comes once. Small jets stay together."""
+    rows = jet_rows((2, 40, 3, 2, 90, 41, 5, 40))
+    sizes = lambda least=0: [(len(j.ids), j.valid.shape[1]) for j in networks.jets_of(batch_of(rows), np.zeros(4), np.ones(4), 256, least)]
+    assert sizes() == [(8, 90)]
+    monkeypatch.setattr(networks, "PAIRS", 3400)
+    assert sizes() == [(4, 5), (2, 40), (1, 41), (1, 90)]
+    assert sizes(34) == [(2, 2), (2, 5), (2, 40), (1, 41), (1, 90)]
+    jets = list(networks.jets_of(batch_of(rows), np.zeros(4), np.ones(4), 256))
+    assert sorted(i for j in jets for i in j.ids.tolist()) == list(range(8))
+    net = NETWORKS["tokens"]
+    w = net.weights(net.initial(3))
+    parts = {i: s for j in jets for i, s in zip(j.ids.tolist(), net.scores(w, j, 0).tolist())}
+    monkeypatch.setattr(networks, "PAIRS", 1 << 18)
+    (whole,) = numpy_jets(rows)
+    assert parts == pytest.approx(dict(zip(whole.ids.tolist(), net.scores(w, whole, 0).tolist())), abs=1e-12)
+    assert networks.ClassTokenAutoencoder(4, width=6, layers=1, latent=3, slots=500).least() == 500 and net.least() == 0
+
+
 def test_edge_convolution_equals_loops():
     """Against the definition, node by node; neighbours by distance, ties by number; a lone node gets zeros."""
     rng = np.random.default_rng(4)
