@@ -359,6 +359,24 @@ def test_matchings_of_a_stack_equal_single_ones():
         assert sum(c[i, j] for i, j in enumerate(columns[:n])) == pytest.approx(c[rows, want].sum() if n else 0)
 
 
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), 1e308])
+def test_matchings_end_whatever_the_costs(bad):
+    """Costs that are no numbers or overflow count as the largest; they once sent the search in circles, so it has a clock here."""
+    import signal
+
+    from quarkflow.operators.models import assignment, assignments
+
+    cost = np.array([[[bad, 2.0, 1.0], [bad, 1.0, 3.0]], [[bad] * 3] * 2])
+    signal.signal(signal.SIGALRM, lambda *_: pytest.fail("the matching doesn't end"))
+    signal.alarm(10)
+    try:
+        got = assignments(cost, np.array([2, 2]))
+        rows, columns = assignment(cost[1])
+    finally:
+        signal.alarm(0)
+    assert got[0].tolist() == [2, 1] and len(set(got[1].tolist())) == 2 == len(set(columns.tolist())) and sorted(rows.tolist()) == [0, 1]
+
+
 @pytest.mark.parametrize(("features", "inner", "slope"), [(3, 7, 0.1), (7, 3, 0.0)])
 def test_edge_layers_applied_by_node_equal_layers_by_edge(features, inner, slope):
     """Value and every gradient against the composition of plain operations, edges and nodes that are not there among them."""
