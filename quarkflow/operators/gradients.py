@@ -91,6 +91,9 @@ def summed_to(g: Array, shape: tuple[int, ...]) -> Array:
 
 def leaky(x: Node, slope: float = 0.0) -> Node:
     """x above 0, slope * x below."""
+    if not slope:
+        above = x.value > 0
+        return Node(np.maximum(x.value, 0.0), ((x, lambda g: g * above),))
     rate = np.where(x.value > 0, 1.0, slope)
     return Node(x.value * rate, ((x, lambda g: g * rate),))
 
@@ -224,6 +227,70 @@ def edge_largest(x: Node, edge: tuple[Node, Node], out: tuple[Node, Node], at: A
     return Node(y.reshape(jets, nodes, width), tuple((n, lambda g, name=name: back(g)[name]) for name, n in (("x", x), ("w1", w1), ("b1", b1), ("w2", w2), ("b2", b2))))
 
 
+def pairs_near(points: Array, k: int) -> Array | None:
+    """Of a stack of jets of one size, laid out (nodes, jets, features): [r - 1, a, jet] whether node (a + r) modulo the nodes is one of the k nearest others of node a, by distance, then number. None if all are."""
+    n, jets, features = points.shape
+    if n - 1 <= k:
+        return None
+    gap, rank = np.zeros((n - 1, n, jets)), np.zeros((n - 1, n, jets), np.int16)
+    for r in range(1, n // 2 + 1):
+        for i in range(features):
+            off = points[..., i] - np.roll(points[..., i], -r, 0)
+            gap[r - 1] += off * off
+        gap[n - r - 1] = np.roll(gap[r - 1], r, 0)  # the same pairs from their other ends
+    number = (np.arange(n) + np.arange(1, n)[:, None]) % n
+    for r in range(n - 1):
+        for s in range(r):
+            first = np.where((number[s] < number[r])[:, None], gap[s] <= gap[r], gap[s] < gap[r])
+            rank[r] += first
+            rank[s] += ~first
+    return rank < k
+
+
+def pair_largest(x: Node, edge: tuple[Node, Node], out: tuple[Node, Node], near: Array | None, slope: float = 0.0) -> Node:
+    """edge_largest() of a stack of jets of one size, laid out (nodes, jets, features), whose edges are all pairs or those of pairs_near(): a node's neighbours are slices of the stack, so nothing is gathered or sorted."""
+    (w1, b1), (w2, b2) = edge, out
+    n, jets, features = x.shape
+    k, inner, width = n - 1, w1.shape[1], w2.shape[1]
+    flat = x.value.reshape(-1, features)
+    centre, other = w1.value[:features] - w1.value[features:], w1.value[features:]
+    mine, yours = (flat @ centre + b1.value).reshape(n, jets, inner), (flat @ other).reshape(n, jets, inner)
+    h = np.empty((k, n, jets, inner))
+    for r in range(1, n):
+        np.add(mine[: n - r], yours[r:], out=h[r - 1, : n - r])
+        np.add(mine[n - r :], yours[:r], out=h[r - 1, n - r :])
+    h = np.maximum(h, slope * h) if slope else np.maximum(h, 0.0, out=h)
+    m = (h.reshape(-1, inner) @ w2.value).reshape(k, n, jets, width)
+    if near is not None:
+        m[~near] = -np.inf
+    top = m.max(0)
+    chosen = m == top
+    open_ = ~chosen[0]
+    for i in range(1, k):  # the first of equals
+        chosen[i] &= open_
+        open_ ^= chosen[i]
+    top += b2.value
+    found: dict[str, Array] = {}
+
+    def back(g: Array) -> dict[str, Array]:
+        if not found:
+            gm = np.multiply(g, chosen).reshape(-1, width)
+            found["b2"], found["w2"] = g.reshape(-1, width).sum(0), h.reshape(-1, inner).T @ gm
+            gh = (gm @ w2.value.T).reshape(h.shape)
+            gh *= np.where(h > 0, 1.0, slope) if slope else h > 0
+            to_mine, to_yours = gh.sum(0), np.zeros((n, jets, inner))
+            for r in range(1, n):
+                to_yours[r:] += gh[r - 1, : n - r]
+                to_yours[:r] += gh[r - 1, n - r :]
+            to_mine, to_yours = to_mine.reshape(-1, inner), to_yours.reshape(-1, inner)
+            by_centre = flat.T @ to_mine
+            found["w1"], found["b1"] = np.concatenate([by_centre, flat.T @ to_yours - by_centre]), to_mine.sum(0)
+            found["x"] = (to_mine @ centre.T + to_yours @ other.T).reshape(x.shape)
+        return found
+
+    return Node(top, tuple((i, lambda g, name=name: back(g)[name]) for name, i in (("x", x), ("w1", w1), ("b1", b1), ("w2", w2), ("b2", b2))))
+
+
 def joined(parts: list[Node], axis: int) -> Node:
     """Concatenation."""
     ends = np.cumsum([p.shape[axis] for p in parts])

@@ -38,24 +38,32 @@ class Jets:
 
 #: Pairs of nodes that jets which are looked at together may have (one jet may have more): attention and neighbours hold numbers for each.
 PAIRS = 1 << 18
+#: Jets of one size that are looked at without those of others.
+RUN = 64
+#: Nodes of jets of one size up to which messages are made for all pairs, the far ones masked: beyond, the pairs outgrow the edges.
+STACKED = 7
 
 
 def jets_of(batch: pa.RecordBatch, mean: Array, std: Array, size: int, least: int = 0) -> Iterator[Jets]:
-    """The batch's jets (columns id, key, label, x: lists of feature lists), at most `size` and PAIRS together and of like numbers of nodes; each counts as `least` nodes at least. Read from the lists' buffers."""
+    """The batch's jets (columns id, key, label, x: lists of feature lists), at most `size` and PAIRS together and of like numbers of nodes (of one number where RUN jets have it); each counts as `least` nodes at least. Read from the lists' buffers."""
     x = batch.column("x")
     n = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = x.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mean))
     first = np.cumsum(n) - n
     ids, keys, labels = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key", "label"))
     order = np.argsort(n, kind="stable")
-    pairs, at = np.maximum(np.maximum(n, least), 1)[order] ** 2, 0
+    ordered, at = n[order], 0
+    pairs = np.maximum(np.maximum(ordered, least), 1) ** 2
     while at < len(order):
         most = np.arange(1, 1 + len(order[at : at + size])) * pairs[at : at + size]
-        rows = order[at : at + max(1, int(np.searchsorted(most, PAIRS, side="right")))]
+        end = at + max(1, int(np.searchsorted(most, PAIRS, side="right")))
+        run = int(np.searchsorted(ordered, ordered[at], side="right"))
+        rows = order[at : run if at + RUN <= run < end else end]
         at += len(rows)
-        valid = np.arange(max(1, n[rows].max(initial=0))) < n[rows][:, None]
+        node = np.arange(max(1, n[rows].max(initial=0)))
+        valid = node < n[rows][:, None]
         raw = np.zeros((*valid.shape, len(mean)))
-        raw[valid] = flat[np.concatenate([np.arange(first[r], first[r] + n[r]) for r in rows.tolist()] or [np.zeros(0, int)])]
+        raw[valid] = flat[(first[rows][:, None] + node)[valid]]
         yield Jets(ids[rows], keys[rows].astype(np.int64), labels[rows].astype(float), np.where(valid[..., None], (raw - mean) / std, 0.0), raw[..., :2], valid)
 
 
@@ -191,12 +199,27 @@ class EdgeConvClassifier(Network):
         return g.leaky(edge_conv(w, "conv2", g.leaky(edge_conv(w, "conv1", Node(jets.x), near)), near))
 
     def odds(self, w: dict[str, Node], jets: Jets) -> Node:
+        if 2 <= jets.valid.shape[1] <= STACKED and jets.valid.all():
+            return self._odds_of_stack(w, jets)
         x = self.encoded(w, jets)
         for layer in ("conv3", "conv4"):
             x = g.leaky(edge_conv(w, layer, x, nearest(x.value, jets.valid, self.reduced_k)))
-        pooled = g.largest(x, jets.valid[..., None], 1)
+        return self._pooled_odds(w, g.largest(x, jets.valid[..., None], 1))
+
+    def _pooled_odds(self, w: dict[str, Node], pooled: Node) -> Node:
         return linear(w, "odds", g.leaky(linear(w, "hidden", pooled)))
 
+    def _odds_of_stack(self, w: dict[str, Node], jets: Jets) -> Node:
+        """odds() of jets of one size, all pairs of nodes at once."""
+        x = Node(np.ascontiguousarray(jets.x.transpose(1, 0, 2)))
+        near = g.pairs_near(jets.place.transpose(1, 0, 2), self.k)
+        for layer in ("conv1", "conv2", "conv3", "conv4"):
+            if layer in ("conv3", "conv4"):
+                near = g.pairs_near(x.value, self.reduced_k)
+            edge, out = ((w[f"{layer}.{side}.w"], w[f"{layer}.{side}.b"]) for side in ("edge", "out"))
+            x = g.leaky(g.pair_largest(x, edge, out, near))
+        return self._pooled_odds(w, g.largest(x, np.True_, 0))
+
     def losses(self, w: dict[str, Node], jets: Jets, salt: int, training: bool) -> tuple[Node, Array]:
         return g.logistic_loss(self.odds(w, jets), jets.labels[:, None]), np.ones((len(jets.ids), 1))
 

@@ -414,3 +414,59 @@ def test_scores_are_made_once_for_a_curve(spark):
     rows = spark.range(1000).select(score.asNondeterministic()("id").alias("score"), (F.col("id") % 2).cast("int").alias("label"))
     assert roc_auc(rows).first().n_pos == 500
     assert calls.value == 1000
+
+
+@pytest.mark.parametrize("k", [2, 4, 8])
+def test_stacks_of_one_size_give_what_gathered_edges_give(k, monkeypatch):
+    """Loss and gradient of the classifier by all pairs against the edges one by one: fewer, as many and more neighbours than k, equal distances among them."""
+    rng, net = np.random.default_rng(8), networks.EdgeConvClassifier(4, smallest=3, k=k, reduced_k=k)
+    flat = net.initial(3) + 0.05 * rng.normal(size=net.size())
+    for n in (2, 3, 5, 6, 7):
+        rows = jet_rows((n,) * 70, n)
+        for _, _, x in rows:
+            for node in x:
+                node[:2] = rng.integers(0, 3, 2).tolist()
+        (jets,) = numpy_jets(rows)
+        near = gradients.pairs_near(jets.place.transpose(1, 0, 2), k)
+        at, there = networks.nearest(jets.place, jets.valid, k)
+        assert (near is None) == (n - 1 <= k)
+        if near is not None:
+            r, a, jet = np.nonzero(near)
+            assert sorted(zip(jet, a, (a + r + 1) % n)) == sorted((j, a, b) for j in range(70) for a in range(n) for b in at[j, a])
+        got = []
+        for stacked in (networks.STACKED, 0):
+            monkeypatch.setattr(networks, "STACKED", stacked)
+            w = net.weights(flat)
+            values, weight = net.losses(w, jets, 0, True)
+            (values * weight).sum().backward()
+            got.append(np.concatenate([values.value.ravel(), *(v.grad.ravel() for v in w.values())]))
+        monkeypatch.undo()
+        assert np.allclose(*got, rtol=1e-10, atol=1e-11)
+
+
+@pytest.mark.parametrize("slope", [0.0, 0.1])
+def test_all_pairs_equal_edges_of_the_nearest(slope):
+    rng, g = np.random.default_rng(6), gradients
+    (jets,) = numpy_jets(jet_rows((6,) * 5))
+    start = [rng.normal(size=s) for s in ((8, 7), (7,), (7, 3), (3,))]
+    at, there = networks.nearest(jets.place, jets.valid, 3)
+    x, *layers = (g.Node(v) for v in (jets.x, *start))
+    want = g.edge_largest(x, tuple(layers[:2]), tuple(layers[2:]), at, there, g.incoming(at), slope)
+    y, *mine = (g.Node(v) for v in (jets.x.transpose(1, 0, 2), *start))
+    got = g.pair_largest(y, tuple(mine[:2]), tuple(mine[2:]), g.pairs_near(jets.place.transpose(1, 0, 2), 3), slope)
+    out = rng.normal(size=want.shape)
+    want.backward(out)
+    got.backward(out.transpose(1, 0, 2))
+    assert np.allclose(got.value.transpose(1, 0, 2), want.value) and np.allclose(y.grad.transpose(1, 0, 2), x.grad)
+    for a, b in zip(mine, layers):
+        assert np.allclose(a.grad, b.grad)
+
+
+def test_sizes_of_many_jets_are_looked_at_alone():
+    rows = jet_rows((3,) * 70 + (4,) * 65 + (5, 9, 6))
+    jets = numpy_jets(rows)
+    assert [(len(j.ids), j.valid.shape[1]) for j in jets] == [(70, 3), (65, 4), (3, 9)]
+    assert [i for j in jets for i in j.ids.tolist()] == [*range(135), 135, 137, 136]
+    for j in jets:
+        for i, n, x in zip(j.ids.tolist(), j.counts.tolist(), j.x):
+            assert x[:n].tolist() == rows[i][2]
