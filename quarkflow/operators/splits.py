@@ -57,6 +57,33 @@ def three_way_split(df: DataFrame, order: str, val: float = 0.1, test: float = 0
     return rows.withColumn("split", split).drop("rn", "total")
 
 
+def three_way_borders(df: DataFrame, order: str, val: float = 0.1, test: float = 0.1) -> tuple[int | float | str, int | float | str] | None:
+    """The last values of order in three_way_split's train and val, so that a comparison splits the table; None if no value parts them (fewer than 3 rows, NULLs, equal values on both sides of a border).
+
+    Only the order column is read: rows are counted by range cell, and the two cells that hold a border are sorted.
+    """
+    rows = df.select(order)
+    n, missing = rows.agg(F.count(F.lit(1)), F.count_if(F.col(order).isNull())).first()
+    if n < 3 or missing:
+        return None
+    n_test, n_val = rows.sparkSession.range(1).select(test_size(F.lit(n), test), test_size(F.lit(n), val)).first()
+    if n - n_test - n_val < 1:
+        n_test = n_val = 1
+    cells = with_cell(rows, order)
+    sizes = sorted((r["_cell"], r["count"]) for r in cells.groupBy("_cell").count().collect())  # MAX_CELLS at most
+    found = []
+    for rank in (n - n_val - n_test, n - n_test):
+        before = 0
+        for cell, size in sizes:
+            if before + size >= rank:
+                break
+            before += size
+        pair = [r[0] for r in cells.where(F.col("_cell") == cell).select(order).orderBy(order).offset(rank - before - 1).limit(1).collect()]
+        found.append(pair[0])
+    upto = rows.agg(*(F.count_if(F.col(order) <= F.lit(v)) for v in found)).first()
+    return tuple(found) if list(upto) == [n - n_val - n_test, n - n_test] else None
+
+
 def test_first_split(df: DataFrame, order: str, fraction: float = 0.2, max_train: int | None = None, max_test: int | None = None) -> DataFrame:
     """df with split: the first clamp(round(fraction * n), 1, n - 1) rows are test, the rest train; caps drop later rows of either."""
     rows = with_total(numbered(df, order))

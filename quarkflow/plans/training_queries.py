@@ -25,7 +25,7 @@ SLOTS = 16
 
 def jets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, key, label, x): jets of two particles and more, written: splits and steps read them again and again."""
-    df = fx.nested(fx.particles(spark, sf_dir)).where("size(parts) >= 2")
+    df = fx.nested(fx.particles(spark, sf_dir), *VECTOR).where("size(parts) >= 2")
 
     def near(p, q):
         x, y = p["eta"] - q["eta"], p["phi"] - q["phi"]
@@ -37,7 +37,12 @@ def jets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(rows: DataFrame, plan: training.Plan) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, validation, test) of three_way_split, written; train is dealt into the plan's steps."""
+    """(train, validation, test) of three_way_split, written; train is dealt into the plan's steps. Where ids part the sides, rows are compared with two of them; else they are ranked."""
+    borders = splits.three_way_borders(rows, "id")
+    if borders:
+        first, last = (F.lit(b) for b in borders)
+        held = written(rows.where(F.col("id") > first), "held")
+        return training.dealt(rows.where(F.col("id") <= first), plan), held.where(F.col("id") <= last), held.where(F.col("id") > last)
     split = written(splits.three_way_split(rows, "id"), "split")
     one = lambda name: split.where(F.col("split") == name).drop("split")
     return training.dealt(one("train"), plan), one("val"), one("test")
@@ -58,7 +63,7 @@ def edgeconv_classifier_auc(spark, sf_dir):
     train, val, test = sides(jets(spark, sf_dir), plan)
     trained = training.fit(networks.EdgeConvClassifier(len(VECTOR), smallest=8, k=4, reduced_k=4), train, val, plan)
     network = metrics.roc_auc(training.scores(test, trained.best)).withColumn("model", F.lit("edgeconv"))
-    summary = stats.jet_summary(flat(featured(spark, sf_dir), "label").drop("label")).na.drop()
+    summary = written(stats.jet_summary(flat(featured(spark, sf_dir), "label").drop("label")).na.drop(), "summaries")  # read by fit and by scores
     both = [side.select(F.col("id").alias("jet_id"), "label").join(summary, "jet_id") for side in (train, test)]
     linear = metrics.roc_auc(models.logistic_scores(both[1], both[0], SUMMARY)).withColumn("model", F.lit("logistic"))
     return network.unionByName(linear).select("model", "auc", "n_pos", "n_neg")

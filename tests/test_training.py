@@ -470,3 +470,19 @@ def test_sizes_of_many_jets_are_looked_at_alone():
     for j in jets:
         for i, n, x in zip(j.ids.tolist(), j.counts.tolist(), j.x):
             assert x[:n].tolist() == rows[i][2]
+
+
+@pytest.mark.parametrize("ids", [[5, 9, 7], list(range(0, 230, 2)), [i * i % 10_007 for i in range(1, 5001)], [1, 2, 3, 3, 3, 3, 3, 3, 3, 3, 3, 9], [1, 2], [1, 2, 3, 4, None]])
+def test_sides_by_borders_are_those_of_ranks(spark, ids, monkeypatch):
+    """Two ids part the sides as ranks do; where they can't (equal ids, missing ones, too few rows), ranks do it."""
+    from quarkflow.operators import splits
+    from quarkflow.plans import training_queries as q
+
+    rows = spark.createDataFrame([(i, i, 0, [[1.0] * 4] * 2) for i in ids], "id long, key long, label int, x array<array<double>>").repartition(3)
+    borders = splits.three_way_borders(rows, "id")
+    assert (borders is None) == (len(set(ids)) < len(ids) or len(ids) < 3 or None in ids)
+    if borders:
+        want = {name: sorted(r.id for r in splits.three_way_split(rows, "id").where(f"split = '{name}'").collect()) for name in ("train", "val", "test")}
+        monkeypatch.setattr(q.splits, "three_way_split", None)
+        got = q.sides(rows, Plan(steps=2))
+        assert [sorted(r.id for r in side.select("id").collect()) for side in got] == list(want.values())
