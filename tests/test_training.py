@@ -486,3 +486,34 @@ def test_sides_by_borders_are_those_of_ranks(spark, ids, monkeypatch):
         monkeypatch.setattr(q.splits, "three_way_split", None)
         got = q.sides(rows, Plan(steps=2))
         assert [sorted(r.id for r in side.select("id").collect()) for side in got] == list(want.values())
+
+
+def test_softmax_norm_and_gelu_by_their_definitions():
+    """Values and gradients, all places allowed and not, large numbers among them; short sums are products with ones."""
+    rng, g = np.random.default_rng(9), gradients
+    v, out = rng.normal(size=(3, 2, 5)) * 4, rng.normal(size=(3, 2, 5))
+    v[0, 0] += 800
+    some = rng.random(v.shape) < 0.6
+    some[1, 1] = False
+
+    def soft(x, allowed):
+        with np.errstate(invalid="ignore"):
+            e = np.where(allowed, np.exp(x - x.max(-1, keepdims=True)), 0)
+        return e / np.where(e.sum(-1, keepdims=True) > 0, e.sum(-1, keepdims=True), 1)
+
+    def normed(x):
+        return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
+
+    def smooth(x):
+        return 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
+
+    assert g.row_sums(v).shape == (3, 2, 1) and np.allclose(g.row_sums(v), v.sum(-1, keepdims=True))
+    for at, mine, want in ((v, lambda x: g.softmax(x, np.ones(x.shape, bool)), lambda x: soft(x, True)), (v, lambda x: g.softmax(x, some), lambda x: soft(x, some)), (v - v.mean(-1, keepdims=True), g.layer_norm, normed), (v[1:], g.gelu, smooth)):
+        x, o = g.Node(at), out[-len(at) :]
+        y = mine(x)
+        y.backward(o)
+        assert np.allclose(y.value, want(at))
+        for i in np.ndindex(at.shape):
+            e = np.zeros(at.shape)
+            e[i] = 1e-6
+            assert x.grad[i] == pytest.approx(((want(at + e) - want(at - e)) * o).sum() / 2e-6, abs=1e-5)
